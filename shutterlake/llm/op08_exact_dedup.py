@@ -102,3 +102,11 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     if repeated.limit(1).count():  # rows that repeat doc_id and text: one of each stays
         out = out.unionByName(rows.join(repeated, ["_id", "_tk"], "left_semi").dropDuplicates(["_id", "_tk"]))
     return out.select(*docs.columns)
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, TRANSLATE(COALESCE(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
+SELECT doc_id, MAX(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size,
+  ROW_NUMBER() OVER (PARTITION BY norm ORDER BY doc_id DESC) = 1 AS kept, SHA256(norm) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY norm)
+"""

@@ -145,9 +145,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty().cast("binary")).alias("fp"), text_or_empty().alias("text"))
     signed = slim.select("fp", "text").mapInPandas(_band_frames, "fp string, weight long, bands array<long>")
     texts = materialize(signed.dropDuplicates(["fp"]).withColumn("uid", F.monotonically_increasing_id()), "dart-signatures")
-    links = _links(slim, texts, similarity)
-    classes = connected_components(links, "dart-classes")
-    member = texts.select("fp", "uid").join(classes.withColumnRenamed("node", "uid"), "uid", "left").select("fp", F.coalesce("comp", "uid").alias("comp"))
+    classes = _classes(slim, texts, similarity)
+    member = texts.select("fp", "uid").join(classes, "uid", "left").select("fp", F.coalesce("comp", "uid").alias("comp"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty().cast("binary")).alias("fp"))
     by_text = ids.groupBy("fp").agg(F.min(F.struct(id_key().alias("k"), "doc_id", "fp")).alias("first"), F.count(F.lit(1)).alias("n"))
     by_text = materialize(by_text.join(member, "fp"), "dart-members")
@@ -158,8 +157,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"), "fp")
 
 
-def _links(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verified pairs (a, b) that connect every class of texts that share a bucket."""
+def _classes(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(uid, comp) of the texts that verified links connect."""
     banded = texts.select("uid", "weight", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     seats = materialize(salted_join(banded, shared.select("band"), ["band"], ["uid"], texts.count() * BANDS).withColumn("comp", F.col("uid")), "dart-buckets")
@@ -168,6 +167,7 @@ def _links(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     wanted = slim.select("fp", "text").dropDuplicates(["fp"]).join(met, "fp").select("uid", "text")
     sets = materialize(wanted.mapInPandas(_set_frames, "uid long, elements array<long>"), "dart-sets")
     links = tried = None
+    classes = texts.select("uid", F.col("uid").alias("comp")).limit(0)
     n_seats, leaders = seats.count(), 1
     while n_seats:
         lead = materialize(_leaders(seats, leaders), "dart-leaders")
@@ -178,7 +178,8 @@ def _links(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "dart-pairs")
         new = materialize(_verified(pairs, sets, similarity), "dart-links")
         links, tried = (new, pairs) if links is None else (links.union(new), tried.union(pairs))
-        classes = connected_components(links, "dart-classes").withColumnRenamed("node", "uid")
+        if new.limit(1).count():
+            classes = connected_components(links, "dart-classes").withColumnRenamed("node", "uid")
         # leaders have met all members of their buckets and go; a bucket of one class is done
         gone = lead.select("band", F.explode("leaders.uid").alias("uid"))
         rest = seats.drop("comp").join(gone, ["band", "uid"], "left_anti")
@@ -186,7 +187,7 @@ def _links(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         divided = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
         seats = materialize(salted_join(rest, divided, ["band"], ["uid"], n_seats), "dart-buckets")
         n_seats, leaders = seats.count(), leaders * 4
-    return texts.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0) if links is None else links
+    return classes
 
 
 def _leaders(seats: DataFrame, most: int) -> DataFrame:

@@ -40,17 +40,18 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words (maximal runs without ASCII white space) of a batch of texts.
+    """The words of a batch of texts: maximal runs of bytes that ``table`` marks.
 
-    start, end: byte offsets in ``data``; doc: index of the text; hash: 64 bits.
+    By default a word is a run without ASCII white space. start, end: byte
+    offsets in ``data``; doc: index of the text; hash: 64 bits.
     """
 
-    def __init__(self, texts: Sequence[bytes]):
-        self.data = b" ".join(texts) + b" "
+    def __init__(self, texts: Sequence[bytes], table: np.ndarray = ~_SPACE):
+        self.data = b"\n".join(texts) + b"\n"
         self.n_docs = len(texts)
-        buf = np.frombuffer(self.data, np.uint8)
-        inside = np.zeros(len(buf) + 1, bool)
-        inside[1:] = ~_SPACE[buf]
+        self.bytes = np.frombuffer(self.data, np.uint8)
+        inside = np.zeros(len(self.bytes) + 1, bool)
+        inside[1:] = table[self.bytes]
         self.start = np.flatnonzero(inside[1:] & ~inside[:-1])
         self.end = np.flatnonzero(inside[:-1] & ~inside[1:])
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
@@ -58,14 +59,37 @@ class Words:
         self.doc = np.searchsorted(self.base, self.start, "right") - 1
         self.count = np.bincount(self.doc, minlength=len(texts))
         self.first = np.cumsum(self.count) - self.count
-        self._buf = buf
+        self._sums: np.ndarray | None = None
+
+    def part_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of data[start:end] for each pair."""
+        power, inverse = _grown(len(self.bytes) + 1)
+        if self._sums is None:
+            self._sums = np.zeros(len(self.bytes) + 1, np.uint64)
+            np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[: len(self.bytes)], out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
     @property
     def hash(self) -> np.ndarray:
-        power, inverse = _grown(len(self._buf) + 1)
-        total = np.zeros(len(self._buf) + 1, np.uint64)
-        np.cumsum((self._buf.astype(np.uint64) + np.uint64(1)) * power[: len(self._buf)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        return self.part_hash(self.start, self.end)
+
+    def code_points(self) -> np.ndarray:
+        """For each byte offset, the code points before it in its text."""
+        before = np.zeros(len(self.bytes) + 1, np.int64)
+        np.cumsum((self.bytes & 0xC0) != 0x80, out=before[1:])
+        return before
+
+    def lines(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number of words) of the stretches within one line, ``most`` words at the longest."""
+        if not len(self.start):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        line = np.cumsum(self.bytes == 10)[self.start]
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        size = np.diff(np.append(first, len(line)))
+        pieces = -(-size // most)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(first, pieces) + nth * most
+        return starts, np.minimum(np.repeat(first + size, pieces) - starts, most)
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
