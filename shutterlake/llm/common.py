@@ -59,17 +59,18 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(text_or_empty(text))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], total: int, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Join a large ``left`` to a ``right`` with one row a key, splitting hot keys.
 
     Keys with more than ``total / HOT_SHARE`` rows in ``left`` (at most
     HOT_SHARE keys, so their list is broadcast) are spread over as many salts as
     they hold such shares; the matching row of ``right`` is repeated for each
     salt. The salt is a hash of ``salt_on``, so a retried task deals alike.
-    Keys must not be null.
+    Keys must not be null. counts: the rows of each key as ``_n``, if known.
     """
     most = max(HOT_FLOOR, total // HOT_SHARE)
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    hot = counts.filter(F.col("_n") > most)
     hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_fan")))
     salt = F.pmod(F.xxhash64(*salt_on), F.coalesce("_fan", F.lit(1))).cast("int")
     dealt = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_fan")

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op04_mixing, op05_bpe, op06_toxicity, op08_exact_dedup, op10_near_dedup
+from . import (
+    op01_secrets,
+    op02_substring_dedup,
+    op03_topk,
+    op04_mixing,
+    op05_bpe,
+    op06_toxicity,
+    op07_chat,
+    op08_exact_dedup,
+    op09_pii,
+    op10_near_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +30,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_topk.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_mixing.mixture(_table(spark, sf_dir, "documents"))
 
@@ -32,19 +55,33 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_toxicity.toxicity(docs, op06_toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_chat.all_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return op09_pii.personal_data(docs, op09_pii.fit(docs))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_near_dedup.near_classes(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_mixing, op5_bpe, op6_toxicity, op8_exact_dedup, op10_near_dedup)
+    f.__name__: f
+    for f in (op1_secrets, op2_substring_dedup, op3_topk, op4_mixing, op5_bpe, op6_toxicity, op7_chat, op8_exact_dedup, op9_pii, op10_near_dedup)
 }
 
 ORACLE: dict[str, str] = {
+    "op1_secrets": op01_secrets.SQL,
+    "op2_substring_dedup": op02_substring_dedup.SQL,
+    "op3_topk": op03_topk.SQL,
     "op4_mixing": op04_mixing.SQL,
+    "op7_chat": op07_chat.SQL,
     "op8_exact_dedup": op08_exact_dedup.SQL,
 }
