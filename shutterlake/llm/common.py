@@ -55,6 +55,11 @@ def id_key(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
 
 
+def plain_id(doc_id: str = "doc_id") -> Column:
+    """doc_id as text, so that pandas does not turn ids beside nulls into floats."""
+    return F.col(doc_id).cast("long").cast("string").alias("doc_id")
+
+
 def text_key(text: str = "text") -> Column:
     return F.xxhash64(text_or_empty(text))
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, materialize, salted_join, text_key, text_or_empty
+from .common import id_key, materialize, plain_id, salted_join, text_key, text_or_empty
 from .textkit import Words, batches, encoded, grams, mix
 
 WINDOW = 35
@@ -254,7 +254,7 @@ def _removed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def without_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row per row of ``docs``; with ``texts`` also what is kept, null where nothing goes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id"), text_key().alias("tk"), text_or_empty().alias("text"))
+    rows = docs.select(plain_id(), id_key().alias("id"), text_key().alias("tk"), text_or_empty().alias("text"))
     counts = rows.select("text").mapInPandas(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     counts = materialize(counts, "substring-minimizers")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -263,7 +263,7 @@ def without_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     hot = F.col("n") > HOT
     lists = met.groupBy("id", "tk").agg(F.collect_set(F.when(~hot, F.col("at"))).alias("cold"), F.collect_set(F.when(hot, F.col("at"))).alias("hot"))
     lists = lists.select("id", "tk", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("cold", "hot")])
-    schema = "doc_id long, id long, tk long, text string, cold array<int>, hot array<int>, n_words long, kept_sha256 string"
+    schema = "doc_id string, id long, tk long, text string, cold array<int>, hot array<int>, n_words long, kept_sha256 string"
     split = materialize(rows.join(lists, ["id", "tk"], "left").select("doc_id", "id", "tk", "text", "cold", "hot").mapInPandas(_split, schema), "substring-split")
     open_ = split.filter("text is not null")
     passages = open_.filter("cold is not null").select("id", "tk", "text", "cold").mapInPandas(_passages, "h long, id long, tk long, at int, said binary")
@@ -276,9 +276,9 @@ def without_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     cuts = cuts.unionByName(again.select("id", "tk", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end")))
     cuts = cuts.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     done = open_.select("doc_id", "id", "tk", "text").join(cuts, ["id", "tk"], "left").select("doc_id", "text", "cuts")
-    done = done.mapInPandas(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    done = done.mapInPandas(_removed, "doc_id string, n_words long, n_removed long, kept_sha256 string, kept_text string")
     whole = split.filter("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
-    out = whole.union(done)
+    out = whole.union(done).withColumn("doc_id", F.col("doc_id").cast("long"))
     return out if texts else out.drop("kept_text")
 
 

@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import plain_id, text_or_empty
 
 #: Words whose ids a task remembers; it forgets all when full.
 REMEMBERED = 600_000
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def byte_signs() -> list[str]:
@@ -144,4 +144,4 @@ def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(work, SCHEMA)
+    return docs.select(plain_id(), text_or_empty().alias("text")).mapInPandas(work, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))

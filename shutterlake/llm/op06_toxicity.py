@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, plain_id, text_or_empty
 from .crf import Chain, forward_backward, train
 from .textkit import Words, batches, encoded
 
@@ -182,18 +182,18 @@ def _score_frames(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, spans: one row per row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
-    out = rows.mapInPandas(_score_frames(model), "doc_id long, held_out boolean, score double, spans string")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+    rows = docs.select(plain_id(), held_out().alias("held_out"), text_or_empty().alias("text"))
+    out = rows.mapInPandas(_score_frames(model), "doc_id string, held_out boolean, score double, spans string")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     work = _score_frames(model)
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            score = np.concatenate([x["score"].to_numpy() for x in work(iter([frame[["text"]]]))]) if len(frame) else np.zeros(0)
-            yield frame[score < 0.5]
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        parts = [x["score"] for x in work(iter([texts.to_frame("text")]))]
+        return pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype="float64")
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.filter(score(text_or_empty()) < 0.5)

@@ -92,16 +92,15 @@ def _look_up(rows: DataFrame, groups: DataFrame, keys: list[str], salt_on: list[
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    key = {"_id": id_key(), "_tk": text_key()}
-    groups = exact_groups(docs.withColumn("_tk", text_key()), carry=["_tk"]).withColumn("_id", id_key())
+    groups = exact_groups(docs.select("doc_id", "text", text_key().alias("_tk")), carry=["_tk"]).withColumn("_id", id_key())
     gone = groups.groupBy("_id", "_tk").agg(F.bool_or("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
     gone = materialize(gone.filter("not any_kept or n > 1"), "radix-gone")
-    rows = docs.withColumns(key)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), id_key().alias("_id"), text_key().alias("_tk"))
     out = rows.join(gone.select("_id", "_tk"), ["_id", "_tk"], "left_anti")
     repeated = gone.filter("any_kept").select("_id", "_tk")
     if repeated.limit(1).count():  # rows that repeat doc_id and text: one of each stays
         out = out.unionByName(rows.join(repeated, ["_id", "_tk"], "left_semi").dropDuplicates(["_id", "_tk"]))
-    return out.select(*docs.columns)
+    return out.select("_row.*")
 
 
 SQL = f"""

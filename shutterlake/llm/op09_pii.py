@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, plain_id, text_or_empty
 from .crf import Chain, train, viterbi
 from .textkit import Words, batches, mix
 
@@ -223,5 +223,6 @@ def _scan_frames(chain: Chain) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
 
 def personal_data(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInPandas(_scan_frames(chain), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    rows = docs.select(plain_id(), text_or_empty().alias("text"))
+    out = rows.mapInPandas(_scan_frames(chain), "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -212,6 +212,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each class, with all their columns."""
     answer = near_classes(docs, similarity)
-    gone = answer.filter("not kept").select(id_key().alias("_id"), F.col("fp").alias("_fp")).distinct()
-    rows = docs.withColumns({"_id": id_key(), "_fp": F.md5(text_or_empty().cast("binary"))})
-    return rows.join(gone, ["_id", "_fp"], "left_anti").select(*docs.columns)
+    keys = [id_key().alias("_id"), F.md5(text_or_empty().cast("binary")).alias("_fp")]
+    gone = answer.select(id_key().alias("_id"), F.col("fp").alias("_fp"), "kept").groupBy("_id", "_fp").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = materialize(gone.filter("not kept or n > 1"), "dart-gone")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *keys)
+    out = rows.join(gone.select("_id", "_fp"), ["_id", "_fp"], "left_anti")
+    repeated = gone.filter("kept").select("_id", "_fp")
+    if repeated.limit(1).count():  # rows that repeat doc_id and text: one of each stays
+        out = out.unionByName(rows.join(repeated, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]))
+    return out.select("_row.*")

@@ -16,8 +16,8 @@ from . import (
     op07_chat,
     op08_exact_dedup,
     op09_pii,
-    op10_near_dedup,
 )
+from . import op10_near_dedup as near
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_near_dedup.near_classes(_table(spark, sf_dir, "documents"))
+    return near.near_classes(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
