@@ -22,11 +22,11 @@ count as one document; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, id_key, materialize, salted_join, text_or_empty
@@ -161,7 +161,10 @@ def _classes(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(uid, comp) of the texts that verified links connect."""
     banded = texts.select("uid", "weight", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    seats = materialize(salted_join(banded, shared.select("band"), ["band"], ["uid"], texts.count() * BANDS).withColumn("comp", F.col("uid")), "dart-buckets")
+    seats = materialize(salted_join(banded, shared, ["band"], ["uid"], texts.count() * BANDS), "dart-buckets")
+    # the text that others were copied from shares most bands with most of them and leads best
+    popular = seats.groupBy("uid").agg(F.sum("n").alias("pop"))
+    seats = materialize(seats.drop("n").join(popular, "uid").withColumn("comp", F.col("uid")), "dart-buckets")
     met = materialize(seats.select("uid").distinct().join(texts.select("uid", "fp"), "uid"), "dart-candidates")
     # copies of a text are dropped before its set is made: partial dropDuplicates leaves one a task
     wanted = slim.select("fp", "text").dropDuplicates(["fp"]).join(met, "fp").select("uid", "text")
@@ -172,9 +175,9 @@ def _classes(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     while n_seats:
         lead = materialize(_leaders(seats, leaders), "dart-leaders")
         pairs = salted_join(seats, lead, ["band"], ["uid"], n_seats)
-        pairs = pairs.select("uid", "weight", "comp", F.explode("leaders").alias("l")).filter("comp <> l.comp")
-        alike = F.least("weight", "l.weight") >= F.greatest("weight", "l.weight") * similarity - 1e-9
-        pairs = pairs.filter(alike).select(F.least("uid", "l.uid").alias("a"), F.greatest("uid", "l.uid").alias("b")).distinct()
+        # only leaders of other classes and of a weight that allows the similarity
+        pairs = pairs.select("uid", F.explode(F.filter("leaders", _comparable(similarity))).alias("l"))
+        pairs = pairs.select(F.least("uid", "l.uid").alias("a"), F.greatest("uid", "l.uid").alias("b")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "dart-pairs")
         new = materialize(_verified(pairs, sets, similarity), "dart-links")
         links, tried = (new, pairs) if links is None else (links.union(new), tried.union(pairs))
@@ -190,13 +193,21 @@ def _classes(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return classes
 
 
+def _comparable(similarity: float) -> Callable[[Column], Column]:
+    def test(leader: Column) -> Column:
+        alike = F.least("weight", leader["weight"]) >= F.greatest("weight", leader["weight"]) * similarity - 1e-9
+        return (leader["comp"] != F.col("comp")) & alike
+
+    return test
+
+
 def _leaders(seats: DataFrame, most: int) -> DataFrame:
-    """band, leaders: ``most`` members of each bucket; the least uid alone at first, later by hash."""
+    """band, leaders: the ``most`` most popular members of each bucket."""
     if most == 1:
-        one = seats.groupBy("band").agg(F.min(F.struct("uid", "weight", "comp")).alias("one"))
-        return one.select("band", F.array("one").alias("leaders"))
+        one = seats.groupBy("band").agg(F.max(F.struct("pop", "uid", "weight", "comp")).alias("one"))
+        return one.select("band", F.array(F.struct("one.uid", "one.weight", "one.comp")).alias("leaders"))
     # the rank limit is applied in each task before the shuffle
-    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("uid"), "uid"))
+    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("pop"), F.desc("uid")))
     few = seats.withColumn("rank", rank).filter(F.col("rank") <= most)
     return few.groupBy("band").agg(F.collect_list(F.struct("uid", "weight", "comp")).alias("leaders"))
 
