@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that hold more than one part in HOT_SHARE of the rows are split. Fewer
@@ -93,16 +93,15 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     both = materialize(both, f"{name}-edges")
     total = both.count()
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), name)
-    while total:
+    nodes = labels.count()
+    moved = nodes
+    while moved:
         near = salted_join(both.withColumnRenamed("b", "node"), labels, ["node"], ["a"], total)
         near = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("_near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
-        step = materialize(step, name)
-        nodes = step.count()
+        step = materialize(labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp")), name)
         up = step.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
-        jumped = salted_join(step, up, ["comp"], ["node"], nodes)
-        labels = materialize(jumped.select("node", F.least("comp", "_up").alias("comp"), (F.least("comp", "_up") != F.col("_old")).alias("_moved")), name)
-        if not labels.filter("_moved").limit(1).count():
-            break
-        labels = labels.drop("_moved")
+        jumped = salted_join(step, up, ["comp"], ["node"], nodes).withColumn("comp", F.least("comp", "_up"))
+        seen = Observation()  # counted while the table is written
+        labels = materialize(jumped.observe(seen, F.count_if(F.col("comp") != F.col("_old")).alias("moved")).select("node", "comp"), name)
+        moved = seen.get["moved"]
     return labels.select("node", "comp")

@@ -8,11 +8,13 @@ coordinate of the signature keeps the earliest dart. Only ranks below
 t / total weight are ever generated, so a signature costs O(weight + k log k).
 
 Documents that agree on all coordinates of a band meet in a bucket. Within a
-bucket members are compared with a few leaders, not with each other; a leader
-that has met all members leaves, and a bucket is done when its members are in
-one class or all have been leaders. Leaders grow fourfold a round, so every
-pair that shares a bucket and ends in two classes has been compared, in
-O(log size) rounds. Every link is verified on the full sets.
+bucket members are first compared with its most popular member, not with each
+other, then with the next LEADERS ones; leaders have met all members and leave,
+and a bucket is done when its members are in one class. What is then left is
+cut into blocks of BLOCK members, and each two blocks of a bucket are compared
+by one numpy step that returns only links which join classes. So every pair
+that shares a bucket and ends in two classes has been compared, no task holds
+more than two blocks, and links are verified on the full sets.
 
 Defined cases: null text is empty; texts of one to four words are one run of
 all their words; texts without words are near nothing but texts equal to them;
@@ -35,6 +37,10 @@ from .textkit import Words, batches, encoded, grams, mix
 RUN = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 6
+#: Leaders of a bucket in the second round; members of a block after that.
+LEADERS, BLOCK = 4, 128
+#: Cells of the membership matrix of two blocks; beyond, pairs are intersected one by one.
+CELLS = 1 << 25
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,30 +175,85 @@ def _classes(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     # copies of a text are dropped before its set is made: partial dropDuplicates leaves one a task
     wanted = slim.select("fp", "text").dropDuplicates(["fp"]).join(met, "fp").select("uid", "text")
     sets = materialize(wanted.mapInPandas(_set_frames, "uid long, elements array<long>"), "dart-sets")
-    links = tried = None
     classes = texts.select("uid", F.col("uid").alias("comp")).limit(0)
-    n_seats, leaders = seats.count(), 1
-    while n_seats:
+    links, n_seats = None, seats.count()
+    for leaders in (1, LEADERS):
+        if not n_seats:
+            return classes
         lead = materialize(_leaders(seats, leaders), "dart-leaders")
         pairs = salted_join(seats, lead, ["band"], ["uid"], n_seats)
         # only leaders of other classes and of a weight that allows the similarity
         pairs = pairs.select("uid", F.explode(F.filter("leaders", _comparable(similarity))).alias("l"))
         pairs = pairs.select(F.least("uid", "l.uid").alias("a"), F.greatest("uid", "l.uid").alias("b")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "dart-pairs")
-        new = materialize(_verified(pairs, sets, similarity), "dart-links")
-        links, tried = (new, pairs) if links is None else (links.union(new), tried.union(pairs))
+        new = materialize(_verified(materialize(pairs, "dart-pairs"), sets, similarity), "dart-links")
+        links = new if links is None else links.union(new)
         if new.limit(1).count():
             classes = connected_components(links, "dart-classes").withColumnRenamed("node", "uid")
         # leaders have met all members of their buckets and go; a bucket of one class is done
         gone = lead.select("band", F.explode("leaders.uid").alias("uid"))
         rest = seats.drop("comp").join(gone, ["band", "uid"], "left_anti")
         rest = materialize(salted_join(rest, classes, ["uid"], ["band"], n_seats, "left").withColumn("comp", F.coalesce("comp", "uid")), "dart-buckets")
-        divided = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
+        divided = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", "n")
         seats = materialize(salted_join(rest, divided, ["band"], ["uid"], n_seats), "dart-buckets")
-        n_seats, leaders = seats.count(), leaders * 4
+        n_seats = seats.count()
+        seats = seats if leaders == LEADERS else seats.drop("n")
+    if not n_seats:
+        return classes
+    new = materialize(_block_links(seats, sets, similarity, n_seats), "dart-links")
+    if new.limit(1).count():
+        classes = connected_components(links.union(new), "dart-classes").withColumnRenamed("node", "uid")
     return classes
 
 
+def _block_links(seats: DataFrame, sets: DataFrame, similarity: float, n_seats: int) -> DataFrame:
+    """Links between classes among the members left in each bucket (n of them), block by block."""
+    blocks = F.ceil(F.col("n") / float(BLOCK)).cast("int")
+    rows = salted_join(seats, sets, ["uid"], ["band"], n_seats).withColumn("blocks", blocks)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("uid", "band"), F.col("blocks")).cast("int"))
+    packed = rows.groupBy("band", "block", "blocks").agg(F.collect_list(F.struct("uid", "comp", "elements")).alias("members"))
+    packed = materialize(packed, "dart-blocks")
+    # block i meets the blocks from i on; each pair of blocks is a key of its own
+    one = packed.select("band", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("members").alias("x"))
+    two = packed.select("band", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("members").alias("y"))
+    met = one.join(two, ["band", "i", "j"]).select("x", "y")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for x, y in zip(frame["x"], frame["y"], strict=True):
+                yield pd.DataFrame(_joining_links([(m["uid"], m["comp"], m["elements"]) for m in x], [(m["uid"], m["comp"], m["elements"]) for m in y], similarity), columns=["a", "b"])
+
+    return met.mapInPandas(work, "a long, b long").distinct()
+
+
+def _joining_links(x: list, y: list, similarity: float) -> list[tuple[int, int]]:
+    """Links (uid, uid) of two blocks of (uid, class, elements) that join classes; one that joins what is joined is left out."""
+    every = [np.asarray(e) for _, _, e in (*x, *y)]
+    size = np.array([len(e) for e in every])
+    m = len(x)
+    kinds, place = np.unique(np.concatenate(every), return_inverse=True) if len(every) else (np.zeros(0), np.zeros(0, int))
+    if len(every) * len(kinds) <= CELLS:
+        held = np.zeros((len(every), len(kinds)), np.float32)
+        held[np.repeat(np.arange(len(every)), size), place] = 1
+        both = held[:m] @ held[m:].T
+    else:
+        both = np.array([[len(np.intersect1d(a, b, assume_unique=True)) if similarity * max(len(a), len(b)) <= min(len(a), len(b)) else 0 for b in every[m:]] for a in every[:m]])
+    near = both >= (size[:m, None] + size[None, m:] - both) * similarity - 1e-6
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = top(x[i][1]), top(y[j][1])
+        if a != b:
+            up[a] = b
+            out.append((x[i][0], y[j][0]))
+    return out
+
+
 def _comparable(similarity: float) -> Callable[[Column], Column]:
     def test(leader: Column) -> Column:
         alike = F.least("weight", leader["weight"]) >= F.greatest("weight", leader["weight"]) * similarity - 1e-9
