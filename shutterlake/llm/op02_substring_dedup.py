@@ -10,8 +10,9 @@ around one minimizer are a reference shard. A task holds whole shards, builds
 the automaton of each over its distinct passages, and streams the passages
 through it: a window whose automaton state has two occurrences is repeated.
 
-The passages of a minimizer with more than HOT occurrences are not gathered;
-their windows are counted by 128-bit hashes with partial aggregation instead.
+The passages of a minimizer with more than HOT occurrences are not gathered.
+They are counted by 128-bit hashes with partial aggregation: passages that are
+equal as a whole first, one row each, and then the windows of one of each.
 
 Defined cases: null text has no words; texts shorter than a window keep all
 words; rows that repeat doc_id and text are occurrences of their own and give
@@ -111,6 +112,38 @@ def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"h": m.hash[hit], "id": own["id"].to_numpy()[doc], "tk": own["tk"].to_numpy()[doc], "at": (m.low[hit] - w.first[doc]).astype(np.int32), "said": said})
 
 
+def _hot_passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each hot minimizer: the hash of its windows in order, its place, its first window and their number."""
+    step = np.uint64(0x9E3779B97F4A7C55)
+    back = np.uint64(pow(int(step), -1, 1 << 64))
+    for frame in frames:
+        texts = encoded(frame["text"])
+        for a, b in batches(texts, 1 << 18):
+            m, own = Minimizers(texts[a:b]), frame.iloc[a:b]
+            hit = np.flatnonzero(_marked(m, own)[m.place])
+            if not len(hit):
+                continue
+            doc, low, high = m.doc[hit], m.low[hit], m.high[hit]
+            out = {"id": own["id"].to_numpy()[doc], "tk": own["tk"].to_numpy()[doc], "place": (m.place[hit] - m.words.first[doc]).astype(np.int32), "at": (low - m.words.first[doc]).astype(np.int32), "n": (high - low + 1).astype(np.int32)}
+            for name, hashes in zip(("c1", "c2"), _window_hashes(m), strict=True):
+                up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), x))) for x in (step, back))
+                sums = np.append(np.uint64(0), np.cumsum(hashes * up[:-1]))
+                out[name] = mix((sums[high + 1] - sums[low]) * down[low]).view(np.int64)
+            yield pd.DataFrame(out)
+
+
+def _marked(m: Minimizers, own: pd.DataFrame) -> np.ndarray:
+    marked = np.zeros(len(m.words.start), bool)
+    for i, at in enumerate(own["hot"]):
+        if at is not None:
+            marked[m.words.first[i] + np.asarray(at, np.int64)] = True
+    return marked
+
+
+def _window_hashes(m: Minimizers) -> tuple[np.ndarray, np.ndarray]:
+    return grams(m.word_hash, WINDOW), grams(mix(m.word_hash ^ np.uint64(0xA5A5A5A5)), WINDOW)
+
+
 def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each window of a hot minimizer: its hash and where it starts."""
     for frame in frames:
@@ -118,16 +151,12 @@ def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in batches(texts, 1 << 18):
             m = Minimizers(texts[a:b])
             w, own = m.words, frame.iloc[a:b]
-            marked = np.zeros(len(w.start), bool)
-            for i, at in enumerate(own["hot"]):
-                if at is not None:
-                    marked[w.first[i] + np.asarray(at, np.int64)] = True
-            hit = np.flatnonzero(marked[m.place])
+            hit = np.flatnonzero(_marked(m, own)[m.place])
             if not len(hit):
                 continue
             size = m.high[hit] - m.low[hit] + 1
             at = np.repeat(m.low[hit], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            one, two = grams(m.word_hash, WINDOW), grams(mix(m.word_hash ^ np.uint64(0xA5A5A5A5)), WINDOW)
+            one, two = _window_hashes(m)
             doc = w.doc[at]
             yield pd.DataFrame({"w1": one[at].view(np.int64), "w2": two[at].view(np.int64), "id": own["id"].to_numpy()[doc], "tk": own["tk"].to_numpy()[doc], "at": (at - w.first[doc]).astype(np.int32)})
 
@@ -269,7 +298,15 @@ def without_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     passages = open_.filter("cold is not null").select("id", "tk", "text", "cold").mapInPandas(_passages, "h long, id long, tk long, at int, said binary")
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     cuts = passages.repartition(int(n), "h").sortWithinPartitions("h").mapInPandas(_matched, "id long, tk long, start int, end int")
-    windows = open_.filter("hot is not null").select("id", "tk", "text", "hot").mapInPandas(_windows, "w1 long, w2 long, id long, tk long, at int")
+    often_said = open_.filter("hot is not null").select("id", "tk", "text", "hot")
+    whole_runs = often_said.mapInPandas(_hot_passages, "c1 long, c2 long, id long, tk long, place int, at int, n int")
+    same = whole_runs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("id", "tk", "place")).alias("first"))
+    same = materialize(same, "substring-runs")
+    n_same = same.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    equal = salted_join(whole_runs, same.filter("_n > 1").select("c1", "c2"), ["c1", "c2"], ["id", "tk", "at"], n_same, counts=same.select("c1", "c2", "_n"))
+    cuts = cuts.unionByName(equal.select("id", "tk", F.col("at").alias("start"), (F.col("at") + F.col("n") + (WINDOW - 1)).alias("end")))
+    firsts = same.select("first.*").groupBy("id", "tk").agg(F.collect_set("place").alias("hot"))
+    windows = often_said.drop("hot").join(firsts, ["id", "tk"]).select("id", "tk", "text", "hot").mapInPandas(_windows, "w1 long, w2 long, id long, tk long, at int")
     often = materialize(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "substring-windows")
     n_often = often.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     again = salted_join(windows, often.select("w1", "w2"), ["w1", "w2"], ["id", "tk", "at"], n_often, counts=often)
