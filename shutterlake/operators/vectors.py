@@ -142,69 +142,119 @@ def cluster_block(vectors: np.ndarray, fixed: np.ndarray, excluded: np.ndarray,
     excluded from its person; then the closest pair of clusters merges while it
     is over the threshold, never two confirmed ones and never against an exclusion.
     """
-    label = np.full(len(vectors), -1)
-    sums: list[np.ndarray] = []
-    person: list[int] = []
-    barred: list[set[int]] = []
-    for p in sorted(set(fixed[fixed >= 0].tolist())):
-        own = fixed == p
-        label[own] = len(sums)
-        sums.append(vectors[own].sum(axis=0))
-        person.append(p)
-        barred.append(set())
+    n, dim = vectors.shape
+    label = np.full(n, -1)
+    seeds = np.unique(fixed[fixed >= 0])
+    k = len(seeds)
+    sums, units = np.zeros((max(2 * k, 64), dim)), np.zeros((max(2 * k, 64), dim))
+    barred: list[set[int]] = [set() for _ in range(k)]
 
     def unit(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
+    for c, p in enumerate(seeds.tolist()):
+        label[fixed == p] = c
+        sums[c] = vectors[fixed == p].sum(axis=0)
+        units[c] = unit(sums[c])
+
     for i in order:
         if label[i] >= 0:
             continue
         best = -1
-        if sums:
-            near = unit(np.array(sums)) @ vectors[i]
-            near[np.array([excluded[i] >= 0 and excluded[i] == p for p in person])] = -np.inf
-            best = len(near) - 1 - int(near[::-1].argmax())
+        if k:
+            near = units[:k] @ vectors[i]
+            if excluded[i] >= 0:
+                near[: len(seeds)][seeds == excluded[i]] = -np.inf
+            best = k - 1 - int(near[::-1].argmax())
             if near[best] < threshold:
                 best = -1
         if best < 0:
-            best = len(sums)
-            sums.append(np.zeros(vectors.shape[1]))
-            person.append(-1)
+            if k == len(sums):
+                sums, units = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, units))
+            best, k = k, k + 1
             barred.append(set())
         label[i] = best
-        sums[best] = sums[best] + vectors[i]
+        sums[best] += vectors[i]
+        units[best] = unit(sums[best])
         if excluded[i] >= 0:
             barred[best].add(int(excluded[i]))
-    while len(sums) > 1:
-        near = unit(np.array(sums)) @ unit(np.array(sums)).T
-        p = np.array(person)
-        near[(p[:, None] >= 0) & (p[None, :] >= 0)] = -np.inf
-        for a, bar in enumerate(barred):
-            hit = np.isin(p, list(bar)) & (p >= 0)
-            near[a, hit] = near[hit, a] = -np.inf
-        np.fill_diagonal(near, -np.inf)
-        a, b = sorted(np.unravel_index(int(near.argmax()), near.shape))
-        if near[a, b] < threshold:
-            break
-        sums[a] = sums[a] + sums[b]
-        person[a] = max(person[a], person[b])
-        barred[a] |= barred[b]
-        label[label == b] = a
-        label[label > b] -= 1
-        del sums[b], person[b], barred[b]
-    return np.unique(label, return_inverse=True)[1]
+    into = merged_clusters(sums[:k], units[:k], np.concatenate([seeds, np.full(k - len(seeds), -1)]), barred, threshold)
+    return np.unique(into[label], return_inverse=True)[1]
+
 
+def merged_clusters(sums: np.ndarray, units: np.ndarray, person: np.ndarray, barred: list[set[int]], threshold: float) -> np.ndarray:
+    """The cluster that each cluster ends in, when the closest pair merges while it is over the threshold.
 
-def face_clusters(faces: DataFrame, threshold: float = 0.363, by: str | None = None, most: int = 20000) -> DataFrame:
+    Each cluster remembers its closest other one, so memory is linear in the
+    clusters and a merge compares only the merged one and those it was closest
+    to. A score below the threshold is not kept exact: it can only be passed by
+    the next merged cluster. The arguments are changed.
+    """
+    k = len(sums)
+    into, gone = np.arange(k), np.zeros(k, bool)
+    holder = {int(p): c for c, p in enumerate(person) if p >= 0}
+    bars: dict[int, set[int]] = {p: set() for p in holder}
+    for c, own in enumerate(barred):
+        for p in own & bars.keys():
+            bars[p].add(c)
+    score, other = np.full(k, -np.inf), np.full(k, -1)
+
+    def rows(of: np.ndarray) -> np.ndarray:
+        near = units[of] @ units.T
+        near[:, gone] = -np.inf
+        near[np.arange(len(of)), of] = -np.inf
+        for row, c in zip(near, of.tolist(), strict=True):
+            if person[c] >= 0:
+                row[person >= 0] = -np.inf
+                row[list(bars[int(person[c])])] = -np.inf
+            else:
+                row[[holder[p] for p in barred[c] & holder.keys()]] = -np.inf
+        return near
+
+    def refresh(of: np.ndarray) -> None:
+        for part in np.array_split(of, len(of) // 256 + 1):
+            if len(part):
+                near = rows(part)
+                other[part] = near.argmax(axis=1)
+                score[part] = near[np.arange(len(part)), other[part]]
+
+    refresh(np.arange(k))
+    while k > 1 and score.max() >= threshold:
+        a = int(score.argmax())
+        a, b = sorted((a, int(other[a])))
+        sums[a] += sums[b]
+        units[a] = sums[a] / max(np.linalg.norm(sums[a]), 1e-12)
+        person[a] = max(person[a], person[b])
+        if person[a] >= 0:
+            holder[int(person[a])] = a
+        for p in barred[b] & bars.keys():
+            bars[p].discard(b)
+            bars[p].add(a)
+        barred[a] |= barred[b]
+        gone[b], person[b], score[b], into[into == b] = True, -1, -np.inf, a
+        stale = ~gone & ((other == a) | (other == b))
+        stale[a] = False
+        again = np.flatnonzero(stale & (score >= threshold))
+        score[stale] = -np.inf
+        row = rows(np.array([a]))[0]
+        other[a] = row.argmax()
+        score[a] = row[other[a]]
+        closer = (row > score) | ((row == score) & (a < other))
+        closer[a] = False
+        closer &= ~gone
+        score[closer], other[closer] = row[closer], a
+        refresh(again)
+    return into
+
+
+def face_clusters(faces: DataFrame, threshold: float = 0.363, by: str | None = None) -> DataFrame:
     """id, block, cluster. The procedure is sequential, so it runs within blocks of one library (``by``).
 
-    A block of more than ``most`` faces is refused: clustering is quadratic in
-    the clusters of a block, and a larger library is to be cut by the caller.
+    Every face of a block takes part; time is quadratic in the clusters of a
+    block, memory linear in its faces.
     """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > most:
-            raise ValueError(f"a block holds {len(frame)} faces; the most is {most}")
         frame = frame.sort_values("id").reset_index(drop=True)
         v = np.array(frame["embedding"].to_list(), np.float64)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

@@ -12,6 +12,7 @@ from shutterlake.functions.media import COLOURS, colour_bucket
 from shutterlake.operators import dml, layout, vectors
 from shutterlake.operators.limits import small_list
 from shutterlake.plans.fixtures import load
+from shutterlake.plans.registry import QUERIES
 from shutterlake.sources import files, headers
 from shutterlake.streaming import ingest
 
@@ -37,6 +38,47 @@ def test_clusters_respect_corrections():
     assert label[0] != label[1]
 
 
+def test_clusters_against_every_pair(spark):
+    r = np.random.default_rng(7)
+    for n in (40, 120):
+        v = r.normal(size=(n, 12))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        fixed, barred = np.where(r.random(n) < 0.15, r.integers(0, 6, n), -1), np.where(r.random(n) < 0.3, r.integers(0, 8, n), -1)
+        got = vectors.cluster_block(v, fixed, barred, r.permutation(n), 0.363)
+        for c in set(got.tolist()):
+            assert len({p for p in fixed[got == c] if p >= 0}) <= 1
+        for p in set(fixed[fixed >= 0].tolist()):
+            own = set(got[fixed == p].tolist())
+            assert len(own) == 1 and not ((got == own.pop()) & (barred == p) & (fixed < 0)).any()
+        sums = [v[got == c].sum(axis=0) for c in range(got.max() + 1)]
+        for a in range(len(sums)):  # no two clusters are left that may merge
+            for b in range(a):
+                people = [{p for p in fixed[got == c] if p >= 0} for c in (a, b)]
+                bars = [{p for p in barred[(got == c) & (fixed < 0)] if p >= 0} for c in (a, b)]
+                if all(people) or people[0] & bars[1] or people[1] & bars[0]:
+                    continue
+                assert sums[a] @ sums[b] / np.linalg.norm(sums[a]) / np.linalg.norm(sums[b]) < 0.363
+
+
+def test_all_faces_are_clustered_and_vote(spark):
+    sf = "/root/testdata/sf0.1"
+    faces = load(spark, sf, "faces")
+    got = QUERIES["v6_a25_face_clusters"](spark, sf).toPandas()
+    assert sorted(got["id"]) == sorted(r["id"] for r in faces.select("id").collect()) and got["id"].max() >= 500
+    person = {r["id"]: r["person_id"] for r in faces.select("id", "person_id").collect()}
+    votes = {}
+    for i, c in zip(got["id"], got["cluster"], strict=True):
+        if person[i] is not None:
+            of = votes.setdefault(c, {})
+            of[person[i]] = of.get(person[i], 0) + 1
+    want = {}
+    for c in sorted(votes):
+        free = sorted((-n, p) for p, n in votes[c].items() if p not in want)
+        if free:
+            want[free[0][1]] = c
+    assert {r["person_id"]: r["cluster"] for r in QUERIES["v7_a26_claimed_labels"](spark, sf).collect()} == want
+
+
 def test_boxes(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 1.0, 0.0, 10.0, 10.0, 0.8), (1, 30.0, 0.0, 10.0, 10.0, 0.7)], "img long, x double, y double, w double, h double, score double")
     assert sorted(r["score"] for r in vectors.kept_boxes(df, "img").collect()) == [0.7, 0.9]
