@@ -17,13 +17,13 @@ ignored; repeated rows give repeated results; an empty table an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -34,7 +34,10 @@ from .common import plain_id, text_or_empty
 #: Words whose ids a task remembers; it forgets all when full.
 REMEMBERED = 600_000
 
-SCHEMA = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: A task hands on its results when they hold so many ids.
+BATCH = 1_000_000
+
+SCHEMA = "doc_id string, ids array<int>, text string"
 
 
 def byte_signs() -> list[str]:
@@ -129,19 +132,27 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256. ``path``: the vocabulary file, present on every executor."""
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, text: the ids of each text and what they decode to. ``path``: the vocabulary file, present on every executor."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
         for frame in frames:
-            rows = []
-            for text in frame["text"]:
+            rows, held = [], 0
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                 ids = bpe.encode(text)
-                digest = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-                rows.append((len(ids), digest, hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+                rows.append((doc, np.array(ids, np.int32), bpe.decode(ids)))
+                held += len(ids)
+                if held >= BATCH:
+                    yield pd.DataFrame(rows, columns=["doc_id", "ids", "text"])
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "ids", "text"])
 
     return docs.select(plain_id(), text_or_empty().alias("text")).mapInPandas(work, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, text, n_tokens, ids_sha256, decoded_sha256: all of ``encoded``, and digests derived from it."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded(docs, path).withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(ids.cast("binary"), 256), "decoded_sha256": F.sha2(F.col("text").cast("binary"), 256)})

@@ -47,7 +47,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op05_bpe.encoded_documents(_table(spark, sf_dir, "documents"), vocabulary())
+    docs = op05_bpe.encoded_documents(_table(spark, sf_dir, "documents"), vocabulary())
+    return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

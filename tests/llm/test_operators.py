@@ -220,6 +220,22 @@ def test_bpe_against_the_public_library(spark, odd, empty):
     assert bpe.encoded_documents(empty, queries.vocabulary()).count() == 0
 
 
+def test_bpe_keeps_ids_and_text(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(bpe, "BATCH", 5)
+    known = bpe.loaded(queries.vocabulary())
+    texts = ["one two three", "", "é 🙂 日本語", "a b c d e f g", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for run in (lambda: bpe.encoded(docs, queries.vocabulary()), lambda: p.bpe(spark, docs, SF)):
+        got = {r["doc_id"]: r for r in run().collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            assert got[i]["ids"] == known.encode(t or "") and got[i]["text"] == known.decode(got[i]["ids"])
+    assert dict(p.bpe(spark, docs, SF).dtypes)["ids"] == "array<int>"
+    assert queries.op5_bpe(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 # ---- 6 ----
 
 
