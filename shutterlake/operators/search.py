@@ -60,6 +60,12 @@ def people_named(persons: DataFrame, query: str) -> DataFrame:
     return persons.filter((F.col("hidden") == 0) & (F.trim(F.coalesce("name", F.lit(""))) != "") & named)
 
 
+def words_of_names(people: DataFrame, query: str) -> set[str]:
+    """Words of the query that stand in a name of ``people``, over all of them; no more come back than the query has."""
+    own = F.array_intersect(F.split(F.lower(F.trim("name")), r"(?U)[\s\x1c-\x1f]+"), F.array(*map(F.lit, words(query))).cast("array<string>"))
+    return {r["w"] for r in people.select(F.explode(own).alias("w")).distinct().collect()}
+
+
 def places_named(places: DataFrame, rest: list[str]) -> DataFrame:
     """Media (id) whose town (three letters or more) or country (four or more) stands in the rest of the query."""
     phrase = " ".join(rest)
@@ -73,11 +79,10 @@ def places_named(places: DataFrame, rest: list[str]) -> DataFrame:
 def search(media: DataFrame, query: str, persons: DataFrame, faces: DataFrame, analysis: DataFrame, places: DataFrame) -> DataFrame:
     """Media that meet every facet of the query (any value within a facet); without one, a file name search."""
     people = people_named(persons, query)
-    said = [r["name"] for r in people.select(F.lower(F.trim("name")).alias("name")).limit(50).collect()]
-    consumed = {w for n in said for w in n.split()}
+    consumed = words_of_names(people, query)
     facets = parse(" ".join(w for w in words(query) if w not in consumed))
     out, structured = media, False
-    if said:
+    if consumed:  # whoever is named shares a word with the query
         ids = faces.join(F.broadcast(people.select(F.col("id").alias("person_id"))), "person_id", "left_semi").select(F.col("media_id").alias("id"))
         out, structured = out.join(ids, "id", "left_semi"), True
     if facets.colours:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.dates import exif_seconds
 from shutterlake.functions.media import COLOURS, colour_bucket
-from shutterlake.operators import dml, layout, vectors
+from shutterlake.operators import dml, layout, search, vectors
 from shutterlake.operators.limits import small_list
 from shutterlake.plans.fixtures import load
 from shutterlake.plans.registry import QUERIES
@@ -227,6 +227,15 @@ def test_streaming_windows_equal_batch(spark, tmp_path):
     assert {(r["start"], r["event_type"]): r["n"] for r in spark.table("activity").collect()} == batch
 
 
+def test_search_reads_the_names_of_all_people(spark):
+    media, faces, analysis, cities = (load(spark, SF, t) for t in ("media", "faces", "analysis", "cities"))
+    rows = [(i, f"May N{i}", 0) for i in range(300)] + [(300, "  May Red ", 0), (301, "May Blue", 1)]
+    persons = spark.createDataFrame(rows, "id long, name string, hidden int").coalesce(1)
+    places = cities.limit(0).select("id", F.col("name").alias("city"), "country")
+    ids = [{r["id"] for r in search.search(media, q, persons, faces, analysis, places).collect()} for q in ("may", "May  RED", "may blue", "MAY red blue")]
+    assert ids[0] and ids[0] == ids[1] and ids[2] < ids[0] and ids[3] == ids[2]
+
+
 def test_long_lists_are_refused(spark):
     with pytest.raises(ValueError):
         small_list(spark.range(2000), "id")
