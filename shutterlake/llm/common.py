@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: The tables of each open ``scratch_tables`` block, innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end, but for those made with ``keep``.
+
+    What leaves the block must not read them: its plan may only hold tables
+    made with ``keep``, which belong to the block around this one, if any.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read of the table, and ids
@@ -42,6 +64,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/shutterlake/{name}-{uuid.uuid4().hex}"
+    owner = len(_open) - (2 if keep else 1)
+    if owner >= 0:
+        _open[owner].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -91,12 +116,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = materialize(both, f"{name}-edges")
-    total = both.count()
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), name)
-    nodes = labels.count()
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.least(F.col("node"), F.min("b")).alias("comp")), name)
+    nodes, total = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
+    degrees, labels = labels.select("node", F.col("degree").alias("_n")), labels.select("node", "comp")
     moved = nodes
     while moved:
-        near = salted_join(both.withColumnRenamed("b", "node"), labels, ["node"], ["a"], total)
+        near = salted_join(both.withColumnRenamed("b", "node"), labels, ["node"], ["a"], total, counts=degrees)
         near = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("_near"))
         step = materialize(labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp")), name)
         up = step.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
@@ -104,4 +129,4 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         seen = Observation()  # counted while the table is written
         labels = materialize(jumped.observe(seen, F.count_if(F.col("comp") != F.col("_old")).alias("moved")).select("node", "comp"), name)
         moved = seen.get["moved"]
-    return labels.select("node", "comp")
+    return labels

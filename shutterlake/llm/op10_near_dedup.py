@@ -9,9 +9,9 @@ t / total weight are ever generated, so a signature costs O(weight + k log k).
 
 Documents that agree on all coordinates of a band meet in a bucket. Within a
 bucket members are first compared with its most popular member, not with each
-other, then with the next LEADERS ones; leaders have met all members and leave,
-and a bucket is done when its members are in one class. What is then left is
-cut into blocks of BLOCK members, and each two blocks of a bucket are compared
+other; that leader has met all members and leaves, and a bucket is done when
+its members are in one class. What is then left is cut into blocks of BLOCK
+members and BLOCK_WEIGHT elements, and each two blocks of a bucket are compared
 by one numpy step that returns only links which join classes. So every pair
 that shares a bucket and ends in two classes has been compared, no task holds
 more than two blocks, and links are verified on the full sets.
@@ -24,23 +24,23 @@ count as one document; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, id_key, materialize, salted_join, text_or_empty
+from .common import connected_components, id_key, materialize, salted_join, scratch_tables, text_or_empty
 from .textkit import Words, batches, encoded, grams, mix
 
 RUN = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 6
-#: Leaders of a bucket in the second round; members of a block after that.
-LEADERS, BLOCK = 4, 128
-#: Cells of the membership matrix of two blocks; beyond, pairs are intersected one by one.
-CELLS = 1 << 25
+#: Members and elements of a block of what a bucket's leader leaves, as dealt by hash.
+BLOCK, BLOCK_WEIGHT = 512, 1 << 20
+#: Members that one matrix product compares with as many others; cells of the matrix, beyond which pairs are intersected one by one.
+TILE, CELLS = 128, 1 << 25
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,17 +148,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     class_id is the least doc_id of the class, whose row is kept; class_size
     counts documents. fp is the MD5 of the text.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty().cast("binary")).alias("fp"), text_or_empty().alias("text"))
-    signed = slim.select("fp", "text").mapInPandas(_band_frames, "fp string, weight long, bands array<long>")
-    texts = materialize(signed.dropDuplicates(["fp"]).withColumn("uid", F.monotonically_increasing_id()), "dart-signatures")
-    classes = _classes(slim, texts, similarity)
-    member = texts.select("fp", "uid").join(classes, "uid", "left").select("fp", F.coalesce("comp", "uid").alias("comp"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty().cast("binary")).alias("fp"))
-    by_text = ids.groupBy("fp").agg(F.min(F.struct(id_key().alias("k"), "doc_id", "fp")).alias("first"), F.count(F.lit(1)).alias("n"))
-    by_text = materialize(by_text.join(member, "fp"), "dart-members")
-    by_class = by_text.groupBy("comp").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
-    answer = materialize(salted_join(by_text.select("fp", "comp"), by_class, ["comp"], ["fp"], by_text.count()).select("fp", "first", "class_size"), "dart-answer")
-    out = salted_join(ids, answer, ["fp"], ["doc_id"], docs.count())
+    with scratch_tables(docs.sparkSession):
+        slim = docs.select(F.md5(text_or_empty().cast("binary")).alias("fp"), text_or_empty().alias("text"))
+        signed = slim.mapInPandas(_band_frames, "fp string, weight long, bands array<long>")
+        texts = materialize(signed.dropDuplicates(["fp"]).withColumn("uid", F.monotonically_increasing_id()), "dart-signatures")
+        classes = _classes(slim, texts, similarity)
+        member = texts.select("fp", "uid").join(classes, "uid", "left").select("fp", F.coalesce("comp", "uid").alias("comp"))
+        by_text = ids.groupBy("fp").agg(F.min(F.struct(id_key().alias("k"), "doc_id", "fp")).alias("first"), F.count(F.lit(1)).alias("n"))
+        by_text = materialize(by_text.join(member, "fp"), "dart-members")
+        by_class = by_text.groupBy("comp").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
+        answer = salted_join(by_text.select("fp", "comp", "n"), by_class, ["comp"], ["fp"], by_text.count()).select("fp", "n", "first", "class_size")
+        answer = materialize(answer, "dart-answer", keep=True)
+    out = salted_join(ids, answer.drop("n"), ["fp"], ["doc_id"], docs.count(), counts=answer.select("fp", F.col("n").alias("_n")))
     kept = (id_key() == F.col("first.k")) & (F.col("fp") == F.col("first.fp"))
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"), "fp")
 
@@ -168,76 +170,56 @@ def _classes(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     banded = texts.select("uid", "weight", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     seats = materialize(salted_join(banded, shared, ["band"], ["uid"], texts.count() * BANDS), "dart-buckets")
+    n_seats = seats.count()
+    if not n_seats:
+        return texts.select("uid", F.col("uid").alias("comp")).limit(0)
     # the text that others were copied from shares most bands with most of them and leads best
     popular = seats.groupBy("uid").agg(F.sum("n").alias("pop"))
-    seats = materialize(seats.drop("n").join(popular, "uid").withColumn("comp", F.col("uid")), "dart-buckets")
-    met = materialize(seats.select("uid").distinct().join(texts.select("uid", "fp"), "uid"), "dart-candidates")
+    seats = materialize(seats.join(popular, "uid"), "dart-seats")
     # copies of a text are dropped before its set is made: partial dropDuplicates leaves one a task
-    wanted = slim.select("fp", "text").dropDuplicates(["fp"]).join(met, "fp").select("uid", "text")
+    wanted = slim.dropDuplicates(["fp"]).join(texts.select("uid", "fp").join(popular.select("uid"), "uid", "left_semi"), "fp").select("uid", "text")
     sets = materialize(wanted.mapInPandas(_set_frames, "uid long, elements array<long>"), "dart-sets")
-    classes = texts.select("uid", F.col("uid").alias("comp")).limit(0)
-    links, n_seats = None, seats.count()
-    for leaders in (1, LEADERS):
-        if not n_seats:
-            return classes
-        lead = materialize(_leaders(seats, leaders), "dart-leaders")
-        pairs = salted_join(seats, lead, ["band"], ["uid"], n_seats)
-        # only leaders of other classes and of a weight that allows the similarity
-        pairs = pairs.select("uid", F.explode(F.filter("leaders", _comparable(similarity))).alias("l"))
-        pairs = pairs.select(F.least("uid", "l.uid").alias("a"), F.greatest("uid", "l.uid").alias("b")).distinct()
-        new = materialize(_verified(materialize(pairs, "dart-pairs"), sets, similarity), "dart-links")
-        links = new if links is None else links.union(new)
-        if new.limit(1).count():
-            classes = connected_components(links, "dart-classes").withColumnRenamed("node", "uid")
-        # leaders have met all members of their buckets and go; a bucket of one class is done
-        gone = lead.select("band", F.explode("leaders.uid").alias("uid"))
-        rest = seats.drop("comp").join(gone, ["band", "uid"], "left_anti")
-        rest = materialize(salted_join(rest, classes, ["uid"], ["band"], n_seats, "left").withColumn("comp", F.coalesce("comp", "uid")), "dart-buckets")
-        divided = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", "n")
-        seats = materialize(salted_join(rest, divided, ["band"], ["uid"], n_seats), "dart-buckets")
-        n_seats = seats.count()
-        seats = seats if leaders == LEADERS else seats.drop("n")
-    if not n_seats:
-        return classes
-    new = materialize(_block_links(seats, sets, similarity, n_seats), "dart-links")
-    if new.limit(1).count():
-        classes = connected_components(links.union(new), "dart-classes").withColumnRenamed("node", "uid")
+    counts = seats.select("band", F.col("n").alias("_n")).distinct()
+    lead = materialize(seats.groupBy("band").agg(F.max(F.struct("pop", "uid", "weight")).alias("lead")), "dart-leaders")
+    pairs = salted_join(seats, lead, ["band"], ["uid"], n_seats, counts=counts)
+    # only leaders whose weight allows the similarity
+    alike = F.least("weight", "lead.weight") >= F.greatest("weight", "lead.weight") * similarity - 1e-9
+    pairs = pairs.filter(alike & (F.col("uid") != F.col("lead.uid"))).select(F.least("uid", "lead.uid").alias("a"), F.greatest("uid", "lead.uid").alias("b")).distinct()
+    classes = connected_components(_verified(materialize(pairs, "dart-pairs"), sets, similarity), "dart-classes").withColumnRenamed("node", "uid")
+    # leaders have met all members of their buckets and go; a bucket of one class is done
+    rest = salted_join(seats, lead, ["band"], ["uid"], n_seats, counts=counts).filter(F.col("uid") != F.col("lead.uid")).select("band", "uid", "weight")
+    rest = materialize(rest.join(classes, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")), "dart-rest")
+    divided = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).filter("x <> y")
+    blocks = F.ceil(F.greatest(F.col("n") / float(BLOCK), F.col("w") / float(BLOCK_WEIGHT))).cast("int")
+    rest = materialize(salted_join(rest, divided.select("band", blocks.alias("blocks")), ["band"], ["uid"], n_seats), "dart-divided")
+    joined = materialize(_block_links(rest, sets, similarity, n_seats), "dart-joined")
+    if joined.limit(1).count():  # classes are few here: each joins others as one node
+        above = connected_components(joined, "dart-joined-classes").select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+        classes = classes.join(joined.select(F.col("a").alias("uid")).union(joined.select("b")).distinct(), "uid", "full_outer").withColumn("comp", F.coalesce("comp", "uid"))
+        classes = salted_join(classes, above, ["comp"], ["uid"], n_seats, "left").select("uid", F.coalesce("_up", "comp").alias("comp"))
     return classes
 
 
-def _block_links(seats: DataFrame, sets: DataFrame, similarity: float, n_seats: int) -> DataFrame:
-    """Links between classes among the members left in each bucket (n of them), block by block."""
-    blocks = F.ceil(F.col("n") / float(BLOCK)).cast("int")
-    rows = salted_join(seats, sets, ["uid"], ["band"], n_seats).withColumn("blocks", blocks)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("uid", "band"), F.col("blocks")).cast("int"))
-    packed = rows.groupBy("band", "block", "blocks").agg(F.collect_list(F.struct("uid", "comp", "elements")).alias("members"))
-    packed = materialize(packed, "dart-blocks")
-    # block i meets the blocks from i on; each pair of blocks is a key of its own
-    one = packed.select("band", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("members").alias("x"))
-    two = packed.select("band", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("members").alias("y"))
-    met = one.join(two, ["band", "i", "j"]).select("x", "y")
+def _block_links(rest: DataFrame, sets: DataFrame, similarity: float, n_seats: int) -> DataFrame:
+    """Links (a, b) between the classes of what is left in each bucket (band, uid, comp, blocks), two blocks at a time."""
+    rows = rest.withColumn("block", F.pmod(F.xxhash64("uid", "band"), F.col("blocks")).cast("int"))
+    # block i meets the blocks from i on; each two blocks are a key of their own
+    later = F.transform(F.sequence("block", F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(False).alias("second")))
+    before = F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("second")))
+    before = F.filter(before, lambda p: p["i"] < p["j"])
+    rows = salted_join(rows, sets, ["uid"], ["band"], n_seats)
+    met = rows.select("band", "uid", "comp", "elements", F.explode(F.concat(later, before)).alias("p")).select("band", "uid", "comp", "elements", "p.*")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for x, y in zip(frame["x"], frame["y"], strict=True):
-                yield pd.DataFrame(_joining_links([(m["uid"], m["comp"], m["elements"]) for m in x], [(m["uid"], m["comp"], m["elements"]) for m in y], similarity), columns=["a", "b"])
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame[~frame["second"]]
+        y = frame[frame["second"]] if frame["second"].any() else x
+        return pd.DataFrame(_joining_links(x, y, similarity), columns=["a", "b"])
 
-    return met.mapInPandas(work, "a long, b long").distinct()
+    return met.groupBy("band", "i", "j").applyInPandas(work, "a long, b long").distinct()
 
 
-def _joining_links(x: list, y: list, similarity: float) -> list[tuple[int, int]]:
-    """Links (uid, uid) of two blocks of (uid, class, elements) that join classes; one that joins what is joined is left out."""
-    every = [np.asarray(e) for _, _, e in (*x, *y)]
-    size = np.array([len(e) for e in every])
-    m = len(x)
-    kinds, place = np.unique(np.concatenate(every), return_inverse=True) if len(every) else (np.zeros(0), np.zeros(0, int))
-    if len(every) * len(kinds) <= CELLS:
-        held = np.zeros((len(every), len(kinds)), np.float32)
-        held[np.repeat(np.arange(len(every)), size), place] = 1
-        both = held[:m] @ held[m:].T
-    else:
-        both = np.array([[len(np.intersect1d(a, b, assume_unique=True)) if similarity * max(len(a), len(b)) <= min(len(a), len(b)) else 0 for b in every[m:]] for a in every[:m]])
-    near = both >= (size[:m, None] + size[None, m:] - both) * similarity - 1e-6
+def _joining_links(x: pd.DataFrame, y: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Classes (of uid, comp, elements) of two blocks that a link joins; what is joined already is left out."""
     up: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -246,31 +228,33 @@ def _joining_links(x: list, y: list, similarity: float) -> list[tuple[int, int]]
         return c
 
     out = []
-    for i, j in zip(*np.nonzero(near), strict=True):
-        a, b = top(x[i][1]), top(y[j][1])
-        if a != b:
-            up[a] = b
-            out.append((x[i][0], y[j][0]))
+    for i in range(0, len(x), TILE):
+        for j in range(i if x is y else 0, len(y), TILE):
+            one, two = x.iloc[i : i + TILE], y.iloc[j : j + TILE]
+            classes = one["comp"].tolist(), two["comp"].tolist()
+            if len({top(c) for c in (*classes[0], *classes[1])}) == 1:
+                continue
+            for m, n in zip(*np.nonzero(_near(one["elements"].tolist(), two["elements"].tolist(), similarity)), strict=True):
+                a, b = top(classes[0][m]), top(classes[1][n])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((classes[0][m], classes[1][n]))
     return out
 
 
-def _comparable(similarity: float) -> Callable[[Column], Column]:
-    def test(leader: Column) -> Column:
-        alike = F.least("weight", leader["weight"]) >= F.greatest("weight", leader["weight"]) * similarity - 1e-9
-        return (leader["comp"] != F.col("comp")) & alike
-
-    return test
-
-
-def _leaders(seats: DataFrame, most: int) -> DataFrame:
-    """band, leaders: the ``most`` most popular members of each bucket."""
-    if most == 1:
-        one = seats.groupBy("band").agg(F.max(F.struct("pop", "uid", "weight", "comp")).alias("one"))
-        return one.select("band", F.array(F.struct("one.uid", "one.weight", "one.comp")).alias("leaders"))
-    # the rank limit is applied in each task before the shuffle
-    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("pop"), F.desc("uid")))
-    few = seats.withColumn("rank", rank).filter(F.col("rank") <= most)
-    return few.groupBy("band").agg(F.collect_list(F.struct("uid", "weight", "comp")).alias("leaders"))
+def _near(x: list, y: list, similarity: float) -> np.ndarray:
+    """[x, y]: whether two element sets reach the similarity."""
+    every = [np.asarray(e) for e in (*x, *y)]
+    size = np.array([len(e) for e in every])
+    m = len(x)
+    kinds, place = np.unique(np.concatenate(every), return_inverse=True)
+    if len(every) * len(kinds) <= CELLS:
+        held = np.zeros((len(every), len(kinds)), np.float32)
+        held[np.repeat(np.arange(len(every)), size), place] = 1
+        both = held[:m] @ held[m:].T
+    else:
+        both = np.array([[len(np.intersect1d(a, b, assume_unique=True)) if similarity * max(len(a), len(b)) <= min(len(a), len(b)) else 0 for b in every[m:]] for a in every[:m]])
+    return both >= (size[:m, None] + size[None, m:] - both) * similarity - 1e-6
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
