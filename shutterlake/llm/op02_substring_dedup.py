@@ -48,11 +48,11 @@ class Minimizers:
     def __init__(self, texts: list[bytes]):
         self.words = w = Words(texts)
         self.word_hash = w.hash
-        n = max(0, len(w.start) - WINDOW + 1)
+        n = max(0, len(w.start) - WINDOW + 1)  # a batch of fewer words has no window
         valid = w.doc[:n] == w.doc[WINDOW - 1 :] if n else np.zeros(0, bool)
         gram = grams(self.word_hash, GRAM)
-        best, reach, need = np.arange(len(gram)), 1, WINDOW - GRAM + 1
-        while reach < need and len(best):
+        best, reach, need = np.arange(len(gram) if n else 0), 1, WINDOW - GRAM + 1
+        while reach < need and n:
             step = min(reach, need - reach)
             left, right = best[: len(best) - step], best[step:]
             best = np.where(gram[left] <= gram[right], left, right)  # the leftmost of equals

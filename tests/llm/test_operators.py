@@ -151,6 +151,37 @@ def test_substrings_gathered_and_counted_alike(spark, monkeypatch, hot):
         assert got[i] == (len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone)))
 
 
+def brute_kept(texts):
+    n = Counter(tuple(t.split()[i : i + 35]) for t in texts for i in range(len(t.split()) - 34))
+    out = []
+    for t in texts:
+        w = t.split()
+        gone = {j for s in range(len(w) - 34) if n[tuple(w[s : s + 35])] > 1 for j in range(s, s + 35)}
+        out.append((len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
+    return out
+
+
+def test_minimizers_of_every_batch_size():
+    text = " ".join(words_of(12, 120))
+    for n in range(101):
+        one = " ".join(text.split()[:n]).encode()
+        for batch in ([one], [one, b""], [b"a b", one]):
+            m = substrings.Minimizers(batch)
+            covered = sum((m.high - m.low + 1).tolist())
+            assert covered == max(0, n - 34)
+
+
+def test_substrings_of_every_length(spark):
+    base = words_of(13, 100)
+    texts = [" ".join(base[:n]) for n in range(101)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.without_repeats(docs).collect()}
+    assert [got[i] for i in range(101)] == brute_kept(texts)
+    for n in (15, 22, 31):  # alone in the only task
+        one = spark.createDataFrame([(1, texts[n])], "doc_id long, text string")
+        assert substrings.without_repeats(one).first()["n_removed"] == 0
+
+
 # ---- 3 ----
 
 
