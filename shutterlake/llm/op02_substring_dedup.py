@@ -6,13 +6,16 @@ every shard to every document would cost the square of the corpus, so shards
 are routed instead of broadcast: each window of WINDOW words is represented by
 its minimizer (the GRAM-word run in it with the least hash, which equal windows
 share), only minimizers that occur twice are followed up, and the passages
-around one minimizer are a reference shard. A task holds whole shards, builds
-the automaton of each over its distinct passages, and streams the passages
-through it: a window whose automaton state has two occurrences is repeated.
+around a range of minimizers, SHARD_WORDS words in all, are a reference shard.
+A task builds the automaton of each shard over its distinct passages, with the
+number of places of each as end counts, and streams them through it: a window
+whose automaton state ends at two places is repeated.
 
-The passages of a minimizer with more than HOT occurrences are not gathered.
-They are counted by 128-bit hashes with partial aggregation: passages that are
-equal as a whole first, one row each, and then the windows of one of each.
+The passages of a minimizer with more than HOT occurrences would not fit in a
+task. Partial aggregation counts them by 128-bit hashes instead: passages that
+are equal as a whole first, one row each, and then the windows of one of each.
+The words decide there as well: the least and the greatest text under each hash
+are carried along and must be the same, else the job ends with an error.
 
 Defined cases: null text has no words; texts shorter than a window keep all
 words; rows that repeat doc_id and text are occurrences of their own and give
@@ -27,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_key, materialize, plain_id, salted_join, text_key, text_or_empty
 from .textkit import Words, batches, encoded, grams, mix
 
 WINDOW = 35
-#: Words of a minimizer; occurrences from which its windows are counted by hash.
+#: Words of a minimizer; occurrences beyond which its passages are counted and not gathered.
 GRAM, HOT = 10, 1000
+#: Words of the distinct passages of a shard, from which it is closed.
+SHARD_WORDS = 100_000
 
 
 class Minimizers:
@@ -108,8 +113,7 @@ def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 marked[w.first[i] + np.asarray(own["cold"].iloc[i], np.int64)] = True
             hit = np.flatnonzero(marked[m.place])
             doc = m.doc[hit]
-            said = [w.data[x:y] for x, y in zip(w.start[m.low[hit]], w.end[m.high[hit] + WINDOW - 1], strict=True)]
-            yield pd.DataFrame({"h": m.hash[hit], "id": own["id"].to_numpy()[doc], "tk": own["tk"].to_numpy()[doc], "at": (m.low[hit] - w.first[doc]).astype(np.int32), "said": said})
+            yield pd.DataFrame({"h": m.hash[hit], "id": own["id"].to_numpy()[doc], "tk": own["tk"].to_numpy()[doc], "at": (m.low[hit] - w.first[doc]).astype(np.int32), "said": _said(m, m.low[hit], m.high[hit] + WINDOW - 1)})
 
 
 def _hot_passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,6 +129,7 @@ def _hot_passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             doc, low, high = m.doc[hit], m.low[hit], m.high[hit]
             out = {"id": own["id"].to_numpy()[doc], "tk": own["tk"].to_numpy()[doc], "place": (m.place[hit] - m.words.first[doc]).astype(np.int32), "at": (low - m.words.first[doc]).astype(np.int32), "n": (high - low + 1).astype(np.int32)}
+            out["said"] = _said(m, low, high + WINDOW - 1)
             for name, hashes in zip(("c1", "c2"), _window_hashes(m), strict=True):
                 up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), x))) for x in (step, back))
                 sums = np.append(np.uint64(0), np.cumsum(hashes * up[:-1]))
@@ -132,6 +137,12 @@ def _hot_passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out)
 
 
+def _said(m: Minimizers, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """The words from number ``first`` to ``last``, joined by one space."""
+    start, end, data = m.words.start, m.words.end, m.words.data
+    return [b" ".join(data[start[x] : end[y]].split()) for x, y in zip(first, last, strict=True)]
+
+
 def _marked(m: Minimizers, own: pd.DataFrame) -> np.ndarray:
     marked = np.zeros(len(m.words.start), bool)
     for i, at in enumerate(own["hot"]):
@@ -158,19 +169,19 @@ def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = np.repeat(m.low[hit], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             one, two = _window_hashes(m)
             doc = w.doc[at]
-            yield pd.DataFrame({"w1": one[at].view(np.int64), "w2": two[at].view(np.int64), "id": own["id"].to_numpy()[doc], "tk": own["tk"].to_numpy()[doc], "at": (at - w.first[doc]).astype(np.int32)})
+            yield pd.DataFrame({"w1": one[at].view(np.int64), "w2": two[at].view(np.int64), "id": own["id"].to_numpy()[doc], "tk": own["tk"].to_numpy()[doc], "at": (at - w.first[doc]).astype(np.int32), "said": _said(m, at, at + WINDOW - 1)})
 
 
 class SuffixAutomaton:
-    """Of a set of word sequences, with the number of places at which each state's strings end."""
+    """Of word sequences, each said at ``times`` places, with the number of places at which each state's strings end."""
 
-    def __init__(self, sequences: list[list[bytes]]):
+    def __init__(self, sequences: list[list[bytes]], times: list[int]):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.len, self.ends = [-1], [0], [0]
-        for words in sequences:
+        for words, n in zip(sequences, times, strict=True):
             last = 0
             for word in words:
-                last = self._extend(last, word)
+                last = self._extend(last, word, n)
         order = sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True)
         for v in order:
             self.ends[self.link[v]] += self.ends[v]
@@ -191,13 +202,13 @@ class SuffixAutomaton:
             p = self.link[p]
         return c
 
-    def _extend(self, last: int, word: bytes) -> int:
+    def _extend(self, last: int, word: bytes, times: int) -> int:
         q = self.next[last].get(word)
         if q is not None:  # known from an earlier sequence
             v = q if self.len[q] == self.len[last] + 1 else self._copy(last, word, q)
-            self.ends[v] += 1
+            self.ends[v] += times
             return v
-        v, p = self._state(self.len[last] + 1, 1, {}, 0), last
+        v, p = self._state(self.len[last] + 1, times, {}, 0), last
         while p >= 0 and word not in self.next[p]:
             self.next[p][word] = v
             p = self.link[p]
@@ -233,37 +244,38 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _shard(passages: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-    """id, tk, start, end of the repeated stretches of the passages of one minimizer."""
-    places: dict[bytes, list[tuple[int, int, int]]] = {}
-    for i, k, at, said in passages:
-        places.setdefault(b" ".join(said.split()), []).append((i, k, at))
-    distinct = {said: said.split(b" ") for said in places}
-    automaton = SuffixAutomaton(list(distinct.values())) if len(distinct) > 1 else None
-    for said, own in places.items():
-        words = distinct[said]
-        if len(own) > 1:
-            runs = [(0, len(words))]
-        else:
-            runs = _runs(automaton.repeated(words, WINDOW)) if automaton else []
+Places = dict[bytes, list[tuple[int, int, int]]]
+
+
+def _shard(places: Places) -> Iterator[tuple[int, int, int, int]]:
+    """id, tk, start, end of the repeated stretches of the passages of a shard, given where each stands."""
+    words = [said.split(b" ") for said in places]
+    automaton = SuffixAutomaton(words, [len(own) for own in places.values()])
+    for passage, own in zip(words, places.values(), strict=True):
+        runs = _runs(automaton.repeated(passage, WINDOW))
         for i, k, at in own:
             for a, b in runs:
                 yield i, k, at + a, at + b
 
 
 def _matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Repeated stretches, shard by shard; rows come sorted by minimizer."""
+    """Repeated stretches, shard by shard; rows come sorted by minimizer, and a minimizer is in one shard."""
     columns = ["id", "tk", "start", "end"]
-    shard, waiting = None, []
+    last, places, held = None, {}, 0
     for frame in frames:
         out = []
         for r in frame.itertuples(index=False):
-            if r.h != shard:
-                out += _shard(waiting)
-                shard, waiting = r.h, []
-            waiting.append((r.id, r.tk, r.at, r.said))
+            if r.h != last and held >= SHARD_WORDS:
+                out += _shard(places)
+                places, held = {}, 0
+            last = r.h
+            own = places.get(r.said)
+            if own is None:
+                own = places[r.said] = []
+                held += r.said.count(b" ") + 1
+            own.append((r.id, r.tk, r.at))
         yield pd.DataFrame(out, columns=columns)
-    yield pd.DataFrame(list(_shard(waiting)), columns=columns)
+    yield pd.DataFrame(list(_shard(places)), columns=columns)
 
 
 def _removed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,6 +293,12 @@ def _removed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
+def _alike(said: str) -> Column:
+    """True if one text stands under a hash; an error if two do."""
+    clash = F.raise_error(F.lit("two passages share a 128-bit hash"))
+    return F.when(F.min(said) == F.max(said), F.lit(True)).otherwise(clash.cast("boolean")).alias("alike")
+
+
 def without_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row per row of ``docs``; with ``texts`` also what is kept, null where nothing goes."""
     rows = docs.select(plain_id(), id_key().alias("id"), text_key().alias("tk"), text_or_empty().alias("text"))
@@ -299,15 +317,18 @@ def without_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     cuts = passages.repartition(int(n), "h").sortWithinPartitions("h").mapInPandas(_matched, "id long, tk long, start int, end int")
     often_said = open_.filter("hot is not null").select("id", "tk", "text", "hot")
-    whole_runs = often_said.mapInPandas(_hot_passages, "c1 long, c2 long, id long, tk long, place int, at int, n int")
-    same = whole_runs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("id", "tk", "place")).alias("first"))
+    whole_runs = often_said.mapInPandas(_hot_passages, "c1 long, c2 long, id long, tk long, place int, at int, n int, said binary")
+    same = whole_runs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("id", "tk", "place")).alias("first"), _alike("said"))
     same = materialize(same, "substring-runs")
     n_same = same.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    whole_runs = whole_runs.drop("said")
     equal = salted_join(whole_runs, same.filter("_n > 1").select("c1", "c2"), ["c1", "c2"], ["id", "tk", "at"], n_same, counts=same.select("c1", "c2", "_n"))
     cuts = cuts.unionByName(equal.select("id", "tk", F.col("at").alias("start"), (F.col("at") + F.col("n") + (WINDOW - 1)).alias("end")))
     firsts = same.select("first.*").groupBy("id", "tk").agg(F.collect_set("place").alias("hot"))
-    windows = often_said.drop("hot").join(firsts, ["id", "tk"]).select("id", "tk", "text", "hot").mapInPandas(_windows, "w1 long, w2 long, id long, tk long, at int")
-    often = materialize(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "substring-windows")
+    windows = often_said.drop("hot").join(firsts, ["id", "tk"]).select("id", "tk", "text", "hot").mapInPandas(_windows, "w1 long, w2 long, id long, tk long, at int, said binary")
+    often = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n"), _alike("said"))
+    often = materialize(often.filter("_n > 1 and alike"), "substring-windows")
+    windows = windows.drop("said")
     n_often = often.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     again = salted_join(windows, often.select("w1", "w2"), ["w1", "w2"], ["id", "tk", "at"], n_often, counts=often)
     cuts = cuts.unionByName(again.select("id", "tk", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end")))

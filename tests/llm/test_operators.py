@@ -131,24 +131,33 @@ def test_suffix_automaton_against_counting():
     for _ in range(60):
         seqs = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(1, 25))] for _ in range(r.randint(1, 4))]
         seqs = [list(x) for x in dict.fromkeys(map(tuple, seqs))]
-        auto = substrings.SuffixAutomaton(seqs)
-        n = Counter(tuple(s[i : i + 3]) for s in seqs for i in range(len(s) - 2))
+        times = [r.randint(1, 2) for _ in seqs]
+        auto = substrings.SuffixAutomaton(seqs, times)
+        n = Counter()
+        for s, t in zip(seqs, times, strict=True):
+            for i in range(len(s) - 2):
+                n[tuple(s[i : i + 3])] += t
         for s in seqs:
             assert auto.repeated(s, 3) == [i for i in range(len(s) - 2) if n[tuple(s[i : i + 3])] > 1]
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_substrings_gathered_and_counted_alike(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "shard"), [(1000, 100_000), (1000, 1), (2, 100_000)])
+def test_substrings_gathered_and_counted_alike(spark, monkeypatch, hot, shard):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
     passage = words_of(9, 50)
     texts = [" ".join(words_of(100 + i, 30) + passage[: 36 + i % 15] + words_of(200 + i, 10)) for i in range(12)] + [" ".join(["la"] * 200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.without_repeats(docs).collect()}
-    n = Counter(tuple(t.split()[i : i + 35]) for t in texts for i in range(len(t.split()) - 34))
-    for i, t in enumerate(texts):
-        w = t.split()
-        gone = {j for s in range(len(w) - 34) if n[tuple(w[s : s + 35])] > 1 for j in range(s, s + 35)}
-        assert got[i] == (len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone)))
+    assert [got[i] for i in range(len(texts))] == brute_kept(texts)
+
+
+def test_a_passage_in_very_many_places(spark):
+    passage = words_of(14, 60)
+    texts = [" ".join([f"a{i}", f"b{i % 7}", *passage, f"c{i % 3}", f"d{i}"]) for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.without_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_kept(texts)
 
 
 def brute_kept(texts):
