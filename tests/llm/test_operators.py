@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -195,11 +196,11 @@ def test_substrings_of_every_length(spark):
 
 
 def brute_top(rows, every, k):
-    use = {i: np.floor(256 * np.array(v, np.float64)).astype(np.int64) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    use = {i: np.array([math.floor(256.0 * x) for x in v], object) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
     for q in use:
         if q % every == 0:
-            best = sorted((-int(use[q] @ v), i) for i, v in use.items() if i != q and len(v) == len(use[q]))[:k]
+            best = sorted((-int(sum(use[q] * v)), i) for i, v in use.items() if i != q and len(v) == len(use[q]))[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -209,12 +210,18 @@ def test_topk_against_brute_force(spark, monkeypatch):
     rows = [(i, [float(x) for x in r.normal(size=16) * (3 if i % 7 else 0.01)]) for i in range(700)]
     rows += [(1000 + i, rows[50][1]) for i in range(40)]  # ties
     rows += [(2000, None), (2050, [None] * 16), (2100, [float("nan")] * 16), (2150, [float("inf")] * 16), (None, rows[0][1]), (2200, [1.0, 2.0]), (2250, [2.0, 1.0]), (2300, [])]
+    # large components: one block is wide, its scores need more than 32, 62 or 64 bits on the way
+    rows += [(2400, [1.0, 1.0, 0.0]), (2401, [1e8, 0.0, 0.0]), (2402, [3.0, 0.0, 1.0]), (2403, [2.0, -1e8, 0.0]), (2404, [-1e15, 1e12, 0.0]), (2405, [0.0, 0.0, 1e15])]
+    rows += [(2450, [0.004, 0.0, 0.004]), (2500, [0.0, 0.0, 0.004])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     for size in (8192, 100):
         monkeypatch.setattr(topk, "BLOCK_ROWS", size)
         got = sorted(tuple(x) for x in topk.nearest_neighbours(df).collect())
         assert got == brute_top(rows, 50, 5)
     assert topk.nearest_neighbours(df.limit(0)).count() == 0
+    over = spark.createDataFrame([(50, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="CAST|cast|overflow"):  # 2.56e12 squared is no long
+        topk.nearest_neighbours(over).collect()
 
 
 # ---- 4 ----
