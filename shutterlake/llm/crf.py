@@ -33,6 +33,26 @@ def _plan(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, size, alive
 
 
+def overlapped(first: np.ndarray, size: np.ndarray, core: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Long sequences as pieces of ``core`` entries with ``side`` more around them.
+
+    (entry of each place in the pieces, first place and size of each piece,
+    whether a place is in its piece's core). An entry is in one core, and what
+    a chain says of it depends on entries over ``side`` away by a factor that
+    falls exponentially, so the pieces answer as the whole would.
+    """
+    n = -(-size // core)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    low, high = np.repeat(first, n), np.repeat(first + size, n)
+    start = low + nth * core
+    stop = np.minimum(start + core, high)
+    a, b = np.maximum(start - side, low), np.minimum(stop + side, high)
+    held = b - a
+    place = np.cumsum(held) - held
+    entry = np.arange(held.sum()) + np.repeat(a - place, held)
+    return entry, place, held, (entry >= np.repeat(start, held)) & (entry < np.repeat(stop, held))
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis)
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis=axis))
@@ -72,9 +92,11 @@ def viterbi(chain: Chain, score: np.ndarray, first: np.ndarray, size: np.ndarray
     return out
 
 
-def train(features: np.ndarray, tags: np.ndarray, first: np.ndarray, size: np.ndarray, n_features: int, n_states: int, rounds: int = 40, rate: float = 0.3, decay: float = 1e-3) -> Chain:
-    """Maximum likelihood by full-batch Adam with weight decay; deterministic."""
+def train(features: np.ndarray, tags: np.ndarray, first: np.ndarray, size: np.ndarray, n_features: int, n_states: int, rounds: int = 40, rate: float = 0.3, decay: float = 1e-3, start: Chain | None = None) -> Chain:
+    """Maximum likelihood by full-batch Adam with weight decay, from ``start`` on; deterministic."""
     chain = Chain(np.zeros((n_features, n_states)), np.zeros((n_states, n_states)))
+    if start is not None:
+        chain = Chain(start.emit.astype(np.float64), start.move.astype(np.float64))
     state = [[np.zeros_like(w), np.zeros_like(w)] for w in (chain.emit, chain.move)]
     inner = np.ones(len(tags), bool)
     inner[first] = False

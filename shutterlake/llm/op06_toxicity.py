@@ -1,11 +1,16 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels are given for documents only, so words are labelled first: a word that
-far more toxic than other training documents hold marks its places in toxic
-documents. A two-state CRF learns these tags from a bounded sample of lines.
-Forward-backward marginals then give each word's chance to be toxic; their sum
-and maximum over the whole document pass through a logistic curve fitted on the
-sample's document labels. Words whose marginal is over 0.5 are the offsets.
+Labels are given for documents only, so words are labelled first. A feature (a
+word, its first four or six bytes, its last three) is a mark if it makes up a far
+larger share of toxic than of other training texts, in several contexts; the words
+of toxic documents with a marked feature are tagged, and a two-state CRF learns the tags
+from a bounded sample of lines. The tags are guesses: the CRF tags the toxic
+documents anew by its marginals, at least one word in each where it sees any,
+and learns once more from these, so that words the marks missed come in and
+wrong ones go. Forward-backward marginals then give each word's chance to be
+toxic; their sum, their sum for a hundred words and their maximum over the whole
+document pass through a logistic curve fitted on the sample's document labels.
+Words whose marginal is over 0.5 are the offsets.
 
 Labels come from rows with crc32(doc_id as text) mod 5 > 0 alone. Nothing but
 the text enters a score.
@@ -14,7 +19,9 @@ Defined cases: null text is empty; an empty text gets the score of a document
 without toxic words; a null doc_id counts as held out; labels that repeat a
 doc_id count once, toxic if any is; without training rows of both kinds every
 score is the share of toxic labels, or 0; an empty table gives an empty result;
-repeated rows give repeated results; other columns are ignored.
+repeated rows give repeated results; texts that are equal count once in
+training, toxic if any is labelled so; other columns are ignored. The same rows
+give the same model however they are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -27,17 +34,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, plain_id, text_or_empty
-from .crf import Chain, forward_backward, train
+from .common import materialize, plain_id, scratch_tables, text_or_empty
+from .crf import Chain, forward_backward, overlapped, train
 from .textkit import Words, batches, encoded
 
-#: The classifier's sample: labelled documents of each kind, lines of each.
-SAMPLE_DOCS, SAMPLE_LINES = 3000, 2
-#: A word marks toxicity if it follows so many different words in toxic documents, so many
-#: times as often as in the others. (Near copies repeat a word after the same word.)
-LEAST_CONTEXTS, LEAST_RATIO, MOST_WORDS = 4, 8.0, 2000
-#: Words in a chain at most; features.
-CHAIN, FEATURES = 256, 1 << 16
+#: The classifier's sample: labelled documents of each kind, and of each the lines with the strongest marks.
+SAMPLE_DOCS, SAMPLE_LINES = 2000, 2
+#: A feature is a mark if so many different words stand before it in toxic documents, and these make
+#: up so many times as large a share there as in others. (Near copies repeat a word after the same word.)
+LEAST_CONTEXTS, LEAST_RATIO = 4, 8.0
+#: Rounds of learning from the marks, and from the tags given anew; the least marginal that is tagged for want of a higher one.
+ROUNDS, MORE_ROUNDS, LEAST_CHANCE = 40, 15, 0.02
+#: Words of a piece of a chain, and words more on each side that its marginals are computed with.
+PIECE, SIDE = 256, 64
+FEATURES, PARTS = 1 << 16, 4
+SMOOTH = 10
 
 _TABLE = np.zeros(256, bool)
 _TABLE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -52,29 +63,43 @@ def _words(texts: list[bytes]) -> Words:
 
 
 def _features(w: Words) -> np.ndarray:
-    """Each word itself, its first four and its last three bytes, as feature numbers."""
-    parts = (w.hash, w.part_hash(w.start, np.minimum(w.start + 4, w.end)), w.part_hash(np.maximum(w.end - 3, w.start), w.end))
+    """Each word itself, its first four and six and its last three bytes, as feature numbers."""
+    heads = [w.part_hash(w.start, np.minimum(w.start + n, w.end)) for n in (4, 6)]
+    parts = (w.hash, *heads, w.part_hash(np.maximum(w.end - 3, w.start), w.end))
     salted = [(h ^ np.uint64(k * 0x5851F42D4C957F2D % 2**64)) % np.uint64(FEATURES) for k, h in enumerate(parts, 1)]
     return np.stack(salted, axis=1).astype(np.int32)
 
 
+def _chances(chain: Chain, features: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The marginal of the toxic state at each word."""
+    entry, place, held, core = overlapped(first, size, PIECE, SIDE)
+    chance = np.zeros(len(features))
+    found = forward_backward(chain, chain.scores(features[entry]), place, held)[0][:, 1]
+    chance[entry[core]] = found[core]
+    return chance
+
+
 @dataclass
 class Model:
     chain: Chain | None
-    curve: tuple[float, float, float]
+    curve: tuple[float, ...]
+
+    def score(self, seen: pd.DataFrame) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_document_features(seen) @ np.array(self.curve), -30, 30)))
+
 
-    def score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a + b * np.log1p(total) + c * most, -30, 30)))
+def _document_features(seen: pd.DataFrame) -> np.ndarray:
+    """From the evidence total, most, words of each document; SMOOTH words more keep short ones from extremes."""
+    total, most, words = (seen[c].to_numpy(np.float64) for c in ("total", "most", "words"))
+    return np.stack([np.ones(len(seen)), np.log1p(total), most, np.log1p(100 * total / (words + SMOOTH))], axis=1)
 
 
-def _evidence(chain: Chain, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """For each text the expected number of toxic words, the largest marginal, and start:end of words over 0.5."""
+def _evidence(chain: Chain | None, texts: list[bytes]) -> pd.DataFrame:
+    """For each text the expected number of toxic words, the largest marginal, its words, and start:end of words over 0.5."""
     w = _words(texts)
     total, most, spans = np.zeros(len(texts)), np.zeros(len(texts)), [""] * len(texts)
-    if len(w.start):
-        first, size = w.lines(CHAIN)
-        chance = forward_backward(chain, chain.scores(_features(w)), first, size)[0][:, 1].astype(np.float64)
+    if chain is not None and len(w.start):
+        chance = _chances(chain, _features(w), *w.lines())
         total = np.bincount(w.doc, chance, len(texts))
         np.maximum.at(most, w.doc, chance)
         if len(hit := np.flatnonzero(chance > 0.5)):
@@ -83,7 +108,7 @@ def _evidence(chain: Chain, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
                 own = hit[w.doc[hit] == i]
                 zero = before[w.base[i]]
                 spans[i] = ",".join(f"{a}:{b}" for a, b in zip(before[w.start[own]] - zero, before[w.end[own]] - zero, strict=True))
-    return total, most, spans
+    return pd.DataFrame({"total": total, "most": most, "words": w.count, "spans": spans})
 
 
 def _evidence_frames(chain: Chain) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -91,36 +116,40 @@ def _evidence_frames(chain: Chain) -> Callable[[Iterator[pd.DataFrame]], Iterato
         for frame in frames:
             texts, own = encoded(frame["text"]), frame.drop(columns="text")
             for a, b in batches(texts):
-                total, most, spans = _evidence(chain, texts[a:b])
-                yield own.iloc[a:b].assign(total=total, most=most, spans=spans)
+                seen = _evidence(chain, texts[a:b])
+                yield own.iloc[a:b].assign(**{c: seen[c].to_numpy() for c in seen})
 
     return work
 
 
-def _word_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _mark_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each feature, as a number, with a number of the word before it, once for some documents of a kind."""
     for frame in frames:
-        for text, toxic in zip(encoded(frame["text"]), frame["toxic"], strict=True):
-            w = _words([text])
-            words = [w.data[a:b].decode("utf-8", "replace") for a, b in zip(w.start, w.end, strict=True)]
-            yield pd.DataFrame(sorted(set(zip(words, ["", *words], strict=False))), columns=["word", "after"]).assign(toxic=int(toxic))
+        for toxic, own in frame.groupby("toxic"):
+            w = _words(encoded(own["text"]))
+            if len(w.start):
+                before = np.append(np.uint64(0), w.hash[:-1]) % np.uint64(1 << 31)
+                before[w.first[w.count > 0]] = 0
+                pairs = np.unique(_features(w).astype(np.uint64) << np.uint64(32) | before[:, None])
+                yield pd.DataFrame({"feature": (pairs >> np.uint64(32)).astype(np.int32), "before": (pairs & np.uint64(0xFFFFFFFF)).astype(np.int32), "toxic": np.int32(toxic)})
 
 
-def _line_frames(marks: frozenset[bytes]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Training lines: of each document those with marked words first, then by their place."""
+def _line_frames(marks: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Training lines: of each document those with the strongest marks first, then by place."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for text, toxic in zip(encoded(frame["text"]), frame["toxic"], strict=True):
+            for key, text, toxic in zip(frame["key"], encoded(frame["text"]), frame["toxic"], strict=True):
                 w = _words([text])
-                first, size = w.lines(CHAIN)
+                first, size = w.lines()
                 if not len(first):
                     continue
-                tag = np.fromiter((w.data[a:b] in marks for a, b in zip(w.start, w.end, strict=True)), np.int8, len(w.start))
-                marked = np.add.reduceat(tag, first) > 0
-                chosen = np.argsort(~marked, kind="stable")[:SAMPLE_LINES]
                 features = _features(w)
-                rows = [(features[a : a + n].ravel().tolist(), (tag[a : a + n] * int(toxic)).tolist()) for a, n in zip(first[chosen], size[chosen], strict=True)]
-                yield pd.DataFrame(rows, columns=["features", "tags"])
+                weight = marks[features].max(axis=1)
+                chosen = np.argsort(-np.maximum.reduceat(weight, first), kind="stable")[:SAMPLE_LINES]
+                tags = ((weight > 0) & bool(toxic)).astype(np.int8)
+                rows = [(key, int(a), int(toxic), features[a : a + n].tobytes(), tags[a : a + n].tobytes()) for a, n in zip(first[chosen], size[chosen], strict=True)]
+                yield pd.DataFrame(rows, columns=["key", "at", "toxic", "features", "tags"])
 
     return work
 
@@ -131,42 +160,59 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marked = marked.filter(~held_out())
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    plain = Model(None, (float(np.log((share + 1e-6) / (1 - share + 1e-6))) if counts else -30.0, 0.0, 0.0))
+    plain = Model(None, (float(np.log((share + 1e-6) / (1 - share + 1e-6))) if counts else -30.0, 0.0, 0.0, 0.0))
     if len(counts) < 2:
         return plain
     some = [marked.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS) for k in (0, 1)]
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id")
-    sample = materialize(sample.dropDuplicates(["text"]), "toxicity-sample")  # copies of a text teach once
-    held = sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r["toxic"]: r["n"] for r in held}
-    if len(n) < 2:
-        return plain
-    words = sample.select("text", "toxic").mapInPandas(_word_frames, "word string, after string, toxic int")
-    words = words.groupBy("word", "after").agg(F.max("toxic").alias("with"), F.max(1 - F.col("toxic")).alias("without"))
-    words = words.groupBy("word").agg(F.sum("with").alias("with"), F.sum("without").alias("without"))
-    ratio = F.col("with") / F.lit(n[1]) / ((F.col("without") + 2) / F.lit(n[0]))
-    words = words.filter((F.col("with") >= LEAST_CONTEXTS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "word").limit(MOST_WORDS)
-    marks = frozenset(r["word"].encode("utf-8") for r in words.select("word", ratio).collect())
-    lines = sample.select("text", "toxic").mapInPandas(_line_frames(marks), "features array<int>, tags array<int>").toPandas()
-    if not marks or not len(lines):
-        return plain
+    with scratch_tables(docs.sparkSession):
+        # copies of a text teach once
+        sample = materialize(sample.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("key", F.sha2(F.col("text").cast("binary"), 256)), "toxicity-sample")
+        n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if len(n) < 2:
+            return plain
+        pairs = sample.select("text", "toxic").mapInPandas(_mark_frames, "feature int, before int, toxic int")
+        pairs = pairs.groupBy("feature", "before").agg(F.max("toxic").alias("with"), F.max(1 - F.col("toxic")).alias("without"))
+        marks = pairs.groupBy("feature").agg(F.sum("with").alias("with"), F.sum("without").alias("without"))
+        marks = marks.toPandas()  # FEATURES rows at most
+        ratio = marks["with"] / max(1, marks["with"].sum()) / ((marks["without"] + 2) / max(1, marks["without"].sum()))
+        marks = marks.assign(ratio=ratio)[(marks["with"] >= LEAST_CONTEXTS) & (ratio >= LEAST_RATIO)]
+        weight = np.zeros(FEATURES)
+        weight[marks["feature"]] = marks["ratio"]
+        lines = sample.mapInPandas(_line_frames(weight), "key string, at int, toxic int, features binary, tags binary").toPandas()
+        if not len(marks) or not len(lines):
+            return plain
+        chain = _learnt(lines.sort_values(["key", "at"]))
+        seen = sample.select("toxic", "text").mapInPandas(_evidence_frames(chain), "toxic int, total double, most double, words long, spans string").drop("spans").toPandas()
+    seen = seen.sort_values(["toxic", "total", "most", "words"])
+    fair = np.where(seen["toxic"] > 0, share / n[1], (1 - share) / n[0])
+    return Model(chain, _curve(_document_features(seen), seen["toxic"].to_numpy(), fair))
+
+
+def _learnt(lines: pd.DataFrame) -> Chain:
+    tags = np.frombuffer(b"".join(lines["tags"]), np.int8).astype(np.int64)
+    features = np.frombuffer(b"".join(lines["features"]), np.int32).reshape(-1, PARTS)
     size = lines["tags"].map(len).to_numpy()
-    chain = train(np.concatenate(lines["features"].to_list()).reshape(-1, 3), np.concatenate(lines["tags"].to_list()).astype(np.int64), np.cumsum(size) - size, size, FEATURES, 2)
-    seen = sample.mapInPandas(_evidence_frames(chain), "doc_id long, toxic int, total double, most double, spans string").select("toxic", "total", "most").toPandas()
-    weight = np.where(seen["toxic"] > 0, share / n[1], (1 - share) / n[0])
-    return Model(chain, _curve(np.log1p(seen["total"].to_numpy()), seen["most"].to_numpy(), seen["toxic"].to_numpy(), weight))
-
-
-def _curve(x: np.ndarray, y: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    _, place, held, _ = overlapped(np.cumsum(size) - size, size, PIECE, 0)
+    chain = train(features, tags, place, held, FEATURES, 2, ROUNDS)
+    chance = _chances(chain, features, place, held)
+    doc = np.repeat(np.unique(lines["key"], return_inverse=True)[1], size)
+    toxic = np.repeat(lines["toxic"].to_numpy() > 0, size)
+    most = np.zeros(doc.max() + 1)
+    np.maximum.at(most, doc, chance)
+    tags = (toxic & ((chance > 0.5) | ((chance == most[doc]) & (chance > LEAST_CHANCE)))).astype(np.int64)
+    return train(features, tags, place, held, FEATURES, 2, MORE_ROUNDS, start=chain)
+
+
+def _curve(at: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton steps with a small ridge."""
-    at = np.stack([np.ones_like(x), x, y], axis=1)
-    w = np.zeros(3)
-    weight = weight * len(x) / weight.sum()
+    w = np.zeros(at.shape[1])
+    weight = weight * len(at) / weight.sum()
+    ridge = 1e-2 * np.eye(len(w))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(at @ w, -30, 30)))
-        ridge = 1e-2 * np.eye(3)
         w += np.linalg.solve((at * (weight * p * (1 - p))[:, None]).T @ at + ridge, at.T @ (weight * (label - p)) - ridge @ w)
-    return float(w[0]), float(w[1]), float(w[2])
+    return tuple(map(float, w))
 
 
 def _score_frames(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -174,8 +220,8 @@ def _score_frames(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         for frame in frames:
             texts, own = encoded(frame["text"]), frame.drop(columns="text")
             for a, b in batches(texts):
-                total, most, spans = (np.zeros(b - a), np.zeros(b - a), "") if model.chain is None else _evidence(model.chain, texts[a:b])
-                yield own.iloc[a:b].assign(score=model.score(total, most), spans=spans)
+                seen = _evidence(model.chain, texts[a:b])
+                yield own.iloc[a:b].assign(score=model.score(seen), spans=seen["spans"].to_numpy())
 
     return work
 

@@ -79,17 +79,13 @@ class Words:
         np.cumsum((self.bytes & 0xC0) != 0x80, out=before[1:])
         return before
 
-    def lines(self, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, number of words) of the stretches within one line, ``most`` words at the longest."""
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number of words) of the lines that have words; texts end lines too."""
         if not len(self.start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         line = np.cumsum(self.bytes == 10)[self.start]
         first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-        size = np.diff(np.append(first, len(line)))
-        pieces = -(-size // most)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(first, pieces) + nth * most
-        return starts, np.minimum(np.repeat(first + size, pieces) - starts, most)
+        return first, np.diff(np.append(first, len(line)))
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:

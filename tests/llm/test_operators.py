@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shutterlake.llm import crf, queries
 from shutterlake.llm import op01_secrets as secrets
 from shutterlake.llm import op02_substring_dedup as substrings
 from shutterlake.llm import op03_topk as topk
@@ -22,7 +23,6 @@ from shutterlake.llm import op07_chat as chat
 from shutterlake.llm import op08_exact_dedup as exact
 from shutterlake.llm import op09_pii as pii
 from shutterlake.llm import op10_near_dedup as near
-from shutterlake.llm import queries
 from shutterlake.llm.common import connected_components, salted_join
 from shutterlake.llm.textkit import Words, grams
 
@@ -311,6 +311,50 @@ def test_toxicity_without_labels(spark, odd):
     assert toxicity.toxicity(odd, model).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_is_the_same_however_rows_are_dealt(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    twice = labels.union(labels.limit(20).withColumn("toxic", 1 - F.col("toxic")))
+    one, two = toxicity.fit(docs, twice), toxicity.fit(docs.repartition(7), twice.repartition(5))
+    assert one.curve == two.curve and np.array_equal(one.chain.emit, two.chain.emit)
+
+
+def chain_of(seed, states):
+    r = np.random.default_rng(seed)
+    return crf.Chain(r.normal(size=(20, states)), r.normal(size=(states, states))), r
+
+
+@pytest.mark.parametrize("states", [2, 3])
+def test_chains_against_enumeration(states):
+    for seed in range(20):
+        chain, r = chain_of(seed, states)
+        size = np.array([4, 1, 5, 2])
+        first = np.cumsum(size) - size
+        score = chain.scores(r.integers(0, 20, (size.sum(), 2)))
+        marginal, best = crf.forward_backward(chain, score, first, size)[0], crf.viterbi(chain, score, first, size)
+        for a, n in zip(first, size, strict=True):
+            paths = list(itertools.product(range(states), repeat=int(n)))
+            weight = np.array([sum(score[a + t, p[t]] for t in range(n)) + sum(chain.move[p[t - 1], p[t]] for t in range(1, n)) for p in paths])
+            share = np.exp(weight - weight.max())
+            share /= share.sum()
+            for t in range(n):
+                for s in range(states):
+                    assert abs(marginal[a + t, s] - sum(w for p, w in zip(paths, share, strict=True) if p[t] == s)) < 1e-12
+            assert tuple(best[a : a + n]) == paths[int(weight.argmax())]
+
+
+def test_pieces_answer_as_the_whole():
+    chain, r = chain_of(3, 2)
+    size = np.array([3, 700, 1, 64])
+    first = np.cumsum(size) - size
+    score = chain.scores(r.integers(0, 20, (size.sum(), 2)))
+    whole = crf.forward_backward(chain, score, first, size)[0]
+    entry, place, held, core = crf.overlapped(first, size, 100, 40)
+    assert sorted(entry[core]) == list(range(size.sum()))
+    part = np.zeros_like(whole)
+    part[entry[core]] = crf.forward_backward(chain, score[entry], place, held)[0][core]
+    assert np.abs(part - whole).max() < 1e-9
+
+
 # ---- 7 ----
 
 
@@ -394,7 +438,7 @@ def test_pii_spans(spark, odd, empty):
     text = {r["doc_id"]: r["text"] for r in docs.union(docs.limit(0)).select("doc_id", "text").union(more).collect()}
     n_added = n_clean = 0
     for r in pii.personal_data(docs.select("doc_id", "text").union(more), chain).collect():
-        base = plain_pii(text[r["doc_id"]])
+        base = plain_pii(text[r["doc_id"]] or "")
         said = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base]
         assert r["base_sha256"] == sha(",".join(said)) and set(said) <= set(r["spans"].split(",")) | {""} - {""} | set(said)
         assert all(s in r["spans"].split(",") for s in said)
@@ -408,7 +452,14 @@ def test_pii_spans(spark, odd, empty):
             assert r["spans"] == ""
     assert n_clean < 0.02 * len(text)
     assert pii.personal_data(odd, chain).count() == odd.count() and pii.personal_data(empty, chain).count() == 0
-    assert pii.fit(empty).emit.shape[1] == 5
+    assert pii.fit(empty).emit.shape[1] == 6
+    precision, recall = pii.held_out_figures(chain)
+    print("held-out precision, recall", precision, recall)
+    assert precision > 0.9 and recall > 0.9
+    # a span across the place where a long line is cut into pieces
+    long = " ".join(["plain"] * 254 + ["call", "(415) 555-0132", "now"] + ["words"] * 300)
+    [found] = pii._added(chain, [long.encode()], [[]])
+    assert found == [(long.index("("), 3, long.index("(") + 14)]
 
 
 # ---- 10 ----
