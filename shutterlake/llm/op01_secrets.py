@@ -4,8 +4,8 @@ Every text is scanned for assignments, access keys, long hex runs and, as
 candidates, other long mixed tokens. Offsets come from the lengths of the
 pieces between matches. The value of each match is hashed, and the hashes are
 counted over distinct repositories and owners of the whole corpus: a value
-that several owners hold is a copied example, one that a single owner holds
-and that looks random is live-looking. Live-looking candidate tokens that
+that several owners hold, or one owner in more than MOST_REPOS repositories, is
+a copied example; another that looks random is live-looking. Live-looking candidate tokens that
 overlap no base match are the spans that the method adds (kind ``owner``).
 
 The owner of a document is its source; its repository is source and language.
@@ -39,6 +39,8 @@ KINDS = (
 LEAST_VALUE = 8
 #: A value looks random if it has letters, digits and so many different characters.
 LEAST_VARIETY = 10
+#: A credential of one owner may stand in so many of its repositories.
+MOST_REPOS = 2
 
 
 def _matches(text: Column) -> Column:
@@ -78,7 +80,10 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied: one row per row of ``docs``."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_repos: one row per row of ``docs``.
+
+    n_repos is the largest number of repositories in which a value of the row stands.
+    """
     spans = materialize(secret_spans(docs), "secret-spans")
     known = materialize(ownership(spans), "secret-owners")
     spans = salted_join(spans, known, ["vh"], ["_id", "_tk", "ord", "start"], spans.count())
@@ -87,10 +92,10 @@ def scan(docs: DataFrame) -> DataFrame:
     before = F.max(F.when(base, F.col("end"))).over(place.orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("start"))).over(place.orderBy(F.col("start").desc(), F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1))
     free = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.lit(2**62)) >= F.col("end"))
-    live = F.col("random") & (F.col("n_owners") == 1)
+    live = F.col("random") & (F.col("n_owners") == 1) & (F.col("n_repos") <= MOST_REPOS)
     spans = spans.withColumns({"free": free, "live": live}).filter(base | (F.col("free") & F.col("live")))
     name = F.element_at(F.array(*[F.lit(k) for k, _, _ in KINDS]), F.col("ord") + 1)
-    one = F.struct("start", "ord", F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string")).alias("s"), "live")
+    one = F.struct("start", "ord", F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string")).alias("s"), "live", "n_repos")
     doc = spans.groupBy("_id", "_tk", "owner", "repo").agg(F.sort_array(F.collect_list(one)).alias("all"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("_id"), text_key().alias("_tk"), F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("owner"), F.concat_ws("\x00", "source", F.coalesce(F.col("lang").cast("string"), F.lit("\x00"))).alias("repo"))
     out = slim.join(doc, ["_id", "_tk", "owner", "repo"], "left").withColumn("all", F.coalesce("all", F.array()))
@@ -106,7 +111,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     counts = [count(of_kind(n)).alias(f"n_{k}") for n, (k, _, _) in enumerate(KINDS[:3])]
     base_text = joined(F.filter("all", lambda s: s["ord"] < 3))
-    return out.select("doc_id", *counts, F.sha2(base_text.cast("binary"), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), count(lambda s: s["live"]).alias("n_live"), count(lambda s: ~s["live"]).alias("n_copied"))
+    return out.select("doc_id", *counts, F.sha2(base_text.cast("binary"), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), count(lambda s: s["live"]).alias("n_live"), count(lambda s: ~s["live"]).alias("n_copied"), F.coalesce(F.array_max(F.transform("all", lambda s: s["n_repos"])), F.lit(0)).cast("long").alias("n_repos"))
 
 
 def _sql() -> str:
@@ -127,9 +132,9 @@ r AS (
   SELECT *, s + LENGTH(hit) AS e,
     REGEXP_MATCHES(val, '[A-Za-z]') AND REGEXP_MATCHES(val, '[0-9]') AND LEN(LIST_DISTINCT(STRING_SPLIT(val, ''))) >= {LEAST_VARIETY} AS random FROM h),
 f AS (SELECT r.*, owner, repo FROM r JOIN d USING (rid) WHERE NOT (ord = 0 AND LENGTH(val) < {LEAST_VALUE}) AND NOT (ord = 3 AND NOT random)),
-o AS (SELECT val, COUNT(DISTINCT owner) AS n_owners FROM f GROUP BY val),
+o AS (SELECT val, COUNT(DISTINCT owner) AS n_owners, COUNT(DISTINCT owner || CHR(2) || repo) AS n_repos FROM f GROUP BY val),
 g AS (
-  SELECT f.*, random AND n_owners = 1 AS live,
+  SELECT f.*, n_repos, random AND n_owners = 1 AND n_repos <= {MOST_REPOS} AS live,
     (ord = 0)::INT + (ord = 1)::INT + (ord = 2)::INT AS base,
     ['assign', 'access', 'hex', 'owner'][ord + 1] || ':' || s || ':' || e AS txt FROM f JOIN o USING (val)),
 a AS (
@@ -137,9 +142,9 @@ a AS (
 j AS (
   SELECT rid, COUNT(*) FILTER (ord = 0) AS n0, COUNT(*) FILTER (ord = 1) AS n1, COUNT(*) FILTER (ord = 2) AS n2,
     STRING_AGG(txt, ',' ORDER BY s, ord) FILTER (base = 1) AS base_txt, STRING_AGG(txt, ',' ORDER BY s, ord) AS all_txt,
-    COUNT(*) FILTER (live) AS n_live, COUNT(*) FILTER (NOT live) AS n_copied FROM a GROUP BY rid)
+    COUNT(*) FILTER (live) AS n_live, COUNT(*) FILTER (NOT live) AS n_copied, MAX(n_repos) AS top FROM a GROUP BY rid)
 SELECT doc_id, COALESCE(n0, 0)::BIGINT AS n_assign, COALESCE(n1, 0)::BIGINT AS n_access, COALESCE(n2, 0)::BIGINT AS n_hex,
-  SHA256(COALESCE(base_txt, '')) AS base_sha256, COALESCE(all_txt, '') AS spans, COALESCE(n_live, 0)::BIGINT AS n_live, COALESCE(n_copied, 0)::BIGINT AS n_copied
+  SHA256(COALESCE(base_txt, '')) AS base_sha256, COALESCE(all_txt, '') AS spans, COALESCE(n_live, 0)::BIGINT AS n_live, COALESCE(n_copied, 0)::BIGINT AS n_copied, COALESCE(top, 0)::BIGINT AS n_repos
 FROM d LEFT JOIN j USING (rid)
 """
 

@@ -5,8 +5,11 @@ copies. The prefix sum of the expected copies within a source, shifted by one
 random offset, crosses integers; a document is emitted once for each integer
 that its own step crosses. The prefix runs over the documents by size, so that
 the words taken stay near the target. It is summed by small blocks (source,
-size class, hash): block totals give each block's start and a window ranks
-within the block, so a source with a third of all rows is many blocks.
+size class, hash of doc_id and text): totals of the classes of a source and of
+the blocks of a class give each block's start, and a window ranks within the
+block, so a source with a third of all rows is many blocks. Ties go by the
+text, then by the whole row, so that the mix of a table is the same however its
+rows are dealt.
 
 Defined cases: null text has size 0; null source is a source of its own, after
 all others; rows without words are carried along and take no words; rows that
@@ -43,6 +46,10 @@ def _size_class(size: Column) -> Column:
     return F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.rpad(F.substring(bits, 1, 5), 5, "0"))
 
 
+def _sum_before(value: str, keys: list[str], order: str) -> Column:
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """source, source_size, target: weighted shares, each held to cap x size, the excess reshared.
 
@@ -72,10 +79,10 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 
 def with_copies(rows: DataFrame, seed: str = SEED) -> DataFrame:
-    """``rows`` (doc_id, source, size, ...) with source_size, target and copies."""
+    """``rows`` (doc_id, source, size, md5 of the text, tie, ...) with source_size, target and copies."""
     block = {
         "_class": _size_class(F.col("size")),
-        "_part": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2),
+        "_part": F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "md5").cast("binary")), 1, 2),
         "_null": F.col("source").isNull(),
         "_source": F.coalesce("source", F.lit("")),
     }
@@ -84,10 +91,12 @@ def with_copies(rows: DataFrame, seed: str = SEED) -> DataFrame:
     blocks = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "mix-blocks")
     targets = source_targets(blocks.select(F.when(~F.col("_null"), F.col("_source")).alias("source"), "size"))
     targets = targets.select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
-    # at most 32 classes an octave x 256 parts of one source meet here, however many rows it has
-    before = Window.partitionBy("_null", "_source").orderBy("_class", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "size").join(targets, ["_null", "_source"])
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("size", "doc_id")).cast("long")
+    # a source has 16 classes an octave of sizes and a class 256 parts, however many rows they hold
+    classes = blocks.groupBy("_null", "_source", "_class").agg(F.sum("n").alias("n"))
+    classes = classes.withColumn("_before", _sum_before("n", ["_null", "_source"], "_class")).drop("n")
+    starts = blocks.withColumn("start", _sum_before("n", ["_null", "_source", "_class"], "_part")).drop("n", "size")
+    starts = starts.join(classes, ["_null", "_source", "_class"]).withColumn("start", F.col("start") + F.col("_before")).drop("_before").join(targets, ["_null", "_source"])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("size", "doc_id", "md5", "tie")).cast("long")
     rows = rows.withColumn("_rank", rank).join(materialize(starts, "mix-starts"), keys)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _unit(F.concat(F.lit(seed), F.col("_null").cast("string"), F.col("_source")))
@@ -98,21 +107,21 @@ def with_copies(rows: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), F.md5(text_or_empty().cast("binary")).alias("md5"), F.lit(0).alias("tie"))
     out = with_copies(materialize(sized, "mix-sizes"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), F.md5(text_or_empty().cast("binary")).alias("md5"), F.xxhash64(*docs.columns).alias("tie"))
     out = with_copies(rows).filter("copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("_row.*")
 
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, MD5(COALESCE(text, '')) AS md5, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (
   SELECT source, SUM(size)::BIGINT AS source_size,
     ([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE])[((ROW_NUMBER() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight
@@ -132,7 +141,7 @@ r AS (
   SELECT d.*, source_size, target,
     ROW_NUMBER() OVER (PARTITION BY d.source ORDER BY
       LPAD(LENGTH(BIN(size))::VARCHAR, 2, '0') || RPAD(SUBSTR(BIN(size), 1, 5), 5, '0'),
-      SUBSTR(MD5(COALESCE(doc_id::VARCHAR, '')), 1, 2), size, doc_id NULLS FIRST) AS place,
+      SUBSTR(MD5(COALESCE(doc_id::VARCHAR, '') || md5), 1, 2), size, doc_id NULLS FIRST, md5) AS place,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
     CAST('0x' || SUBSTR(MD5('mix-1' || CASE WHEN d.source IS NULL THEN 'true' ELSE 'false' END || COALESCE(d.source, '')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS shift
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

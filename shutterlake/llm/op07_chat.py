@@ -43,10 +43,14 @@ def branch_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     """conv, leaf, rank, node, depth: the nodes of the ``best`` branches of each tree.
 
     nodes: conv, node (unique), parent (null at a root), score. Ties go to the
-    larger leaf. Depth counts from 1 at the root.
+    larger leaf. Depth counts from 1 at the root. Parents that form a cycle, a
+    message that is its own parent among them, are an error.
     """
     jumps = [materialize(nodes.filter("parent is not null").select("node", F.col("parent").alias("up"), F.col("score").cast("double").alias("gain")), "chat-jump")]
+    messages = jumps[0].count()
     while jumps[-1].limit(1).count():
+        if 2 ** (len(jumps) - 1) > messages:  # no path without a cycle is so long
+            raise ValueError("parents form a cycle")
         near, far = jumps[-1], jumps[-1].select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("gain").alias("more"))
         jumps.append(materialize(near.join(far, "up").select("node", F.col("top").alias("up"), (F.col("gain") + F.col("more")).alias("gain")), "chat-jump"))
     parents = nodes.select(F.col("parent").alias("node")).filter("node is not null").distinct()

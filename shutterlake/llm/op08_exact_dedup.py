@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, materialize, salted_join, text_key, text_or_empty
+from .common import id_key, materialize, salted_join, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of the first digit, and how much wider each next one is.
@@ -92,10 +92,10 @@ def _look_up(rows: DataFrame, groups: DataFrame, keys: list[str], salt_on: list[
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    groups = exact_groups(docs.select("doc_id", "text", text_key().alias("_tk")), carry=["_tk"]).withColumn("_id", id_key())
+    groups = exact_groups(docs.select("doc_id", "text", F.md5(text_or_empty().cast("binary")).alias("_tk")), carry=["_tk"]).withColumn("_id", id_key())
     gone = groups.groupBy("_id", "_tk").agg(F.bool_or("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
     gone = materialize(gone.filter("not any_kept or n > 1"), "radix-gone")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), id_key().alias("_id"), text_key().alias("_tk"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), id_key().alias("_id"), F.md5(text_or_empty().cast("binary")).alias("_tk"))
     out = rows.join(gone.select("_id", "_tk"), ["_id", "_tk"], "left_anti")
     repeated = gone.filter("any_kept").select("_id", "_tk")
     if repeated.limit(1).count():  # rows that repeat doc_id and text: one of each stays

@@ -96,8 +96,14 @@ def test_odd_table_equals_sql(spark, odd, empty, name):
     got = run(own)
     assert got.count() == own.count()
     assert spark_rows(got, got.columns) == sql_rows(own.select("doc_id", "text", "lang", "source"), sql, got.columns)
-    assert run(odd).count() == odd.count()
     assert run(empty).count() == 0
+    # rows without doc_id against SQL as well: -1 stands for null in both
+    null = odd.filter("doc_id is null").withColumn("doc_id", F.lit(-1).cast("long"))
+    keys = [c for c in run(odd).columns if c not in ("doc_id", "keep_id")]
+    both = run(odd)
+    assert both.count() == odd.count() and both.filter("doc_id is null").count() == null.count()
+    if name in ("secrets", "substrings"):
+        assert spark_rows(both, keys) == sql_rows(own.unionByName(null).select("doc_id", "text", "lang", "source"), sql, keys)
 
 
 # ---- 1 ----
@@ -112,6 +118,15 @@ def test_secrets_owned_by_one_or_by_many(spark):
     assert got[4]["n_live"] == 1
 
 
+def test_secrets_of_one_owner_in_many_repositories(spark):
+    token, key = "Pw3Xk8Qz6Tn1Vb5Yd7Hs", "Ld4Nf9Rj2Gm6Cs8Wt1Ke"
+    rows = [(i, f"say {token} once", f"l{i % 3}", "me") for i in range(30)] + [(100 + i, f"say {key} once", f"l{i % 2}", "me") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert all((r["spans"], r["n_live"], r["n_repos"]) == (("", 0, 0) if i < 100 else ("owner:4:24", 1, 2)) for i, r in got.items())
+    assert spark_rows(secrets.scan(docs), secrets.scan(docs).columns) == sql_rows(docs, secrets.SQL, secrets.scan(docs).columns)
+
+
 def test_secrets_against_plain_patterns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -243,6 +258,15 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixing.mixed_documents(docs).count() == sum(r[4] > 0 for r in one) + sum(r[1] > 0 and r[4] == 2 * r[1] for r in one)
 
 
+def test_mix_of_null_and_repeated_ids_in_any_layout(spark):
+    r = random.Random(4)
+    rows = [(None, " ".join(words_of(i, r.randint(1, 30))), "s", f"x{i % 5}") for i in range(200)]
+    rows += [(7, " ".join(words_of(1000 + i, 20)), "s", f"x{i % 5}") for i in range(100)] + [(8, "same text", "t", f"x{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other string")
+    one, two = (sorted(map(str, mixing.mixed_documents(docs.repartition(n)).collect())) for n in (2, 7))
+    assert one == two and len(one) > 0
+
+
 def test_mix_keeps_all_columns(spark, odd):
     out = mixing.mixed_documents(odd)
     assert out.columns == odd.columns and {r["_id"] for r in out.collect()} <= {r["_id"] for r in odd.collect()}
@@ -390,6 +414,13 @@ def test_reply_trees(spark):
     assert out[3] == "<s>[INST] user [/INST]q</s><s>[INST] assistant [/INST]b</s>"
 
 
+def test_reply_cycles_are_refused(spark):
+    for parents in ({1: 1}, {1: None, 2: 3, 3: 4, 4: 2}):
+        df = spark.createDataFrame([(1, n, p, 0.0) for n, p in parents.items()], "conv long, node long, parent long, score double")
+        with pytest.raises(ValueError, match="cycle"):
+            chat.branch_paths(df)
+
+
 # ---- 8 ----
 
 
