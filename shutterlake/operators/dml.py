@@ -13,14 +13,33 @@ METADATA = ("folder_path", "file_size", "mime_type", "creation_date", "modified_
 
 
 def upsert_media(media: DataFrame, entries: DataFrame) -> DataFrame:
-    """Metadata of ``entries`` (file_path, METADATA) replaces the old; the user's flags stay; new files get flags 0."""
+    """Metadata of ``entries`` (file_path, METADATA) replaces the old; the user's flags stay.
+
+    New files get flags 0 and the ids after the largest one, in the order of
+    their paths, as _new_ids numbers them.
+    """
     new = entries.select("file_path", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in METADATA])
     new = new.withColumns({c: F.when(F.col(c) != 0, F.col(c)) for c in ("_latitude", "_longitude")})
     both = media.join(new, "file_path", "full_outer")
     known = F.coalesce("_new", F.lit(False))
     out = {c: F.when(known, F.col(f"_{c}")).otherwise(F.col(c)) for c in METADATA}
     out |= {c: F.coalesce(c, F.lit(0)) for c in ("is_favorite", "is_trashed", "is_hidden", "is_ignored")}
-    return both.withColumns(out).select(*media.columns)
+    out = both.withColumns(out).select(*media.columns)
+    if "id" not in media.columns:
+        return out
+    added = _new_ids(new.select("file_path").distinct().join(media, "file_path", "left_anti"), media)
+    return out.join(added, "file_path", "left").withColumn("id", F.coalesce("id", "_next")).select(*media.columns)
+
+
+def _new_ids(paths: DataFrame, media: DataFrame) -> DataFrame:
+    """file_path, _next: max(id) + rank by path. Rows are ranked within their folder, and folders by their totals."""
+    folder = F.substring_index("file_path", "/", -1)
+    rows = paths.withColumn("_folder", F.expr("substring(file_path, 1, length(file_path) - length(substring_index(file_path, '/', -1)))"))
+    before = Window.orderBy("_folder").rowsBetween(Window.unboundedPreceding, -1)  # a row for each folder
+    folders = rows.groupBy("_folder").agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    top = media.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    place = F.row_number().over(Window.partitionBy("_folder").orderBy(folder))
+    return rows.withColumn("_place", place).join(folders, "_folder").join(F.broadcast(top)).select("file_path", (F.col("_top") + F.col("_before") + F.col("_place")).cast("long").alias("_next"))
 
 
 def needs_update(media: DataFrame, found: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ from .fixtures import NOW
 from .registry import query
 
 ENTRIES = "SELECT CONCAT(file_path, CASE WHEN id % 20 = 0 THEN '.new' ELSE '' END) AS file_path, folder_path, file_size + 1 AS file_size, mime_type, creation_date, modified_date, width, height, 0.0 + COALESCE(latitude, 0) AS latitude, 0.0 + COALESCE(longitude, 0) AS longitude, duration FROM media WHERE id % 4 = 0"
-SHOWN = ("file_path", "file_size", "latitude", "is_favorite", "is_trashed")
+SHOWN = ("id", "file_path", "file_size", "latitude", "is_favorite", "is_trashed")
 
 
 @query(
     "media",
-    sql=f"""WITH e AS ({ENTRIES}) SELECT COALESCE(m.file_path, e.file_path) AS file_path, COALESCE(e.file_size, m.file_size) AS file_size,
+    sql=f"""WITH e AS ({ENTRIES}) SELECT COALESCE(m.id, (SELECT MAX(id) FROM media) + ROW_NUMBER() OVER (PARTITION BY m.id IS NULL ORDER BY REGEXP_EXTRACT(e.file_path, '^.*/'), e.file_path))::BIGINT AS id, COALESCE(m.file_path, e.file_path) AS file_path, COALESCE(e.file_size, m.file_size) AS file_size,
     CASE WHEN e.file_path IS NOT NULL THEN NULLIF(e.latitude, 0) ELSE m.latitude END AS latitude, COALESCE(is_favorite, 0) AS is_favorite, COALESCE(is_trashed, 0) AS is_trashed
     FROM media m FULL JOIN e ON e.file_path = m.file_path""",
 )

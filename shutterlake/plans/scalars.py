@@ -68,7 +68,7 @@ def f11_exif_dates(media):
     return media.select("id", dates.exif_seconds(said.when(F.col("id") % 5 == 3, "2023:13:18 10:00:00").otherwise("garbage")).alias("seconds"))
 
 
-ISO = "(VALUES (1, '+48.8584+002.2945+035.000/'), (2, '-33.8568+151.2153/'), (3, 'garbage'), (4, '+1.5-0.25')) AS t(id, place)"
+ISO = "(VALUES (1, '+60.1699+024.9384+026.400/'), (2, '-22.9519-043.2105/'), (3, 'no place'), (4, '+7.25-3.5'), (5, '60.1+24.9'), (6, '+1.2.3+4')) AS t(id, place)"
 
 
 @query("cities", sql=f"SELECT id, TRY_CAST(NULLIF(REGEXP_EXTRACT(place, '^([+-][0-9.]+)([+-][0-9.]+)', 1), '') AS DOUBLE) AS lat, TRY_CAST(NULLIF(REGEXP_EXTRACT(place, '^([+-][0-9.]+)([+-][0-9.]+)', 2), '') AS DOUBLE) AS lon FROM {ISO}")

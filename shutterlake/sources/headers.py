@@ -1,8 +1,9 @@
 """Sizes, dates and places from the headers of media files.
 
 Formats with fields at fixed places are read by column expressions on the
-binary content. JPEG, TIFF and MP4 chain their fields, so a small helper walks
-them in Arrow batches. A damaged file yields nulls, never an error.
+binary content. JPEG, TIFF and MP4 chain their fields, as do the Exif chunks of
+PNG and WebP, so a small helper walks them in Arrow batches. A damaged file
+yields nulls, never an error; sizes beyond 2^31 - 1 are damage.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def _number(content: Column, at: int, size: int, little: bool) -> Column:
     digits = F.hex(F.substring(content, at + 1, size))
     if little:
         digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.conv(digits, 16, 10).cast("int")
+    return F.conv(digits, 16, 10).try_cast("long")
 
 
 def kind_of(content: Column) -> Column:
@@ -37,21 +38,22 @@ def fixed_sizes(files: DataFrame) -> DataFrame:
     c = F.col("content")
     rows = files.withColumn("kind", kind_of(c))
     chunk = F.hex(F.substring(c, 13, 4))
-    lossless = _number(c, 21, 4, True)
+    lossless, tall = _number(c, 21, 4, True), _number(c, 22, 4, True)
+    tall = F.abs(F.when(tall >= 2**31, tall - 2**32).otherwise(tall))  # a negative height runs from the top
     sizes = {
         "png": (_number(c, 16, 4, False), _number(c, 20, 4, False)),
         "gif": (_number(c, 6, 2, True), _number(c, 8, 2, True)),
-        "bmp": (_number(c, 18, 4, True), F.abs(_number(c, 22, 4, True))),
+        "bmp": (_number(c, 18, 4, True), tall),
     }
     webp = (
         F.when(chunk == "56503858", _number(c, 24, 3, True) + 1).when(chunk == "56503820", _number(c, 26, 2, True).bitwiseAND(16383)).when(chunk == "5650384C", lossless.bitwiseAND(16383) + 1),
         F.when(chunk == "56503858", _number(c, 27, 3, True) + 1).when(chunk == "56503820", _number(c, 28, 2, True).bitwiseAND(16383)).when(chunk == "5650384C", F.shiftrightunsigned(lossless, 14).bitwiseAND(16383) + 1),
     )
     sizes["webp"] = webp
-    wide = high = F.lit(None).cast("int")
+    wide = high = F.lit(None).cast("long")
     for kind, (w, h) in sizes.items():
         wide, high = F.when(F.col("kind") == kind, w).otherwise(wide), F.when(F.col("kind") == kind, h).otherwise(high)
-    return rows.select("path", "kind", wide.alias("width"), high.alias("height"))
+    return rows.withColumns({"width": wide.try_cast("int"), "height": high.try_cast("int")}).select("path", "kind", "width", "height", "content")
 
 
 def _tiff(data: bytes) -> dict:
@@ -105,6 +107,19 @@ def _jpeg(data: bytes) -> dict:
     return out
 
 
+def _chunked(data: bytes, at: int, head: str, pad: int, name: bytes) -> dict:
+    """Fields of the Exif chunk ``name`` of a file of chunks (size and name, in the order of ``head``), rounded up to ``pad``."""
+    for _ in range(4096):
+        size, kind = sorted(struct.unpack_from(head, data, at), key=lambda x: isinstance(x, bytes))
+        at += 8
+        if kind == name:
+            block = data[at : at + size]
+            found = _tiff(block[6:] if block[:6] == b"Exif\0\0" else block)
+            return {k: v for k, v in found.items() if k not in ("width", "height")}
+        at += size + (4 if pad == 1 else size % pad)  # PNG has a check sum instead of padding
+    return {}
+
+
 def _boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     while at + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -157,6 +172,10 @@ def parsed(data: bytes) -> dict:
             return _jpeg(data)
         if data[:4] in (b"II*\0", b"MM\0*"):
             return _tiff(data)
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return _chunked(data, 8, ">I4s", 1, b"eXIf")
+        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            return _chunked(data, 12, "<4sI", 2, b"EXIF")
         if data[4:8] == b"ftyp" and data[8:12] != b"crx ":
             return _bmff(data)
     except (struct.error, IndexError, KeyError, TypeError, OverflowError):
@@ -171,13 +190,17 @@ def probed(files: DataFrame) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [parsed(bytes(c)) if c is not None else {} for c in frame["content"]]
+            for f, w, h in zip(found, frame["width"], frame["height"], strict=True):
+                for n, x in (("width", w), ("height", h)):
+                    x = f.get(n) if pd.isna(x) else int(x)
+                    f[n] = x if x is not None and x < 2**31 else None
             out = pd.DataFrame({n: pd.Series([f.get(n) for f in found], dtype="object") for n in [*names, "place"]})
             yield out.assign(path=frame["path"].to_numpy())[["path", *names, "place"]]
 
     from shutterlake.functions.geo import iso6709
 
-    chained = files.filter(kind_of(F.col("content")).isin("jpeg", "tiff", "bmff")).mapInPandas(work, SCHEMA + ", place string")
+    read = fixed_sizes(files).filter("kind is not null")
+    chained = read.filter(F.col("kind").isin("jpeg", "tiff", "bmff", "png", "webp")).drop("kind").mapInPandas(work, SCHEMA + ", place string")
     place = iso6709(F.col("place"))
     chained = chained.withColumns({"lat": F.coalesce("lat", place["lat"]), "lon": F.coalesce("lon", place["lon"])}).drop("place")
-    fixed = fixed_sizes(files).filter(F.col("kind").isin("png", "gif", "bmp", "webp")).drop("kind")
-    return chained.unionByName(fixed, allowMissingColumns=True)
+    return chained.unionByName(read.filter(F.col("kind").isin("gif", "bmp")).drop("kind", "content"), allowMissingColumns=True)
