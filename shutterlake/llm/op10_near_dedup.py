@@ -169,7 +169,8 @@ def _classes(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(uid, comp) of the texts that verified links connect."""
     banded = texts.select("uid", "weight", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    seats = materialize(salted_join(banded, shared, ["band"], ["uid"], texts.count() * BANDS), "dart-buckets")
+    # rows of a bucket are short, and none meets more than one: skewed buckets are split by AQE
+    seats = materialize(banded.join(shared, "band"), "dart-buckets")
     n_seats = seats.count()
     if not n_seats:
         return texts.select("uid", F.col("uid").alias("comp")).limit(0)
@@ -179,19 +180,18 @@ def _classes(slim: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     # copies of a text are dropped before its set is made: partial dropDuplicates leaves one a task
     wanted = slim.dropDuplicates(["fp"]).join(texts.select("uid", "fp").join(popular.select("uid"), "uid", "left_semi"), "fp").select("uid", "text")
     sets = materialize(wanted.mapInPandas(_set_frames, "uid long, elements array<long>"), "dart-sets")
-    counts = seats.select("band", F.col("n").alias("_n")).distinct()
-    lead = materialize(seats.groupBy("band").agg(F.max(F.struct("pop", "uid", "weight")).alias("lead")), "dart-leaders")
-    pairs = salted_join(seats, lead, ["band"], ["uid"], n_seats, counts=counts)
+    lead = seats.groupBy("band").agg(F.max(F.struct("pop", "uid", "weight")).alias("lead"))
+    led = materialize(seats.join(lead, "band").filter(F.col("uid") != F.col("lead.uid")).select("band", "uid", "weight", F.col("lead.uid").alias("lead"), F.col("lead.weight").alias("lead_weight")), "dart-led")
     # only leaders whose weight allows the similarity
-    alike = F.least("weight", "lead.weight") >= F.greatest("weight", "lead.weight") * similarity - 1e-9
-    pairs = pairs.filter(alike & (F.col("uid") != F.col("lead.uid"))).select(F.least("uid", "lead.uid").alias("a"), F.greatest("uid", "lead.uid").alias("b")).distinct()
+    alike = F.least("weight", "lead_weight") >= F.greatest("weight", "lead_weight") * similarity - 1e-9
+    pairs = led.filter(alike).select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
     classes = connected_components(_verified(materialize(pairs, "dart-pairs"), sets, similarity), "dart-classes").withColumnRenamed("node", "uid")
     # leaders have met all members of their buckets and go; a bucket of one class is done
-    rest = salted_join(seats, lead, ["band"], ["uid"], n_seats, counts=counts).filter(F.col("uid") != F.col("lead.uid")).select("band", "uid", "weight")
-    rest = materialize(rest.join(classes, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")), "dart-rest")
+    rest = led.select("band", "uid", "weight").join(classes, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    rest = materialize(rest, "dart-rest")
     divided = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).filter("x <> y")
     blocks = F.ceil(F.greatest(F.col("n") / float(BLOCK), F.col("w") / float(BLOCK_WEIGHT))).cast("int")
-    rest = materialize(salted_join(rest, divided.select("band", blocks.alias("blocks")), ["band"], ["uid"], n_seats), "dart-divided")
+    rest = materialize(rest.join(divided.select("band", blocks.alias("blocks")), "band"), "dart-divided")
     joined = materialize(_block_links(rest, sets, similarity, n_seats), "dart-joined")
     if joined.limit(1).count():  # classes are few here: each joins others as one node
         above = connected_components(joined, "dart-joined-classes").select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
