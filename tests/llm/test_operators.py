@@ -533,6 +533,27 @@ def test_near_classes_against_brute_force(spark):
     assert near.drop_near_duplicates(docs).count() == len(set(want))
 
 
+def test_near_recall_on_real_rows(spark):
+    """Of all pairs of rows of the whole table at 0.8 or more, by an index of runs, at least 0.9 share a class; copies are pairs too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in near.near_classes(docs).collect()}
+    runs = {}
+    for i, text in docs.select("doc_id", "text").collect():
+        w = (text or "").encode().split()
+        runs[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    holders, both = defaultdict(list), Counter()
+    for i, c in runs.items():
+        for run, n in c.items():
+            holders[run].append((i, n))
+    for own in holders.values():
+        for (a, m), (b, n) in itertools.combinations(own, 2):
+            both[a, b] += min(m, n)
+    pairs = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (runs[a].total() + runs[b].total() - n) - 1e-9]
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print("pairs", len(pairs), "in one class", found)
+    assert len(pairs) > 50 and found >= 0.9 * len(pairs)
+
+
 def test_near_estimates_follow_the_index():
     base = words_of(77, 400)
     other = base[:300] + words_of(78, 100)
