@@ -14,7 +14,7 @@ def album_rollup(media: DataFrame, albums: DataFrame) -> DataFrame:
     rows = without_ignored_folders(media.filter(live() & (flag("is_hidden") == 0) & (flag("is_ignored") == 0)), albums)
     by = rows.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("size"), F.min("file_path").alias("cover"))
     own = albums.select(F.col("path_prefix").alias("folder_path"), "custom_name", "is_pinned", "cover_path", "description")
-    return by.join(F.broadcast(own), "folder_path", "left")
+    return by.join(own, "folder_path", "left")
 
 
 def all_albums(media: DataFrame, albums: DataFrame) -> DataFrame:
@@ -74,19 +74,39 @@ def by_type(media: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(media: DataFrame, limit: int = 40) -> DataFrame:
-    """Files that share name and size, most wasted bytes first; copies oldest first, |-joined."""
-    rows = media.filter(live() & (F.col("file_size") > 0)).withColumn("name", paths.base_name(F.col("file_path")))
-    by = rows.groupBy("name", "file_size").agg(F.count(F.lit(1)).alias("copies"), F.sort_array(F.collect_list(F.struct("creation_date", "id"))).alias("all"))
-    wasted = F.col("file_size") * (F.col("copies") - 1)
-    by = by.filter("copies > 1").withColumn("wasted", wasted).orderBy(F.desc("wasted"), "name", "file_size").limit(limit)
-    return by.withColumn("ids", F.array_join(F.transform("all", lambda m: m["id"].cast("string")), "|")).drop("all")
+    """Files that share name and size, most wasted bytes first; copies oldest first, |-joined.
+
+    Groups are chosen by their counts; only members of the chosen ones are gathered.
+    """
+    rows = _sized(media).select("name", "file_size", "creation_date", "id")
+    wasted, order = F.col("file_size") * (F.col("copies") - 1), (F.desc("wasted"), "name", "file_size")
+    best = rows.groupBy("name", "file_size").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").withColumn("wasted", wasted).orderBy(*order).limit(limit)
+    members = rows.join(F.broadcast(best), ["name", "file_size"])  # at most ``limit`` groups
+    by = members.groupBy("name", "file_size", "copies", "wasted").agg(F.sort_array(F.collect_list(F.struct("creation_date", "id"))).alias("all"))
+    return by.withColumn("ids", F.array_join(F.transform("all", lambda m: m["id"].cast("string")), "|")).drop("all").orderBy(*order)
+
+
+def _sized(media: DataFrame) -> DataFrame:
+    return media.filter(live() & (F.col("file_size") > 0)).withColumn("name", paths.base_name(F.col("file_path")))
 
 
 def extra_copies(media: DataFrame) -> DataFrame:
-    """Every copy but the oldest of its group."""
-    rows = media.filter(live() & (F.col("file_size") > 0)).withColumn("name", paths.base_name(F.col("file_path")))
-    nth = F.row_number().over(Window.partitionBy("name", "file_size").orderBy("creation_date", "id"))
-    return rows.withColumn("nth", nth).filter("nth > 1").select("id", "name", "file_size", "nth")
+    """Every copy but the oldest of its group.
+
+    A group is ranked in blocks, so a large one is spread over tasks: days, and
+    ranges of ids where there is no date. Blocks of a group follow each other in
+    the order of its copies; a copy's place is what stands in earlier blocks and
+    its place in its own.
+    """
+    day = F.coalesce(F.floor(F.col("creation_date") / dates.DAY), F.lit(-(2**62)))
+    undated = F.coalesce(F.col("creation_date") == 0, F.lit(True))
+    part = F.when(undated, F.floor(F.col("id") / 2**20)).otherwise(F.lit(2**62))
+    group, block = ["name", "file_size"], ["name", "file_size", "_day", "_part"]
+    rows = _sized(media).select("id", *group, "creation_date", day.alias("_day"), part.alias("_part"))
+    earlier = Window.partitionBy(*group).orderBy("_day", "_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    totals = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy(*block).orderBy("creation_date", "id")) + F.col("_earlier")
+    return rows.join(totals.drop("_n"), block).withColumn("nth", nth.cast("int")).filter("nth > 1").select("id", *group, "nth")
 
 
 def people(faces: DataFrame, persons: DataFrame, media: DataFrame) -> DataFrame:
@@ -133,6 +153,35 @@ def memory_candidates(media: DataFrame, day_least: int = 8, month_least: int = 1
     return out
 
 
+def memory_batch(media: DataFrame, used: DataFrame, seed: int = 7, most: int = 5, clips: int = 3) -> DataFrame:
+    """place, kind, date, stale, id: the media of up to ``most`` memories.
+
+    Candidates that no memory had before (``used``: date) come before stale
+    ones, each in an order drawn by ``seed``; one a month is taken first, then
+    what is left. Each gets 8 to 12 of its media, at most ``clips`` of them
+    videos; one that has fewer than six such media is skipped.
+    """
+    video = F.col("mime_type").startswith("video/")
+    rows = media.filter(usable()).select("id", "file_path", video.alias("video"), F.col("creation_date"))
+    kinds = [F.struct(F.lit(k).alias("kind"), dates.key(F.col("creation_date"), p).alias("date"), F.lit(n).alias("least")) for k, p, n in (("day", "yyyy-MM-dd", 8), ("month", "yyyy-MM", 16))]
+    keyed = rows.select("id", "file_path", "video", F.inline(F.array(*kinds)))
+    by = keyed.groupBy("kind", "date").agg(F.count(F.lit(1)).alias("n"), F.count_if("video").alias("videos"), F.max("least").alias("least"))
+    by = by.filter((F.col("n") >= F.col("least")) & (F.col("n") - F.col("videos") + F.least("videos", F.lit(clips)) >= 6))
+    by = by.join(used.select("date", F.lit(1).alias("_used")).distinct(), "date", "left").withColumn("stale", F.col("_used").isNotNull())
+    drawn = F.md5(F.concat(F.lit(str(seed)), "kind", "date").cast("binary"))
+    by = by.select("kind", "date", "stale", drawn.alias("drawn"))
+    month = Window.partitionBy(F.substring("date", 1, 7)).orderBy("stale", "drawn")  # at most a month and its days
+    chosen = by.withColumn("later", F.row_number().over(month) > 1).orderBy("later", "stale", "drawn").limit(most)
+    chosen = chosen.withColumn("place", F.row_number().over(Window.orderBy("later", "stale", "drawn")))
+    chosen = chosen.select("place", "kind", "date", "stale", (F.lit(8) + F.ascii("drawn") % 5).alias("want"))
+    pool = keyed.join(F.broadcast(chosen), ["kind", "date"]).withColumn("drawn", F.md5(F.concat(F.lit(str(seed)), "file_path").cast("binary")))  # ``most`` rows
+    # twelve of each kind are enough, so a task sends no more
+    of_kind = F.row_number().over(Window.partitionBy("place", "video").orderBy("drawn", "id"))
+    pool = pool.withColumn("k", of_kind).filter(F.col("k") <= 12).filter(~F.col("video") | (F.col("k") <= clips))
+    nth = F.row_number().over(Window.partitionBy("place").orderBy("drawn", "id"))
+    return pool.withColumn("nth", nth).filter(F.col("nth") <= F.col("want")).select("place", "kind", "date", "stale", "id")
+
+
 def bucket_peaks(samples: DataFrame, buckets: int) -> DataFrame:
     """Largest amplitude of each of ``buckets`` slices of a signal (idx, s), relative to the loudest."""
     n = samples.agg(F.count(F.lit(1)).alias("total"))

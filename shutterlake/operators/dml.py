@@ -54,6 +54,13 @@ def prune_missing(known: DataFrame, present: DataFrame, found: int) -> DataFrame
     return known.join(present, "file_path", "left_anti") if found > 0 else known.limit(0)
 
 
+def swept(media: DataFrame, thumbnails: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Media and thumbnails (file_path, ...) without the rows of media whose file a listing (path) no longer has."""
+    there = listing.select(F.col("path").alias("file_path"))
+    gone = media.select("file_path").join(there, "file_path", "left_anti")
+    return media.join(there, "file_path", "left_semi").select(*media.columns), thumbnails.join(gone, "file_path", "left_anti").select(*thumbnails.columns)
+
+
 def purge_trash(media: DataFrame, now: int, days: int) -> DataFrame:
     """What stays after trash older than ``days`` goes; 0 empties it."""
     old = F.lit(True) if days == 0 else F.coalesce("trashed_at", F.lit(0)) < now - days * dates.DAY

@@ -59,8 +59,9 @@ def near_places(points: DataFrame, cities: DataFrame, max_km: float) -> DataFram
 def places_of(media: DataFrame, cities: DataFrame, max_km: float = 60) -> DataFrame:
     """id, city, country, km of geotagged alive media; distinct hundredths of a degree are looked up once."""
     rows = media.filter(alive() & F.col("latitude").isNotNull() & ~((F.col("latitude") == 0) & (F.col("longitude") == 0)))
-    spot = F.concat_ws(",", F.col("latitude").cast("string"), F.col("longitude").cast("string"))
-    spots = rows.select(spot.alias("key"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).distinct()
+    lat, lon = geo.hundredths(F.col("latitude")), geo.hundredths(F.col("longitude"))
+    spot = F.concat_ws(",", lat.cast("string"), lon.cast("string"))
+    spots = rows.select(spot.alias("key"), lat.alias("lat"), lon.alias("lon")).distinct()
     return rows.withColumn("key", spot).join(near_places(spots, cities, max_km), "key").select("id", "creation_date", "city", "country", "km")
 
 

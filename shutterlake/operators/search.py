@@ -83,7 +83,7 @@ def search(media: DataFrame, query: str, persons: DataFrame, faces: DataFrame, a
     facets = parse(" ".join(w for w in words(query) if w not in consumed))
     out, structured = media, False
     if consumed:  # whoever is named shares a word with the query
-        ids = faces.join(F.broadcast(people.select(F.col("id").alias("person_id"))), "person_id", "left_semi").select(F.col("media_id").alias("id"))
+        ids = faces.join(people.select(F.col("id").alias("person_id")), "person_id", "left_semi").select(F.col("media_id").alias("id"))
         out, structured = out.join(ids, "id", "left_semi"), True
     if facets.colours:
         ids = analysis.filter(F.col("color_bucket").isin(*facets.colours)).select(F.col("media_id").alias("id"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.operators.filters import alive
+from shutterlake.operators.limits import MOST_LISTED
 from shutterlake.operators.windows import adaptive_top
 
 THRESHOLD, SLACK = 0.38, 0.15
@@ -54,23 +55,35 @@ def best_documents(chunks: DataFrame, query: DataFrame, n: int = 10) -> DataFram
 def scenes(embeddings: DataFrame, prompts: DataFrame, cut: float = 1.25, least: int = 3) -> DataFrame:
     """media_id, scene, z: the scene in which an image stands out most, if by more than ``cut`` deviations.
 
-    prompts (scene, q) is a fixed short list. First scene wins ties; scenes of
-    fewer than ``least`` images are dropped.
+    prompts (scene, q) is a short list made by hand; a longer one is refused.
+    They stand in one row beside each image, so images are not shuffled. A row
+    of embeddings is an image. First scene wins ties; scenes of fewer than
+    ``least`` images are dropped.
     """
-    rows = embeddings.crossJoin(F.broadcast(prompts)).select("media_id", "scene", dot(F.col("embedding"), F.col("q")).alias("score"))
-    stats = rows.groupBy("scene").agg(F.avg("score").alias("mean"), F.greatest(F.stddev_pop("score"), F.lit(1e-6)).alias("sd"))
-    z = rounded((F.col("score") - F.col("mean")) / F.col("sd"))
-    rows = rows.join(F.broadcast(stats), "scene").select("media_id", F.struct(z.alias("z"), (-F.col("scene")).alias("neg")).alias("s"))
-    best = rows.groupBy("media_id").agg(F.max("s").alias("s")).select("media_id", (-F.col("s.neg")).alias("scene"), F.col("s.z").alias("z")).filter(F.col("z") > cut)
+    listed = prompts.agg(F.sort_array(F.collect_list(F.struct("scene", "q"))).alias("p"))
+    listed = listed.select(F.when(F.size("p") <= MOST_LISTED, F.col("p")).otherwise(F.raise_error(F.lit(f"more than {MOST_LISTED} scenes"))).alias("p"))
+    rows = embeddings.join(F.broadcast(listed)).select("media_id", F.transform("p", lambda p: F.struct(p["scene"].alias("scene"), dot(F.col("embedding"), p["q"]).alias("score"))).alias("scores"))
+    each = rows.select(F.explode("scores").alias("s")).groupBy("s.scene").agg(F.avg("s.score").alias("mean"), F.greatest(F.stddev_pop("s.score"), F.lit(1e-6)).alias("sd"))
+    stats = each.agg(F.sort_array(F.collect_list(F.struct("scene", "mean", "sd"))).alias("m"))  # a row, an entry for each scene
+
+    def standing(s: Column, m: Column) -> Column:
+        return F.struct(rounded((s["score"] - m["mean"]) / m["sd"]).alias("z"), (-s["scene"]).alias("neg"))
+
+    best = rows.join(F.broadcast(stats)).select("media_id", F.array_max(F.zip_with("scores", "m", standing)).alias("s"))
+    best = best.select("media_id", (-F.col("s.neg")).alias("scene"), F.col("s.z").alias("z")).filter(F.col("z") > cut)
     big = best.groupBy("scene").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return best.join(F.broadcast(big), "scene")
 
 
 def centroids(faces: DataFrame, by: str = "person_id") -> DataFrame:
-    """Unit sum of each group's vectors as an array; groups with a sum near 0 have none."""
-    parts = faces.filter(F.col(by).isNotNull()).select(by, F.posexplode("embedding").alias("i", "x"))
-    sums = parts.groupBy(by, "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    whole = sums.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    """Unit sum of each group's vectors as an array; groups with a sum near 0 have none.
+
+    One sum for each place of the longest vector, so that a task sends a row a group.
+    """
+    own = faces.filter(F.col(by).isNotNull())
+    dim = own.agg(F.max(F.size("embedding"))).first()[0] or 0
+    sums = own.groupBy(by).agg(F.array(*[F.sum(F.get("embedding", F.lit(i)).cast("double")) for i in range(max(dim, 1))]).alias("v"))
+    whole = sums.select(by, F.filter("v", lambda x: x.isNotNull()).alias("v"))
     return whole.filter(norm(F.col("v")) >= 1e-6).select(by, normalised(F.col("v")).alias("centroid"))
 
 
@@ -268,6 +281,38 @@ def face_clusters(faces: DataFrame, threshold: float = 0.363, by: str | None = N
     return rows.groupBy("block").applyInPandas(work, "id long, block long, cluster long")
 
 
+def cluster_stats(clusters: DataFrame) -> DataFrame:
+    """One row for a clustering: groups of two faces or more, faces in them, and all faces."""
+    by = clusters.groupBy("block", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    several = F.col("n") >= 2
+    return by.agg(F.count_if(several).alias("groups"), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).alias("grouped"), F.coalesce(F.sum("n"), F.lit(0)).alias("faces"))
+
+
+def review_cards(faces: DataFrame, media: DataFrame, people: DataFrame, limit: int, threshold: float = THRESHOLD, most: int = 6) -> DataFrame:
+    """person, id, score, mine, slot: unconfirmed faces of alive media to ask about, for the ``most`` largest people (id, faces).
+
+    Of each person's own faces the least typical come first, of the others not
+    excluded from it those nearest the threshold; the two kinds alternate, and
+    the longer list follows. Only as many of a kind as are shown are ranked.
+    """
+    largest = people.orderBy(F.desc("faces"), "id").limit(most).select(F.col("id").alias("person"), F.col("faces").alias("size"))
+    shown = largest.agg(F.greatest(F.lit(4), F.floor(F.lit(limit) / F.greatest(F.count(F.lit(1)), F.lit(1)))).alias("per"))
+    centre = centroids(faces.join(F.broadcast(largest.select(F.col("person").alias("person_id"))), "person_id", "left_semi"))
+    targets = largest.join(centre, F.col("person") == F.col("person_id")).select("person", "size", "centroid").join(F.broadcast(shown))
+    open_ = faces.filter("confirmed = 0").join(media.filter(alive()).select(F.col("id").alias("media_id")), "media_id", "left_semi").select("id", "person_id", "excluded_person", "embedding")
+    rows = open_.join(F.broadcast(targets), (F.coalesce("person_id", F.lit(-1)) == F.col("person")) | (F.col("excluded_person") != F.col("person")))  # at most ``most`` targets
+    score, mine = rounded(dot(F.col("embedding"), F.col("centroid"))), F.coalesce(F.col("person_id") == F.col("person"), F.lit(False))
+    rows = rows.select("id", "person", "size", "per", score.alias("score"), mine.alias("mine")).filter(F.col("mine") | (F.col("score") >= threshold - SLACK))
+    order = F.when(F.col("mine"), F.col("score")).otherwise(F.abs(F.col("score") - threshold))
+    nth = F.row_number().over(Window.partitionBy("person", "mine").orderBy(order, "id"))
+    rows = rows.withColumn("nth", nth).filter(F.col("nth") <= max(4, limit)).withColumn("p", F.col("nth") - 1).filter(F.col("p") < F.col("per"))
+    kinds = Window.partitionBy("person")  # a few cards a person
+    shorter = F.least(F.sum(F.col("mine").cast("long")).over(kinds), F.sum((~F.col("mine")).cast("long")).over(kinds))
+    slot = F.when(F.col("p") < F.col("c"), F.col("p") * 2 + F.when(F.col("mine"), 0).otherwise(1)).otherwise(F.col("c") + F.col("p"))
+    cards = rows.withColumn("c", shorter).withColumn("slot", slot).filter(F.col("slot") < F.col("per"))
+    return cards.orderBy("slot", F.desc("size"), "person").limit(limit).select("person", "id", "score", "mine", "slot")
+
+
 def claimed_labels(clusters: DataFrame, faces: DataFrame) -> DataFrame:
     """cluster, person_id: the person most of a cluster's faces had before; a person is claimed once, least ids win ties."""
     votes = clusters.join(faces.filter("person_id is not null").select("id", "person_id"), "id").groupBy("cluster", "person_id").agg(F.count(F.lit(1)).alias("n"))

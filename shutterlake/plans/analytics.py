@@ -10,10 +10,12 @@ from shutterlake.functions.media import aspect_ratio, clip_seconds
 from shutterlake.operators import aggregates as agg
 from shutterlake.operators import filters as flt
 from shutterlake.operators import joins, layout, vectors, windows
+from shutterlake.operators import search as find
 from shutterlake.streaming import ingest
 
+from .fixtures import NOW
 from .registry import query
-from .relational import ALIVE, CHUNK_SQL, TS
+from .relational import ALIVE, CHUNK_SQL, TS, USABLE
 
 # ---- windows ------------------------------------------------------------------------------------
 
@@ -166,18 +168,19 @@ def v5_j20_suggested_faces(faces, persons):
     return vectors.suggested_faces(faces, persons, 2, threshold=0.1)
 
 
-@query("faces", "persons")
-def v10_o9_review_queue(faces, persons):
-    """Faces nearest the threshold for each of the largest people, then dealt round-robin."""
-    from pyspark.sql import Window
+REVIEW = f"""c AS (SELECT person_id AS cp, LIST(x / SQRT(n) ORDER BY i) AS q FROM (SELECT person_id, i, x, SUM(x * x) OVER (PARTITION BY person_id) AS n FROM ({CENTROID}) k) u GROUP BY person_id),
+    f AS (SELECT f.* FROM faces f JOIN media m ON m.id = f.media_id WHERE {ALIVE}),
+    t AS (SELECT p.id AS person, COUNT(*) AS size FROM persons p JOIN f ON f.person_id = p.id WHERE hidden = 0 GROUP BY p.id, name HAVING COUNT(*) >= 2 OR name IS NOT NULL ORDER BY size DESC, p.id LIMIT 6),
+    s AS (SELECT person, size, f.id, {SIX.format(DOT)} AS score, COALESCE(f.person_id = person, FALSE) AS mine, excluded_person FROM t JOIN c ON cp = person, f WHERE confirmed = 0),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY person, mine ORDER BY CASE WHEN mine THEN score ELSE ABS(score - 0.38::DOUBLE) END, id) - 1 AS p FROM s WHERE mine OR (excluded_person <> person AND score >= 0.38::DOUBLE - 0.15::DOUBLE)),
+    l AS (SELECT *, LEAST(COUNT(*) FILTER (WHERE mine) OVER w, COUNT(*) FILTER (WHERE NOT mine) OVER w) AS c FROM r WINDOW w AS (PARTITION BY person)),
+    o AS (SELECT person, size, id, score, mine, CASE WHEN p < c THEN 2 * p + CASE WHEN mine THEN 0 ELSE 1 END ELSE c + p END AS slot FROM l)"""
+
 
-    centre = vectors.centroids(faces).join(persons.filter("hidden = 0").select(F.col("id").alias("person_id")), "person_id")
-    loose = faces.filter("person_id is null").select("id", "embedding")
-    # at most six people are reviewed at once
-    largest = faces.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).filter("person_id is not null").orderBy(F.desc("n"), "person_id").limit(6)
-    rows = loose.crossJoin(F.broadcast(centre.join(largest, "person_id"))).select("id", "person_id", vectors.rounded(vectors.dot(F.col("embedding"), F.col("centroid"))).alias("score"))
-    nth = F.row_number().over(Window.partitionBy("person_id").orderBy(F.abs(F.col("score") - vectors.THRESHOLD), "id"))
-    return rows.withColumn("position", nth).filter("position <= 4").withColumnRenamed("person_id", "deck").orderBy("position", "deck")
+@query("faces", "persons", "media", sql=f"WITH {REVIEW} SELECT person, id, score, mine, slot FROM o WHERE slot < GREATEST(4, 30 // (SELECT COUNT(*) FROM t)) ORDER BY slot, size DESC, person LIMIT 30")
+def v10_o9_review_queue(faces, persons, media):
+    """Cards of the largest people, own faces and others in turn, dealt round-robin."""
+    return vectors.review_cards(faces, media, agg.people(faces, persons, media), 30)
 
 
 @query("answers", sql="WITH a AS (SELECT similarity::DOUBLE AS s, answer FROM answers), c AS (SELECT (s + LEAD(s) OVER (ORDER BY s)) / 2 AS cut FROM (SELECT DISTINCT s FROM a) d), e AS (SELECT cut, (SELECT COUNT(*) FROM a WHERE answer = 1 AND s < cut) + (SELECT COUNT(*) FROM a WHERE answer = 0 AND s >= cut) AS errors FROM c WHERE cut IS NOT NULL), b AS (SELECT * FROM e ORDER BY errors, ABS(cut - 0.38), cut LIMIT 1), w AS (SELECT LEAST(0.8::DOUBLE, COUNT(*) / 60.0::DOUBLE) AS w FROM a) SELECT cut, errors, CASE WHEN ABS(LEAST(0.6::DOUBLE, GREATEST(0.25::DOUBLE, 0.38::DOUBLE * (1 - w) + cut * w)) - 0.38::DOUBLE) >= 0.005 THEN LEAST(0.6::DOUBLE, GREATEST(0.25::DOUBLE, 0.38::DOUBLE * (1 - w) + cut * w)) ELSE 0.38::DOUBLE END AS threshold FROM b, w")
@@ -206,6 +209,11 @@ def v7_a26_claimed_labels(faces):
     return vectors.claimed_labels(vectors.face_clusters(faces, 0.363), faces)
 
 
+@query("faces")
+def a25_cluster_stats(faces):
+    return vectors.cluster_stats(vectors.face_clusters(faces, 0.363))
+
+
 @query("faces")
 def v11_j24_kept_boxes(faces):
     return vectors.kept_boxes(faces.select("media_id", "id", "x", "y", "w", "h", "score"), "media_id")
@@ -236,6 +244,11 @@ def c13_place_media(media, cities):
     return joins.places_of(media, cities).filter("city = 'Paris'").orderBy(F.desc("creation_date"), F.desc("id")).limit(2000).select("id")
 
 
+@query("media", "persons", "faces", "analysis", "cities", sql=f"WITH {SPOTS}, {NEAR.format(km=60)} SELECT id FROM media WHERE {ALIVE} AND id IN (SELECT media_id FROM analysis WHERE color_bucket = 1) AND id IN (SELECT m.id FROM media m JOIN g ON g.lat = latitude AND g.lon = longitude WHERE nth = 1 AND country = 'Japan') ORDER BY creation_date DESC, id DESC LIMIT 5000")
+def l6_search_place(media, persons, faces, analysis, cities):
+    return find.search(media, "japan red", persons, faces, analysis, joins.places_of(media, cities)).select("id")
+
+
 @query(
     "media",
     "cities",
@@ -278,15 +291,23 @@ def g5_spread(media):
     return by.select("folder_path", (F.floor(F.col("km") * 10 + 0.5) / 10.0).alias("spread"), (F.col("km") > 25).alias("expand"))
 
 
-@query("media")
-def a17_u4_memory_batch(media):
-    """Up to five memories: one candidate a month first, in seeded order, then the rest."""
-    from pyspark.sql import Window
+KEYED = f"SELECT id, file_path, mime_type LIKE 'video/%' AS video, 'day' AS kind, STRFTIME({TS}, '%Y-%m-%d') AS date, 8 AS least FROM media WHERE {USABLE} UNION ALL SELECT id, file_path, mime_type LIKE 'video/%', 'month', STRFTIME({TS}, '%Y-%m'), 16 FROM media WHERE {USABLE}"
+BATCH = f"""k AS ({KEYED}),
+    b AS (SELECT kind, date, date IN (SELECT date FROM memories) AS stale, MD5('7' || kind || date) AS drawn FROM k GROUP BY kind, date HAVING COUNT(*) >= MAX(least) AND COUNT(*) FILTER (WHERE NOT video) + LEAST(COUNT(*) FILTER (WHERE video), 3) >= 6),
+    l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY LEFT(date, 7) ORDER BY stale, drawn) > 1 AS later FROM b),
+    c AS (SELECT kind, date, stale, 8 + ASCII(drawn) % 5 AS want, ROW_NUMBER() OVER (ORDER BY later, stale, drawn)::INTEGER AS place FROM l ORDER BY later, stale, drawn LIMIT 5),
+    v AS (SELECT c.*, k.id, k.video, MD5('7' || file_path) AS drawn, ROW_NUMBER() OVER (PARTITION BY place, video ORDER BY MD5('7' || file_path), k.id) AS n FROM k JOIN c ON c.kind = k.kind AND c.date = k.date),
+    w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY place ORDER BY drawn, id) AS nth FROM v WHERE NOT video OR n <= 3)"""
+
+
+@query("media", "memories", sql=f"WITH {BATCH} SELECT place, kind, date, stale, id FROM w WHERE nth <= want")
+def a17_u4_memory_batch(media, memories):
+    return agg.memory_batch(media, memories)
+
 
-    rows = agg.memory_candidates(media)
-    order = F.xxhash64(F.lit(7), "kind", "date")
-    first = F.row_number().over(Window.partitionBy(F.substring("date", 1, 7)).orderBy(order, "date"))
-    return rows.withColumn("round", first).withColumn("order", order).orderBy("round", "order", "date").limit(5).select("kind", "date", "n")
+@query("media", "memories", sql=f"WITH {BATCH} SELECT date, created_at, expires_at, custom FROM memories WHERE custom = 1 UNION ALL SELECT date, {NOW}, {NOW} + 7 * 86400, 0 FROM c UNION ALL SELECT date, created_at, expires_at, custom FROM memories WHERE custom = 0 AND NOT EXISTS (SELECT 1 FROM c)")
+def t5_weekly_batch(media, memories):
+    return ingest.weekly_batch(memories, agg.memory_batch(media, memories), NOW)
 
 
 # ---- streams (also as batch, to have an oracle) ---------------------------------------------------

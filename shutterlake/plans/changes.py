@@ -36,6 +36,12 @@ def d4_d5_missing(media):
     return dml.prune_missing(media.select("file_path"), media.filter("id % 9 <> 0").select("file_path"), 100)
 
 
+@query("media", sql="SELECT 'media' AS list, file_path FROM media WHERE id % 9 <> 0 UNION ALL SELECT 'thumbnails', file_path FROM media WHERE id % 9 <> 0 AND id % 2 = 0")
+def d5_orphan_sweep(media):
+    kept, thumbnails = dml.swept(media, media.filter("id % 2 = 0").select("file_path"), media.filter("id % 9 <> 0").select(F.col("file_path").alias("path")))
+    return kept.select(F.lit("media").alias("list"), "file_path").unionByName(thumbnails.select(F.lit("thumbnails").alias("list"), "file_path"))
+
+
 @query("media", sql=f"SELECT id FROM media WHERE NOT (is_trashed = 1 AND COALESCE(trashed_at, 0) < {NOW} - 30 * 86400)")
 def d6_t6_purge(media):
     return dml.purge_trash(media, NOW, 30).select("id")

@@ -275,7 +275,7 @@ def c7_j11_ignored_folders(albums, media):
 @query("media", "albums", sql=f"SELECT DISTINCT folder_path, CASE WHEN LENGTH(custom_name) > 0 THEN custom_name ELSE STRING_SPLIT(folder_path, '/')[-1] END AS name FROM media LEFT JOIN albums ON path_prefix = folder_path WHERE {LIVE} AND {IGNORED}")
 def c8_j1_album_list(media, albums):
     rows = flt.without_ignored_folders(media.filter(flt.live()), albums).select("folder_path").distinct()
-    rows = rows.join(F.broadcast(albums.select(F.col("path_prefix").alias("folder_path"), "custom_name")), "folder_path", "left")
+    rows = rows.join(albums.select(F.col("path_prefix").alias("folder_path"), "custom_name"), "folder_path", "left")
     return rows.select("folder_path", paths.leaf_name(F.col("folder_path"), F.col("custom_name")).alias("name"))
 
 
@@ -343,14 +343,14 @@ def j2_cell_samples(media):
 def j4_people_faces_media(faces, media, persons):
     rows = faces.select(F.col("id").alias("face"), F.col("media_id").alias("media"), F.col("person_id").alias("person"))
     rows = rows.join(media.filter(flt.alive()).select(F.col("id").alias("media")), "media")
-    return rows.join(F.broadcast(persons.select(F.col("id").alias("person"))), "person").select("person", "face", "media")
+    return rows.join(persons.select(F.col("id").alias("person")), "person").select("person", "face", "media")
 
 
 @query("faces", "media", "persons", sql=f"SELECT f.id FROM faces f JOIN media m ON m.id = f.media_id LEFT JOIN persons p ON p.id = f.person_id WHERE {ALIVE} AND (p.id IS NULL OR p.name IS NULL)")
 def j5_unnamed_faces(faces, media, persons):
     rows = faces.join(media.filter(flt.alive()).select(F.col("id").alias("media_id")), "media_id")
     named = persons.filter("name is not null").select(F.col("id").alias("person_id"))
-    return ids(rows.join(F.broadcast(named), "person_id", "left_anti"))
+    return ids(rows.join(named, "person_id", "left_anti"))
 
 
 @query("ai_embeddings", "media", sql=f"SELECT media_id FROM ai_embeddings JOIN media ON id = media_id WHERE {ALIVE}")
@@ -665,11 +665,6 @@ _search_query("l2_search_person", "Bob  2021", f"id IN (SELECT media_id FROM fac
 _search_query("l8_l10_search_name", "signup_4", "CONTAINS(LOWER(file_path), 'signup_4')")
 
 
-@query("media", "persons", "faces", "analysis", "cities")
-def l6_search_place(media, persons, faces, analysis, cities):
-    return ids(find.search(media, "japan red", persons, faces, analysis, joins.places_of(media, cities)))
-
-
 @query("media", sql="SELECT DISTINCT folder_path FROM media WHERE CONTAINS(STRING_SPLIT(folder_path, '/')[-1], 'a12') ORDER BY folder_path LIMIT 6")
 def l7_album_chips(media):
     return find.album_chips(media, "a12")

@@ -60,6 +60,22 @@ def sessions(events: DataFrame, key: str, gap: str = "3 days", late: str = "1 da
     return by.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def weekly_batch(memories: DataFrame, batch: DataFrame, now: int, full: int = 5, days: int = 7) -> DataFrame:
+    """Memories (date, created_at, expires_at, custom) after a weekly run that made ``batch`` (date).
+
+    Nothing changes while ``full`` memories that are not custom are live. Else
+    the new ones live for ``days``, and older ones that are not custom go, if
+    there is any new one.
+    """
+    columns = ["date", "created_at", "expires_at", "custom"]
+    live = memories.agg(F.count_if((F.col("custom") == 0) & (F.col("expires_at") > now)).alias("_live"))
+    made = batch.select("date").distinct().join(F.broadcast(live)).filter(F.col("_live") < full)  # one row
+    made = made.select("date", F.lit(now).alias("created_at"), F.lit(now + days * 86400).alias("expires_at"), F.lit(0).alias("custom"))
+    any_new = made.agg((F.count(F.lit(1)) > 0).alias("_replaced"))
+    kept = memories.select(*columns).join(F.broadcast(any_new)).filter(~F.col("_replaced") | (F.col("custom") == 1) | (F.col("created_at") >= now))
+    return kept.select(*columns).unionByName(made)
+
+
 def live_memories(memories: DataFrame, now: int) -> DataFrame:
     """Memories that are custom or have not expired."""
     return memories.filter((F.col("custom") == 1) | (F.col("expires_at") > now))
