@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.dates import exif_seconds
 from shutterlake.functions.media import COLOURS, colour_bucket
-from shutterlake.operators import dml, layout, search, vectors
+from shutterlake.operators import aggregates, dml, layout, search, vectors
 from shutterlake.operators.limits import small_list
 from shutterlake.plans.fixtures import load
 from shutterlake.plans.registry import QUERIES
@@ -62,6 +62,66 @@ def test_all_faces_are_clustered_and_vote(spark):
     assert {r["person_id"]: r["cluster"] for r in QUERIES["v7_a26_claimed_labels"](spark, sf).collect()} == want
 
 
+def test_groups_of_a_clustering_are_counted(spark):
+    label = {i: i % 7 if i < 30 else 100 + i for i in range(50)}
+    df = spark.createDataFrame([(i, 0, c) for i, c in label.items()], "id long, block long, cluster long")
+    assert tuple(vectors.cluster_stats(df).first()) == (7, 30, 50)
+    assert tuple(vectors.cluster_stats(df.limit(0)).first()) == (0, 0, 0)
+
+
+def test_extra_copies_of_a_large_group(spark):
+    """Copies without a date, at one second and over many days rank as one sorted list does."""
+    r = np.random.default_rng(14)
+    dates = [None, 0, 40, 86400 * 9] + [int(x) for x in r.integers(1, 10**7, 40)]
+    rows = [(i * 90001 % 7000003, f"/p{i % 5}/{'same' if i % 3 else 'other'}.jpg", 5, dates[int(r.integers(0, len(dates)))], 0) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, file_path string, file_size long, creation_date long, is_trashed int")
+    want = {}
+    for name in ("same.jpg", "other.jpg"):
+        own = sorted((x[3] is not None, x[3] or 0, x[0]) for x in rows if x[1].endswith("/" + name))
+        want |= {i: n for n, (_, _, i) in enumerate(own, 1) if n > 1}
+    assert {x["id"]: x["nth"] for x in aggregates.extra_copies(df).collect()} == want
+    groups = aggregates.duplicate_groups(df, 1).collect()
+    assert len(groups) == 1 and groups[0]["name"] == "same.jpg" and len(groups[0]["ids"].split("|")) == groups[0]["copies"] == 600
+
+
+def test_rows_span_the_width(spark):
+    got = QUERIES["w6_justified_rows"](spark, SF).toPandas()
+    media = load(spark, SF, "media").filter("is_trashed = 0 and is_hidden = 0 and is_ignored = 0")
+    assert len(got) == media.count()
+    for _, month in got.groupby("month"):
+        month = month.sort_values("position")
+        assert month["position"].tolist() == list(range(len(month))) and month["row"].is_monotonic_increasing
+        assert set(month["row"].diff().fillna(0)) <= {0, 1} and (month.groupby("row")["height"].nunique() == 1).all()
+        assert month["height"].between(layout.LEAST, layout.MOST).all()
+
+
+def test_pins_hold_all_cells(spark):
+    cells = aggregates.geo_cells(load(spark, SF, "media"))
+    pins = QUERIES["g3_pins"](spark, SF).collect()
+    assert sum(p["n"] for p in pins) == cells.agg(F.sum("n")).first()[0] and 0 < len(pins) <= cells.count()
+
+
+def test_memory_batches_and_their_retirement(spark):
+    media = load(spark, SF, "media")
+    none = spark.createDataFrame([], "date string, created_at long, expires_at long, custom int")
+    fresh = aggregates.memory_batch(media, none).toPandas()
+    videos = {r["id"] for r in media.filter("mime_type like 'video/%'").select("id").collect()}
+    for _, own in fresh.groupby("place"):
+        assert 6 <= len(own) <= 12 and own["id"].is_unique and sum(i in videos for i in own["id"]) <= 3 and not own["stale"].any()
+    used = spark.createDataFrame([(d,) for d in fresh["date"].unique()], "date string")
+    again = aggregates.memory_batch(media, used).toPandas()
+    old = again[again["stale"]]["place"].min()
+    assert again[~again["stale"]]["place"].max() <= len(again["place"].unique()) and (len(again[again["stale"]]) == 0 or old > 1)
+    now = 1000000
+    held = [("a", 10, now + 5, 0), ("b", 10, now - 5, 0), ("c", 10, now - 5, 1)]
+    memories = spark.createDataFrame(held, none.schema)
+    new = spark.createDataFrame([("x",), ("x",), ("y",)], "date string")
+    assert sorted(r["date"] for r in ingest.weekly_batch(memories, new, now).collect()) == ["c", "x", "y"]
+    assert sorted(r["date"] for r in ingest.weekly_batch(memories, new.limit(0), now).collect()) == ["a", "b", "c"]
+    full = spark.createDataFrame([(str(i), 10, now + 5, 0) for i in range(5)], none.schema)
+    assert ingest.weekly_batch(full, new, now).count() == 5
+
+
 def test_boxes_against_one_at_a_time(spark):
     r = np.random.default_rng(11)
     rows = [(img, *r.uniform(0, 60, 2).tolist(), *r.uniform(5, 30, 2).tolist(), float(n)) for img in range(6) for n in range(25)]
