@@ -6,11 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def chunks(text: Column, size: int = 700, overlap: int = 70, most: int = 20) -> Column:
-    """Array of overlapping chunks of a text, ``most`` of them at the most."""
+def chunks(text: Column, size: int = 700, overlap: int = 70, most: int | None = None) -> Column:
+    """Array of overlapping chunks of a whole text, or of its first ``most`` ones; none of a null text.
+
+    A text is cut into stretches of 64 chunks first, as the place of a character
+    is found by counting from the start of a string.
+    """
     step = size - overlap
-    at = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: i * step < F.length(text))
-    return F.transform(at, lambda i: F.substring(text, i * step + 1, F.lit(size)))
+    n = F.ceil(F.length(text) / step)
+    n = F.least(n, F.lit(most)) if most is not None else n
+
+    def upto(last: Column) -> Column:
+        return F.when(last > 0, F.sequence(F.lit(0).cast("long"), last - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def stretch(b: Column) -> Column:
+        part = F.substring(text, (b * 64 * step + 1).cast("int"), F.lit(64 * step + overlap))
+        return F.transform(upto(F.least(F.lit(64).cast("long"), n - b * 64)), lambda i: F.substring(part, (i * step + 1).cast("int"), F.lit(size)))
+
+    return F.flatten(F.transform(upto(F.ceil(n / 64)), stretch))
 
 
 def words(query: str) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions import media as m
@@ -12,12 +12,11 @@ from shutterlake.functions import paths
 CREATED, MODIFIED, NAME, SIZE, VIEWED, TYPE, WIDTH, HEIGHT, DIMENSIONS, ORIENTATION = range(10)
 
 
-def media_order(role: int = CREATED, ascending: bool = False) -> list[Column]:
-    """Sort columns of a role; ids break ties in the same direction, by type and orientation newest or largest first."""
+Keys = list[tuple[Column, bool]]  # a column, and whether it ascends; null is the smallest value
 
-    def by(c: Column) -> Column:
-        return c.asc_nulls_first() if ascending else c.desc_nulls_last()
 
+def media_keys(role: int = CREATED, ascending: bool = False) -> Keys:
+    """Sort keys of a role; ids break ties in the same direction, by type and orientation newest or largest first."""
     size = m.area(F.col("width"), F.col("height"))
     keys = {
         MODIFIED: F.col("modified_date"),
@@ -29,10 +28,49 @@ def media_order(role: int = CREATED, ascending: bool = False) -> list[Column]:
         DIMENSIONS: size,
     }
     if role == TYPE:
-        return [by(F.lower(F.coalesce("mime_type", F.lit("")))), F.desc("creation_date"), F.desc("id")]
+        return [(F.lower(F.coalesce("mime_type", F.lit(""))), ascending), (F.col("creation_date"), False), (F.col("id"), False)]
     if role == ORIENTATION:
-        return [by(m.orientation(F.col("width"), F.col("height"))), size.desc(), F.desc("id")]
-    return [by(keys.get(role, F.col("creation_date"))), by(F.col("id"))]
+        return [(m.orientation(F.col("width"), F.col("height")), ascending), (size, False), (F.col("id"), False)]
+    return [(keys.get(role, F.col("creation_date")), ascending), (F.col("id"), ascending)]
+
+
+def order_of(keys: Keys) -> list[Column]:
+    return [c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in keys]
+
+
+def media_order(role: int = CREATED, ascending: bool = False) -> list[Column]:
+    """Sort columns of a role."""
+    return order_of(media_keys(role, ascending))
+
+
+def placed(df: DataFrame, keys: Keys, blocks: int = 200) -> DataFrame:
+    """``df`` with its 1-based ``place`` in the order of ``keys``, which must be total; no window runs over the whole table.
+
+    The rows with the ``blocks`` smallest hashes of their keys cut the order into
+    blocks. A place is the size of the blocks before plus the place within the
+    block, so a window sorts about a ``blocks``-th of the rows. The cuts only
+    decide how rows are spread, never a place. An empty table stays empty.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.withColumns({n: c for n, (c, _) in zip(names, keys, strict=True)})
+    # at most ``blocks`` rows, in one row
+    cuts = rows.select(*names).orderBy(F.xxhash64(*names), *names).limit(blocks).agg(F.collect_list(F.struct(*names)).alias("_cuts"))
+
+    def passed(cut: Column) -> Column:
+        """Whether a cut stands at a row or before it."""
+        out = F.lit(True)
+        for n, (_, up) in reversed(list(zip(names, keys, strict=True))):
+            a, b = F.struct(cut[n]), F.struct(F.col(n))  # structs order null first
+            out = F.when(a == b, out).otherwise(a < b if up else a > b)
+        return out
+
+    rows = rows.join(F.broadcast(cuts)).withColumn("_block", F.size(F.filter("_cuts", passed))).drop("_cuts")
+    counts = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # at most ``blocks`` + 1 rows
+    starts = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_block").orderBy(*order_of([(F.col(n), up) for n, (_, up) in zip(names, keys, strict=True)]))
+    out = rows.join(F.broadcast(starts), "_block").withColumn("place", F.row_number().over(within) + F.col("_start"))
+    return out.drop("_block", "_start", *names)
 
 
 def list_order(field: str, ascending: bool = True, text: bool = False, pinned: str | None = None) -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions import dates, geo
+from shutterlake.operators import sorting
 from shutterlake.operators.aggregates import home_cell
 from shutterlake.operators.filters import alive
 
@@ -110,9 +111,18 @@ def trip_names(places: DataFrame, trip_list: DataFrame) -> DataFrame:
     return out.select("trip", name.otherwise(F.concat("country1", F.lit(" & "), "country2")).alias("name"))
 
 
-def interleaved(decks: DataFrame) -> DataFrame:
-    """Round-robin over (deck, position): element i of every deck before element i + 1."""
-    return decks.orderBy("position", "deck")
+def interleaved(rows: DataFrame, deck: str, keys: sorting.Keys) -> DataFrame:
+    """``rows`` with their 1-based ``place``, round robin over decks: element i of every deck before element i + 1.
+
+    ``keys`` order a deck and must be total. A deck's first place in the order by
+    deck comes from the sizes of the decks, so no window holds a whole deck.
+    """
+    sizes = rows.groupBy(deck).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(deck).rowsBetween(Window.unboundedPreceding, -1)  # a row for each deck
+    starts = sizes.select(deck, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    dealt = sorting.placed(rows, [(F.col(deck), True), *keys]).join(starts, deck)
+    dealt = dealt.withColumn("_nth", F.col("place") - F.col("_start")).drop("place", "_start")
+    return sorting.placed(dealt, [(F.col("_nth"), True), (F.col(deck), True)]).drop("_nth")
 
 
 def alternating(mine: DataFrame, others: DataFrame, n: int) -> DataFrame:

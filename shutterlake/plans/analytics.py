@@ -76,13 +76,10 @@ def w9_top_per_group(analysis):
     return analysis.select("color_bucket", "media_id", nth.alias("nth")).filter("nth <= 4")
 
 
-@query("faces", sql="SELECT id, ROW_NUMBER() OVER (ORDER BY p, person_id)::INTEGER AS place FROM (SELECT id, person_id, ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY score DESC, id) AS p FROM faces WHERE person_id IS NOT NULL) t WHERE p <= 6")
+@query("faces", sql="SELECT id, ROW_NUMBER() OVER (ORDER BY p, person_id) AS place FROM (SELECT id, person_id, ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY score DESC, id) AS p FROM faces WHERE person_id IS NOT NULL) t")
 def w10_interleaved(faces):
-    from pyspark.sql import Window
-
-    deck = faces.filter("person_id is not null").select("id", F.col("person_id").alias("deck"), F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("score"), "id")).alias("position")).filter("position <= 6")
-    # at most six rows a person
-    return windows.interleaved(deck).select("id", F.row_number().over(Window.orderBy("position", "deck")).alias("place"))
+    decks = faces.filter("person_id is not null").select("id", "score", F.col("person_id").alias("deck"))
+    return windows.interleaved(decks, "deck", [(F.col("score"), False), (F.col("id"), True)]).select("id", "place")
 
 
 @query("faces", sql="WITH m AS (SELECT id, ROW_NUMBER() OVER (ORDER BY score, id) - 1 AS p FROM faces WHERE person_id = 1), o AS (SELECT id, ROW_NUMBER() OVER (ORDER BY score DESC, id) - 1 AS p FROM faces WHERE person_id IS NULL), c AS (SELECT LEAST((SELECT COUNT(*) FROM m), (SELECT COUNT(*) FROM o)) AS c) SELECT id, slot FROM (SELECT id, CASE WHEN p < c THEN 2 * p ELSE c + p END AS slot FROM m, c UNION ALL SELECT id, CASE WHEN p < c THEN 2 * p + 1 ELSE c + p END FROM o, c) t ORDER BY slot LIMIT 24")
@@ -325,6 +322,11 @@ def t_sessions(events):
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
+@query("events", sql="SELECT event_type, MAX(ts) + INTERVAL 10 MINUTE AS fires, COUNT(*) AS n FROM (SELECT *, SUM(new) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY event_type, s")
+def t2_coalesced_refreshes(events):
+    return ingest.coalesced(events, "event_type", "10 minutes").withColumn("fires", F.col("fires").cast("timestamp_ntz"))
+
+
 @query("doc_files", sql=f"SELECT file_path, COUNT(*) AS chunks FROM ({CHUNK_SQL}) t GROUP BY file_path")
 def f24_chunk_counts(docs):
     from shutterlake.sources.files import document_chunks

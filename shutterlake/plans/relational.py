@@ -12,7 +12,7 @@ from shutterlake.operators import aggregates as agg
 from shutterlake.operators import filters as flt
 from shutterlake.operators import joins, sorting
 from shutterlake.operators import search as find
-from shutterlake.sources import files
+from shutterlake.sources import files, headers
 
 from .fixtures import TODAY
 from .registry import query
@@ -55,7 +55,7 @@ def s16_snapshot(media):
     return files.snapshot(media, "/lib/a1")
 
 
-CHUNK_SQL = "SELECT file_path, i::INTEGER AS chunk_idx, SUBSTR(text, i * 630 + 1, 700) AS chunk FROM (SELECT file_path, text, UNNEST(RANGE(0, 20)) AS i FROM doc_files) c WHERE i * 630 < LENGTH(text)"
+CHUNK_SQL = "SELECT file_path, i::INTEGER AS chunk_idx, SUBSTR(text, i * 630 + 1, 700) AS chunk FROM (SELECT file_path, text, UNNEST(RANGE(0, (LENGTH(text) + 629) // 630)) AS i FROM doc_files) c WHERE i * 630 < LENGTH(text)"
 
 
 @query("doc_files", sql=CHUNK_SQL)
@@ -73,6 +73,43 @@ def s22_a20_peaks(samples):
     return agg.bucket_peaks(samples, 100)
 
 
+def _hex(number, size: int, little: bool = False):
+    digits = F.lpad(F.hex(number), 2 * size, "0")
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]) if little else digits
+
+
+def _small_files(media):
+    """path, content of a small file for each row, of eight kinds in turn; every ninth one is cut after ten bytes."""
+    i = F.col("id")
+    w, h = i % 4000 + 1, i * 7 % 3000 + 1
+    turned = F.when(i % 2 == 0, F.concat(_hex(F.lit(0), 4), _hex(F.lit(65536), 4))).otherwise(F.concat(_hex(F.lit(65536), 4), _hex(F.lit(0), 4)))
+    bodies = [
+        ("89504E470D0A1A0A0000000D49484452", _hex(w, 4), _hex(h, 4), "080600000000000000"),
+        ("474946383961", _hex(w, 2, True), _hex(h, 2, True), "000000"),
+        ("424D" + "00" * 16, _hex(w, 4, True), _hex(F.when(i % 2 == 0, h).otherwise(F.lit(2**32) - h), 4, True), "00000000"),
+        ("52494646000000005745425056503858" + "0A00000000000000", _hex(w - 1, 3, True), _hex(h - 1, 3, True), "00"),
+        ("FFD8FFC0001108", _hex(h, 2), _hex(w, 2), "00" * 10),
+        ("49492A00080000000300" + "0001040001000000", _hex(w, 4, True), "0101040001000000", _hex(h, 4, True), "1201030001000000", _hex(i % 8 + 1, 4, True), "00000000"),
+        ("00000010667479706D70343200000000" + "000000D86D6F6F76" + "0000006C6D766864" + "00" * 12 + "000003E8", _hex(i % 1000 * 500, 4), "00" * 80 + "000000647472616B" + "0000005C746B6864" + "00" * 40, turned, "00" * 28, _hex(w * 65536, 4), _hex(h * 65536, 4)),
+        ("6E6F206D65646961",),
+    ]
+    content = F.lit(None).cast("string")
+    for n, parts in enumerate(bodies):
+        content = F.when(i % 8 == n, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(content)
+    content = F.unhex(F.when(i % 9 == 0, F.substring(content, 1, 20)).otherwise(content))
+    return media.select(i.cast("string").alias("path"), content.alias("content"))
+
+
+@query(
+    "media",
+    sql="""SELECT id::VARCHAR AS path, CASE WHEN cut THEN NULL WHEN turned THEN h ELSE w END::INTEGER AS width, CASE WHEN cut THEN NULL WHEN turned THEN w ELSE h END::INTEGER AS height,
+      CASE WHEN k = 5 AND NOT cut THEN id % 8 + 1 END::INTEGER AS orientation, CASE WHEN k = 6 AND NOT cut THEN (id % 1000 * 500) / 1000.0::DOUBLE END AS seconds
+    FROM (SELECT id, id % 8 AS k, id % 4000 + 1 AS w, id * 7 % 3000 + 1 AS h, id % 9 = 0 AND id % 8 <> 1 AS cut, id % 8 = 6 AND id % 2 = 0 AS turned FROM media WHERE id % 8 < 7 AND NOT (id % 9 = 0 AND id % 8 = 3)) t""",
+)
+def s5_s9_s12_s13_headers(media):
+    return headers.probed(_small_files(media)).select("path", "width", "height", "orientation", "seconds")
+
+
 # ---- filters ------------------------------------------------------------------------------------
 
 
@@ -572,11 +609,10 @@ def a30_g4_screen_clusters(media):
 def _order_query(role: int, ascending: bool, sql: str):
     def run(media):
         rows = media.filter(flt.alive()).withColumn("last_viewed", F.lit(0))
-        top = rows.orderBy(*sorting.media_order(role, ascending)).limit(60)
-        return top.withColumn("place", F.row_number().over(Window.orderBy(*sorting.media_order(role, ascending)))).select("place", "id")
+        return sorting.placed(rows, sorting.media_keys(role, ascending)).select("place", "id")
 
     run.__name__ = f"o1_order_{role}_{'asc' if ascending else 'desc'}"
-    query("media", sql=f"SELECT ROW_NUMBER() OVER (ORDER BY {sql})::INTEGER AS place, id FROM (SELECT *, 0 AS last_viewed FROM media WHERE {ALIVE}) t ORDER BY {sql} LIMIT 60")(run)
+    query("media", sql=f"SELECT ROW_NUMBER() OVER (ORDER BY {sql}) AS place, id FROM (SELECT *, 0 AS last_viewed FROM media WHERE {ALIVE}) t")(run)
 
 
 AREA = "COALESCE(width, 0) * COALESCE(height, 0)"
@@ -595,9 +631,10 @@ def o2_o4_album_order(media, albums):
     return rows.select("folder_path", F.row_number().over(Window.orderBy(F.desc("is_pinned"), F.desc("n"), "folder_path")).alias("place"))
 
 
-@query("media", sql=f"SELECT id FROM media WHERE {ALIVE} ORDER BY LOWER({BASE}), id LIMIT 40")
+@query("media", sql=f"SELECT id, ROW_NUMBER() OVER (ORDER BY LOWER({BASE}), id) AS place FROM media WHERE {ALIVE}")
 def o3_flat_list(media):
-    return ids(media.filter(flt.alive()).orderBy(F.lower(paths.base_name(F.col("file_path"))), "id").limit(40))
+    keys = [(F.lower(paths.base_name(F.col("file_path"))), True), (F.col("id"), True)]
+    return sorting.placed(media.filter(flt.alive()), keys).select("id", "place")
 
 
 @query("media", sql=f"SELECT 'largest' AS list, id FROM (SELECT id FROM media WHERE {LIVE} ORDER BY file_size DESC, id LIMIT 60) a UNION ALL SELECT 'trash', id FROM (SELECT id FROM media WHERE is_trashed = 1 ORDER BY file_size DESC, id LIMIT 1000) b")

@@ -82,10 +82,10 @@ def f13_hundredths(media):
     return media.filter("latitude is not null").select("id", geo.hundredths(F.col("latitude")).alias("lat"))
 
 
-@query("media", sql=f"SELECT {BASE} AS name, LIST_AGGREGATE(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(LOWER({BASE}), '([0-9]+|[^0-9]+)'), lambda t: CASE WHEN REGEXP_MATCHES(t, '^[0-9]') THEN LPAD(t, 20, '0') ELSE t END), 'string_agg', '') AS key FROM media WHERE folder_path = '/lib/a1'")
+@query("media", sql=f"SELECT {BASE} AS name, LIST_AGGREGATE(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(LOWER({BASE}), '([0-9]+|[^0-9]+)'), lambda t: CASE WHEN REGEXP_MATCHES(t, '^[0-9]') THEN LPAD(t, 20, '0') ELSE t END), 'string_agg', '') AS key FROM media")
 def f14_natural_keys(media):
     name = paths.base_name(F.col("file_path"))
-    return media.filter("folder_path = '/lib/a1'").select(name.alias("name"), paths.natural_key(name).alias("key"))
+    return media.select(name.alias("name"), paths.natural_key(name).alias("key"))
 
 
 @query("media", sql="SELECT id, CASE WHEN width = 0 OR height = 0 THEN 3 WHEN width > height THEN 0 WHEN width = height THEN 1 ELSE 2 END::INTEGER AS shape, width * height AS area, CASE WHEN id % 8 + 1 >= 5 THEN height ELSE width END AS shown_width FROM media")

@@ -8,6 +8,7 @@ yields nulls, never an error; sizes beyond 2^31 - 1 are damage.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -17,12 +18,20 @@ from pyspark.sql import functions as F
 
 SCHEMA = "path string, width int, height int, orientation int, taken string, lat double, lon double, seconds double"
 
+#: What a helper raises on a damaged file.
+DAMAGE = (struct.error, IndexError, KeyError, TypeError, OverflowError)
+
+# Boxes that hold boxes, and QuickTime's keys of place and local date.
+HOLDERS = {"/moov", "/moov/trak", "/moov/trak/mdia", "/moov/udta", "/moov/udta/meta", "/moov/meta", "/meta", "/meta/iprp", "/meta/iprp/ipco"}
+PLACES = ("com.apple.quicktime.location.ISO6709", "location")
+MADE = "com.apple.quicktime.creationdate"
+
 
 def _number(content: Column, at: int, size: int, little: bool) -> Column:
     digits = F.hex(F.substring(content, at + 1, size))
     if little:
         digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.conv(digits, 16, 10).try_cast("long")
+    return F.when(F.length(digits) == 2 * size, F.conv(digits, 16, 10).try_cast("long"))  # null if the file ends before
 
 
 def kind_of(content: Column) -> Column:
@@ -133,38 +142,135 @@ def _boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += size
 
 
-def _bmff(data: bytes) -> dict:
-    """Duration, date and size from moov, the largest ispe of an image."""
+def _tree(data: bytes, at: int, end: int, above: str = "") -> Iterator[tuple[str, int, int]]:
+    """Path, start and end of every box below the containers that hold fields, in file order."""
+    for kind, x, y in _boxes(data, at, end):
+        path = f"{above}/{kind.decode('latin-1')}"
+        yield path, x, y
+        if path in HOLDERS:
+            # a box of sub-boxes may start with four bytes of version and flags
+            yield from _tree(data, x + 4 if path.endswith("/meta") and data[x + 4 : x + 8] != b"hdlr" else x, y, path)
+
+
+def _film(data: bytes, boxes: list[tuple[str, int, int]]) -> dict:
+    """Duration and date of moov, the size of the first picture track, and what QuickTime's keys say of date and place."""
     out: dict = {}
+    track: dict = {}
+    names: list[str] = []
+
+    def place(raw: bytes) -> None:
+        said = raw.decode("latin-1")
+        if re.match(r"[+-][0-9.]+[+-][0-9.]+", said):
+            out["place"] = said
+
+    def settle() -> None:
+        if track.get("size") and track.get("handler", b"vide") == b"vide" and "width" not in out:
+            out["width"], out["height"] = track["size"]
+
+    for path, x, y in boxes:
+        leaf = path.rsplit("/", 1)[1]
+        if path == "/moov/mvhd":
+            made, _, scale, length = struct.unpack_from(">IIII" if data[x] == 0 else ">QQIQ", data, x + 4)
+            out["seconds"] = length / scale if scale else None
+            if 631152000 < made - 2082844800 < 2**33 and "local" not in out:  # from 1990 to 2242
+                out["taken"] = str(pd.Timestamp(made - 2082844800, unit="s"))
+        elif path == "/moov/trak":
+            settle()
+            track = {}
+        elif leaf == "tkhd":
+            m = x + (40 if data[x] == 0 else 52)
+            w, h = (v >> 16 for v in struct.unpack_from(">II", data, m + 36))
+            if w and h:
+                track["size"] = (w, h) if struct.unpack_from(">i", data, m)[0] else (h, w)
+        elif path == "/moov/trak/mdia/hdlr":
+            track["handler"] = data[x + 8 : x + 12]
+        elif leaf == "\xa9xyz":
+            place(data[x + 4 : y])
+        elif leaf == "keys":
+            names, at = [], x + 8
+            while at + 8 <= y and (size := struct.unpack_from(">I", data, at)[0]) >= 8:
+                names.append(data[at + 8 : at + size].decode("latin-1"))
+                at += size
+        elif leaf == "ilst":
+            for number, a, b in _boxes(data, x, y):
+                value = next((data[p + 8 : q] for kind, p, q in _boxes(data, a, b) if kind == b"data"), b"")
+                nth = int.from_bytes(number, "big")
+                name = names[nth - 1] if 0 < nth <= len(names) else ""
+                if name in PLACES:
+                    place(value)
+                elif name == MADE and re.match(rb"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d", value):
+                    out["taken"], out["local"] = value[:19].decode("ascii").replace("T", " "), True
+    settle()
+    return out
 
-    def walk(a: int, b: int) -> None:
-        for kind, x, y in _boxes(data, a, b):
-            if kind in (b"moov", b"trak", b"iprp", b"ipco", b"udta"):
-                walk(x, y)
-            elif kind == b"meta":
-                walk(x + 4, y)
-            elif kind == b"mvhd":
-                made, _, scale, length = struct.unpack_from(">IIII" if data[x] == 0 else ">QQIQ", data, x + 4)
-                out["seconds"] = length / scale if scale else None
-                if made - 2082844800 > 631152000:
-                    out["taken"] = str(pd.Timestamp(made - 2082844800, unit="s"))
-            elif kind == b"tkhd":
-                m = x + (40 if data[x] == 0 else 52)
-                a_, b_ = struct.unpack_from(">ii", data, m)
-                w, h = (v >> 16 for v in struct.unpack_from(">II", data, m + 36))
-                if w and h:
-                    out["width"], out["height"] = (h, w) if a_ == 0 and b_ else (w, h)
-            elif kind == b"ispe":
-                w, h = struct.unpack_from(">II", data, x + 4)
-                if w * h > (out.get("width") or 0) * (out.get("height") or 0):
-                    out["width"], out["height"] = w, h
-            elif kind == b"\xa9xyz":
-                out["place"] = data[x + 4 : y].decode("latin-1")
-
-    walk(0, len(data))
+
+def _extent(data: bytes, x: int, item: int) -> tuple[int, int] | None:
+    """Place and length of the first extent of an item in the iloc box that starts at ``x``, if it lies in the file itself."""
+    version, wide, index = data[x], data[x + 4], data[x + 5]
+    sizes = {"offset": wide >> 4, "length": wide & 15, "base": index >> 4, "index": index & 15 if version else 0}
+    at = x + 6
+
+    def take(n: int) -> int:
+        nonlocal at
+        if at + n > len(data):
+            raise IndexError
+        at += n
+        return int.from_bytes(data[at - n : at], "big")
+
+    long = 2 if version < 2 else 4
+    for _ in range(take(long)):
+        found = take(long)
+        inside = (take(2) & 15) == 0 if version else True
+        take(2)
+        base, extents = take(sizes["base"]), []
+        for _ in range(take(2)):
+            take(sizes["index"])
+            extents.append((base + take(sizes["offset"]), take(sizes["length"])))
+        if found == item:
+            return extents[0] if inside and extents else None
+    return None
+
+
+def _picture(data: bytes, boxes: list[tuple[str, int, int]]) -> dict:
+    """The largest size of an image, turned if it says so, and the fields of its Exif item."""
+    out: dict = {}
+    quarter = exif = table = None
+    for path, x, y in boxes:
+        if path == "/meta/iprp/ipco/ispe":
+            w, h = struct.unpack_from(">II", data, x + 4)
+            if w * h > (out.get("width") or 0) * (out.get("height") or 0):
+                out["width"], out["height"] = w, h
+        elif path == "/meta/iprp/ipco/irot":
+            quarter = data[x] & 1
+        elif path == "/meta/iinf" and exif is None:
+            for kind, p, _ in _boxes(data, x + (6 if data[x] == 0 else 8), y):
+                form = {2: ">H2x4s", 3: ">I2x4s"}.get(data[p]) if kind == b"infe" else None
+                if form and struct.unpack_from(form, data, p + 4)[1] == b"Exif":
+                    exif = struct.unpack_from(form, data, p + 4)[0]
+                    break
+        elif path == "/meta/iloc":
+            table = x
+    if quarter and "width" in out:
+        out["width"], out["height"] = out["height"], out["width"]
+    try:
+        spot = _extent(data, table, exif) if table is not None and exif is not None else None
+        if spot:
+            at, size = spot
+            skip = struct.unpack_from(">I", data, at)[0]
+            if skip < size:
+                out |= {k: v for k, v in _tiff(data[at + 4 + skip : at + size]).items() if k not in ("width", "height")}
+    except DAMAGE:
+        pass  # the size is known all the same
     return out
 
 
+def _bmff(data: bytes) -> dict:
+    boxes = list(_tree(data, 0, len(data)))
+    found = _film(data, boxes) if any(path == "/moov" for path, _, _ in boxes) else _picture(data, boxes)
+    found.pop("local", None)
+    return found
+
+
 def parsed(data: bytes) -> dict:
     """Fields of one file; {} if it is damaged or of another format."""
     try:
@@ -178,7 +284,7 @@ def parsed(data: bytes) -> dict:
             return _chunked(data, 12, "<4sI", 2, b"EXIF")
         if data[4:8] == b"ftyp" and data[8:12] != b"crx ":
             return _bmff(data)
-    except (struct.error, IndexError, KeyError, TypeError, OverflowError):
+    except DAMAGE:
         pass
     return {}
 

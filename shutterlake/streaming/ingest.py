@@ -60,6 +60,11 @@ def sessions(events: DataFrame, key: str, gap: str = "3 days", late: str = "1 da
     return by.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def coalesced(triggers: DataFrame, key: str, quiet: str = "1 second", late: str = "1 day") -> DataFrame:
+    """One refresh for each burst of triggers of a key: when it fires, ``quiet`` after the last one, and how many it answers."""
+    return sessions(triggers, key, quiet, late).select(key, F.col("end").alias("fires"), "n")
+
+
 def weekly_batch(memories: DataFrame, batch: DataFrame, now: int, full: int = 5, days: int = 7) -> DataFrame:
     """Memories (date, created_at, expires_at, custom) after a weekly run that made ``batch`` (date).
 

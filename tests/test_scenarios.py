@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.dates import exif_seconds
 from shutterlake.functions.media import COLOURS, colour_bucket
-from shutterlake.operators import aggregates, dml, layout, search, vectors
+from shutterlake.functions.text import chunks
+from shutterlake.operators import aggregates, dml, layout, search, sorting, vectors, windows
 from shutterlake.operators.limits import small_list
 from shutterlake.plans.fixtures import load
 from shutterlake.plans.registry import QUERIES
@@ -261,19 +262,65 @@ def media_files():
         "j.jpg": b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + len(exif)) + exif + b"\xff\xc2\0\x11\x08" + struct.pack(">HH", 345, 678) + b"\0" * 10,
         "t.tif": tiff(),
         "m.mp4": film(),
+        "i.heic": heic(1),
+        "c.mov": camera_film(),
     }
 
 
+def heic(turns, small=(160, 120), large=(3024, 4032), base=0):
+    """A picture with a thumbnail's size, a turn, and an Exif item of which iinf and iloc tell."""
+    exif = struct.pack(">I", 6) + b"Exif\0\0" + tiff("<", turned=1)
+    sizes = b"".join(box(b"ispe", b"\0" * 4 + struct.pack(">II", *s)) for s in (large, small))
+    props = box(b"iprp", box(b"ipco", sizes + box(b"irot", bytes([turns]))))
+    entries = box(b"infe", b"\2\0\0\0" + struct.pack(">HH", 1, 0) + b"hvc1\0") + box(b"infe", b"\2\0\0\0" + struct.pack(">HH", 9, 0) + b"Exif\0")
+    info = box(b"iinf", b"\0" * 4 + struct.pack(">H", 2) + entries)
+
+    def whole(at):
+        rows = struct.pack(">HHHIHII", 1, 0, 0, 0, 1, 5, 5) + struct.pack(">HHHIHII", 9, 0, 0, base, 1, at - base, len(exif))
+        loc = box(b"iloc", b"\1\0\0\0" + bytes([0x44, 0x40]) + struct.pack(">H", 2) + rows)
+        return box(b"ftyp", b"heic\0\0\0\0") + box(b"meta", b"\0" * 4 + info + loc + props) + box(b"mdat", exif)
+
+    return whole(len(whole(base)) - len(exif))
+
+
+def camera_film():
+    """A film whose first track is sound and whose keys tell place and local time."""
+    def track(kind, wide, high):
+        tkhd = b"\0" * 40 + struct.pack(">9i", 65536, 0, 0, 0, 65536, 0, 0, 0, 1 << 30) + struct.pack(">II", wide << 16, high << 16)
+        return box(b"trak", box(b"tkhd", tkhd) + box(b"mdia", box(b"hdlr", b"\0" * 8 + kind + b"\0" * 12)))
+
+    names = (b"com.apple.quicktime.make", b"com.apple.quicktime.creationdate", b"com.apple.quicktime.location.ISO6709")
+    keys = box(b"keys", struct.pack(">II", 0, 3) + b"".join(struct.pack(">I4s", 8 + len(n), b"mdta") + n for n in names))
+    said = (b"Someone", b"2019-08-24T21:15:42+0900", b"-33.8568+151.2153/")
+    values = box(b"ilst", b"".join(box(struct.pack(">I", i), box(b"data", struct.pack(">II", 1, 0) + v)) for i, v in enumerate(said, 1)))
+    mvhd = struct.pack(">5I", 0, 3649233342, 0, 90000, 1125000) + b"\0" * 80
+    meta = box(b"meta", box(b"hdlr", b"\0" * 8 + b"mdta" + b"\0" * 12) + keys + values)
+    return box(b"ftyp", b"qt  \0\0\0\0") + box(b"moov", box(b"mvhd", mvhd) + track(b"soun", 5, 6) + track(b"vide", 3840, 2160) + track(b"vide", 90, 60) + meta)
+
+
+def test_items_and_keys(spark):
+    more = {"flat.heic": heic(2), "turned.heic": heic(3, base=7), "far.heic": heic(1)[:-40], "c.mov": camera_film()}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in more.items()], "path string, content binary")
+    got = {r["path"]: r for r in headers.probed(df).collect()}
+    assert {k: (r["width"], r["height"]) for k, r in got.items()} == {"flat.heic": (3024, 4032), "turned.heic": (4032, 3024), "far.heic": (4032, 3024), "c.mov": (3840, 2160)}
+    assert got["far.heic"]["lat"] is None
+    for k in ("flat.heic", "turned.heic"):
+        assert (got[k]["taken"], got[k]["orientation"]) == ("2017:11:30 06:45:10", 1) and abs(got[k]["lat"] - 59.3376389) < 1e-6
+    film_row = got["c.mov"]
+    assert (film_row["taken"], film_row["seconds"]) == ("2019-08-24 21:15:42", 12.5)
+    assert abs(film_row["lat"] + 33.8568) < 1e-9 and abs(film_row["lon"] - 151.2153) < 1e-9
+
+
 def test_headers_of_files(spark):
     more = {"odd.jpg": b"\xff\xd8\xff\xe0", "x.bin": b"of no kind", "none": b"", "huge.png": png(2**31, 5), "huge.bmp": b"BM" + b"\xff" * 40}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in (media_files() | more).items()] + [("null", None)], "path string, content binary")
     got = {r["path"]: r for r in headers.probed(df).collect()}
     sizes = {k: (r["width"], r["height"]) for k, r in got.items()}
     assert sizes == {
-        "p.png": (1001, 77), "g.gif": (31, 13), "up.bmp": (19, 23), "down.bmp": (19, 23), "x.webp": (300, 200), "l.webp": (512, 256), "j.jpg": (678, 345), "t.tif": (2592, 1944), "m.mp4": (720, 1280),
+        "p.png": (1001, 77), "g.gif": (31, 13), "up.bmp": (19, 23), "down.bmp": (19, 23), "x.webp": (300, 200), "l.webp": (512, 256), "j.jpg": (678, 345), "t.tif": (2592, 1944), "m.mp4": (720, 1280), "i.heic": (4032, 3024), "c.mov": (3840, 2160),
         "odd.jpg": (None, None), "huge.png": (None, 5), "huge.bmp": (None, 1),
     }
-    assert {k: r["orientation"] for k, r in got.items() if r["orientation"]} == {"p.png": 6, "x.webp": 3, "j.jpg": 3, "t.tif": 8}
+    assert {k: r["orientation"] for k, r in got.items() if r["orientation"]} == {"p.png": 6, "x.webp": 3, "j.jpg": 3, "t.tif": 8, "i.heic": 1}
     assert all(got[k]["taken"] == "2017:11:30 06:45:10" and abs(got[k]["lon"] - 18.0650694) < 1e-6 for k in ("p.png", "x.webp", "j.jpg", "t.tif"))
     assert got["m.mp4"]["seconds"] == 45 and abs(got["m.mp4"]["lat"] + 41.2865) < 1e-9
 
@@ -365,6 +412,40 @@ def test_search_reads_the_names_of_all_people(spark):
     assert ids[0] and ids[0] == ids[1] and ids[2] < ids[0] and ids[3] == ids[2]
 
 
+def test_places_of_a_whole_table(spark):
+    """Places equal a sort's for few and many cuts, with nulls, ties, mixed directions and one value that half of the rows hold."""
+    r = np.random.default_rng(21)
+    rows = [(i, None if i % 11 == 0 else 5 if i % 2 else int(r.integers(0, 40)), None if i % 7 == 0 else "abc"[i % 3] * (i % 4)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, n int, s string")
+    for up in (True, False):
+        def sizes(x, up=up):
+            n = (x[1] is not None, x[1] or 0)
+            return (n if up else (-n[0], -n[1]), x[0] if not up else -x[0])
+
+        want = {x[0]: i for i, x in enumerate(sorted(rows, key=lambda x: (x[2] is not None, x[2] or "", *sizes(x))), 1)}
+        keys = [(F.col("s"), True), (F.col("n"), up), (F.col("id"), not up)]
+        for blocks in (1, 3, 200):
+            assert {x["id"]: x["place"] for x in sorting.placed(df, keys, blocks).collect()} == want
+    assert sorting.placed(df.limit(0), [(F.col("id"), True)]).count() == 0
+
+
+def test_decks_are_dealt_in_turn(spark):
+    rows = [(i, "x" if i % 3 else "yz"[i % 2], i * 7919 % 101) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, deck string, score long")
+    decks = {d: [x[0] for x in sorted(rows, key=lambda x: (-x[2], x[0])) if x[1] == d] for d in "xyz"}
+    want = [d[n] for n in range(400) for d in decks.values() if n < len(d)]
+    got = windows.interleaved(df, "deck", [(F.col("score"), False), (F.col("id"), True)]).orderBy("place").collect()
+    assert [x["id"] for x in got] == want and [x["place"] for x in got] == list(range(1, 401))
+
+
+def test_chunks_of_whole_texts(spark):
+    texts = ["", "a", "x" * 629, "x" * 630, "y" * 631, "".join(chr(97 + i % 26) for i in range(40320)), "\U0001f4f7\u00e9b" * 60000, None]
+    got = {r["i"]: r["c"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunks(F.col("t")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [t[at : at + 700] for at in range(0, len(t or ""), 630)]
+    assert spark.createDataFrame([("z" * 90000,)], "t string").select(F.size(chunks(F.col("t"), most=20))).first()[0] == 20
+
+
 def test_long_lists_are_refused(spark):
     with pytest.raises(ValueError):
         small_list(spark.range(2000), "id")
