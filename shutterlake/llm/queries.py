@@ -16,6 +16,9 @@ from . import (
     op07_chat,
     op08_exact_dedup,
     op09_pii,
+    op11_hard_negatives,
+    op12_whitening,
+    op13_token_records,
 )
 from . import op10_near_dedup as near
 
@@ -73,9 +76,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return op12_whitening.whitened(rows, op12_whitening.fit(rows))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_token_records.written_and_read(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secrets, op2_substring_dedup, op3_topk, op4_mixing, op5_bpe, op6_toxicity, op7_chat, op8_exact_dedup, op9_pii, op10_near_dedup)
+    for f in (op1_secrets, op2_substring_dedup, op3_topk, op4_mixing, op5_bpe, op6_toxicity, op7_chat, op8_exact_dedup, op9_pii, op10_near_dedup, op11_hard_negatives_mined, op12_whitened, op13_token_files)
 }
 
 ORACLE: dict[str, str] = {
@@ -85,4 +101,5 @@ ORACLE: dict[str, str] = {
     "op4_mixing": op04_mixing.SQL,
     "op7_chat": op07_chat.SQL,
     "op8_exact_dedup": op08_exact_dedup.SQL,
+    "op11_hard_negatives_mined": op11_hard_negatives.SQL,
 }
