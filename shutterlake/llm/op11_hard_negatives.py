@@ -214,6 +214,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     score = F.when(F.abs(F.col("score")) < NO_LONG, F.col("score")).otherwise(F.raise_error(F.lit("a positive's score is no long")).cast("long"))
     first = first.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", score.alias("score")))).alias("_p"))
     asked = least.join(first.select(F.col("anchor_id").alias("vec_id"), F.col("_p.vec_id").alias("won"), F.col("_p.score").alias("scores")), "vec_id")
+    asked = materialize(asked, "negatives-positives")  # it is read to be counted, to be cut in ranges, and to be packed
     found = _met(index, _blocks(asked, "negatives-windows", CHUNK_BYTES, share), False, negatives, share)
     return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"), F.col("nth").alias("positive_rank"))
 

@@ -13,7 +13,8 @@ manifest and are never read.
 
 * record: length of the payload (8 bytes), masked checksum of these 8 bytes (4),
   the payload, masked checksum of the payload (4)
-* payload: 1 if there is a doc_id else 0 (1 byte), doc_id (8), ids (4 each)
+* payload: flags (1 byte: 1 if there is a doc_id, 2 if ids take 2 bytes), doc_id
+  (8), ids (2 bytes each if all are below 65536, else 4)
 * index entry: offset of the record, tokens of the file before it, its tokens (8 each)
 * all numbers are little-endian; a masked checksum is the CRC-32 turned right by
   15 bits plus a constant, so that a checksum over data that holds checksums
@@ -36,8 +37,11 @@ import json
 import os
 import re
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -49,11 +53,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import scratch_dir, text_or_empty
+from .op05_bpe import byte_signs
 from .textkit import batches
 
 END_ID = 2
 #: Pieces whose ids a task remembers (it forgets all when full), and their longest length in bytes.
 REMEMBERED, PIECE_BYTES = 400_000, 64
+#: Pieces that the library encodes in one call, and signs that end a word.
+CALL, SIGNS = 4096, b".,;:!?%&*)"
 #: Bytes of text that a task encodes at once, and that a file is made of, about.
 ENCODED_BYTES, FILE_BYTES = 4 << 20, 32 << 20
 #: Bytes of a slice of a file that is read by one task, slices that are shuffled together, and bytes of ids in a batch read.
@@ -67,6 +74,10 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 # ---- encoding --------------------------------------------------------------------------------------
 
 
+def _ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class PieceEncoder:
     """Ids of texts by the tokenizers library, piece by piece."""
 
@@ -77,23 +88,71 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.signs = dict(enumerate(byte_signs()))
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Put the ids of new pieces in ``known``.
+
+        The library lowers letters and separates words from signs, so pieces
+        that differ in case or in the signs behind a word share what they can.
+        Latin words, which the library does not cut, go to its model at once.
+        """
+        known, by_model = self.known, self.library.model.tokenize
+        joined: list[tuple[bytes, bytes, bytes]] = []
+        todo: set[bytes] = set()
+
+        def seen(x: bytes) -> None:
+            if x in known:
+                return
+            if x.isalpha():  # letters of ASCII, lower-case here
+                known[x] = _ids([t.id for t in by_model(x.decode("ascii"))])
+                return
+            if not x.isascii():
+                letters = unicodedata.normalize("NFC", x.decode("utf-8")).lower()
+                if letters.isalpha() and max(letters) < "\u0250":  # Latin letters, as the library writes their bytes
+                    known[x] = _ids([t.id for t in by_model(letters.encode("utf-8").decode("latin-1").translate(self.signs))])
+                    return
+            todo.add(x)
+
+        for p in new:
+            plain = p.isascii()
+            low = p.lower() if plain else p  # letters that compose depend on case
+            word = low.rstrip(SIGNS)
+            if b"<|" in p:  # may be a special token
+                todo.add(p)
+            elif len(word) == len(low):
+                seen(low)
+                if low != p:
+                    joined.append((p, low, b""))
+            elif word and (word[-1:].isalnum() or not plain and unicodedata.normalize("NFC", word.decode("utf-8")).lower()[-1].isalpha()):
+                seen(word)
+                seen(low[len(word) :])
+                joined.append((p, word, low[len(word) :]))
+            else:
+                todo.add(p)
+        rest = list(todo)
+        for a in range(0, len(rest), CALL):
+            part = rest[a : a + CALL]
+            found = self.library.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False)
+            known.update((p, _ids(e.ids)) for p, e in zip(part, found, strict=True))
+        for p, word, signs in joined:
+            known[p] = known[word] + known[signs] if signs else known[word]
+
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Little-endian ids of each text, and the end id."""
-        pieces = [t.split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = list({p for line in pieces for p in line if p not in known})
-        found = self.library.encode_batch([p.decode("utf-8") for p in new], add_special_tokens=False)
-        ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, found, strict=True)}
-        known.update(ids)
-        end = np.array([end_id], "<u4").tobytes()
+        known, pieces = self.known, [t.split() for t in texts]
+        new: set[bytes] = set()
+        for line in pieces:
+            new.update(set(line).difference(known))
+        self._learn(new)
+        end = _ids([end_id])
         out = [b"".join([*map(known.__getitem__, line), end]) for line in pieces]
-        for p in new:
-            if len(p) > PIECE_BYTES:
-                del known[p]
+        for p in [p for p in new if len(p) > PIECE_BYTES]:
+            for x in (p, p.lower(), p.rstrip(SIGNS), p.lower().rstrip(SIGNS)):
+                known.pop(x, None)
         return out
 
 
@@ -151,6 +210,20 @@ def unframed(take) -> bytes:
     return payload
 
 
+def packed(doc: int | None, ids: bytes) -> bytes:
+    """The payload of a document's ids (4 bytes each)."""
+    wide = np.frombuffer(ids, "<u4")
+    narrow = not len(wide) or int(wide.max()) < 1 << 16
+    return _NAME.pack((doc is not None) + 2 * narrow, doc or 0) + (wide.astype("<u2").tobytes() if narrow else ids)
+
+
+def unpacked(payload: bytes) -> tuple[int | None, bytes]:
+    """doc_id and ids (4 bytes each) of a payload."""
+    flags, doc = _NAME.unpack_from(payload)
+    ids = payload[_NAME.size :]
+    return doc if flags & 1 else None, np.frombuffer(ids, "<u2").astype("<u4").tobytes() if flags & 2 else ids
+
+
 def _files(folder: str):
     """(file system, path) of a folder of a shared store or of this machine."""
     from pyarrow import fs
@@ -200,7 +273,7 @@ class _Writer(DataSourceArrowWriter):
         with store.open_output_stream(f"{path}/{out.name}.tokens") as data, store.open_output_stream(f"{path}/{out.name}.index") as index:
             for batch in iterator:
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                    record = framed(_NAME.pack(doc is not None, doc or 0) + ids)
+                    record = framed(packed(doc, ids))
                     data.write(record)
                     index.write(_ENTRY.pack(out.bytes, out.tokens, len(ids) // 4))
                     out.records, out.tokens, out.bytes = out.records + 1, out.tokens + len(ids) // 4, out.bytes + len(record)
@@ -262,11 +335,10 @@ class _Reader(DataSourceReader):
                 f.seek(offset)
             payload = unframed(f.read)
             at = (s.name, offset + len(payload) + 16)
-            has, doc = _NAME.unpack_from(payload)
-            ids = payload[_NAME.size :]
+            doc, ids = unpacked(payload)
             if len(ids) != 4 * n:
                 raise ValueError("the index disagrees with a token record")
-            rows.append((doc if has else None, s.start + before, n, ids))
+            rows.append((doc, s.start + before, n, ids))
             held += len(ids)
             if held >= BATCH_BYTES:
                 yield _batch(rows)

@@ -196,7 +196,7 @@ def by_library(rows):
 
 TEXTS = [
     None, "", " \n\t ", "I'll DON'T It'S ΑΣ ΟΔΟΣ", "a<|endoftext|>b <|STARTOFTEXT|> <|startoftext|>", "é é \x1c\x85 🙂🙂 日本語　語   x y", "﻿hello ſ's 12 34½ ​", "x" * 70_000,
-    "tab\tform\x0cfeed\x0bline\r\nnext", "ó ́ e\ń áb", "l ' ll ''s 'S's", " ".join(f"w{i}" for i in range(3000)),
+    "tab\tform\x0cfeed\x0bline\r\nnext", "ó ́ e\ń áb", "l ' ll ''s 'S's", "J\u030c. I\u0307! 12. a1, A1. x\u0301, .... —. «é». ² ²., ﬁ. Ǆ, ͅ. don't. DON'T, o'., ab\u0007. \u0130. <|endoftext|>. <|, |>.", " ".join(f"w{i}" for i in range(3000)),
 ]
 
 
@@ -256,6 +256,9 @@ def test_shuffled_reads_damage_and_stray_files(spark, tmp_path):
         data[at] ^= 1
         name.write_bytes(data)
     assert records.masked(b"") == 0xA282EAD8
+    for ids in ([], [0, 65535], [65536, 3], [2**32 - 1]):
+        data = np.array(ids, "<u4").tobytes()
+        assert all(records.unpacked(records.packed(doc, data)) == (doc, data) for doc in (None, 0, -5, 2**62))
 
 
 def test_oracle_of_hard_negatives(spark):
