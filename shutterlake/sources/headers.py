@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SCHEMA = "path string, width int, height int, orientation int, taken string, lat double, lon double, seconds double"
 
 #: What a helper raises on a damaged file.
-DAMAGE = (struct.error, IndexError, KeyError, TypeError, OverflowError)
+DAMAGE = (struct.error, IndexError, KeyError, TypeError, ValueError, OverflowError, RecursionError)
 
 # Boxes that hold boxes, and QuickTime's keys of place and local date.
 HOLDERS = {"/moov", "/moov/trak", "/moov/trak/mdia", "/moov/udta", "/moov/udta/meta", "/moov/meta", "/meta", "/meta/iprp", "/meta/iprp/ipco"}
@@ -83,20 +83,29 @@ def _tiff(data: bytes) -> dict:
                 continue
             if kind == 2:
                 out[tag] = raw.split(b"\0")[0].decode("latin-1")
-            elif kind in (3, 4):
-                out[tag] = struct.unpack(f"{order}{n}{'H' if kind == 3 else 'I'}", raw)
+            elif kind in (1, 3, 4):
+                out[tag] = struct.unpack(f"{order}{n}{ {1: 'B', 3: 'H', 4: 'I'}[kind] }", raw)
             elif kind == 5:
                 v = struct.unpack(f"{order}{2 * n}I", raw)
                 out[tag] = [a / b if b else 0.0 for a, b in zip(v[::2], v[1::2], strict=True)]
         return out
 
+    def numbers(found: dict, tag: int) -> tuple:
+        """Whole numbers of a field of bytes, shorts or longs; none if it has another type."""
+        return found[tag] if isinstance(found.get(tag), tuple) else ()
+
+    def below(tag: int) -> dict:
+        at = numbers(top, tag)
+        return fields(at[0]) if at and at[0] + 2 <= len(data) else {}
+
     top = fields(struct.unpack_from(order + "I", data, 4)[0])
-    exif = fields(top[0x8769][0]) if 0x8769 in top else {}
-    gps = fields(top[0x8825][0]) if 0x8825 in top else {}
-    out = {"orientation": top.get(0x112, [None])[0], "width": exif.get(0xA002, top.get(0x100, [None]))[0], "height": exif.get(0xA003, top.get(0x101, [None]))[0]}
-    out["taken"] = exif.get(0x9003) or exif.get(0x9004) or top.get(0x132)
+    exif, gps = below(0x8769), below(0x8825)
+    out: dict = {}
+    for name, places in (("orientation", ((top, 0x112),)), ("width", ((exif, 0xA002), (top, 0x100))), ("height", ((exif, 0xA003), (top, 0x101)))):
+        out[name] = next((v[0] for v in (numbers(*p) for p in places) if v), None)
+    out["taken"] = next((t for t in (exif.get(0x9003), exif.get(0x9004), top.get(0x132)) if t and isinstance(t, str)), None)
     for name, tag in (("lat", 2), ("lon", 4)):
-        if len(gps.get(tag, ())) == 3:
+        if isinstance(gps.get(tag), list) and len(gps[tag]) == 3:
             d, m, s = gps[tag]
             out[name] = (d + m / 60 + s / 3600) * (-1 if gps.get(tag - 1) in ("S", "W") else 1)
     return out
@@ -107,8 +116,11 @@ def _jpeg(data: bytes) -> dict:
     for _ in range(512):
         mark, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         if mark == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-            found = parsed(data[at + 10 : at + 2 + size])
-            out |= {k: v for k, v in found.items() if k not in ("width", "height")}
+            try:
+                found = _tiff(data[at + 10 : at + 2 + size])
+                out |= {k: v for k, v in found.items() if k not in ("width", "height")}
+            except DAMAGE:
+                pass  # the size may still follow
         if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
             out["height"], out["width"] = struct.unpack_from(">HH", data, at + 5)
             break
@@ -289,6 +301,15 @@ def parsed(data: bytes) -> dict:
     return {}
 
 
+def _fitting(name: str, x: object) -> object:
+    """A field as its column takes it: whole numbers below 2^31, finite numbers, text; null else."""
+    if name in ("width", "height", "orientation"):
+        return x if isinstance(x, int) and 0 <= x < 2**31 else None
+    if name in ("lat", "lon", "seconds"):
+        return float(x) if isinstance(x, (int, float)) and abs(x) < 1e300 else None
+    return x if isinstance(x, str) else None
+
+
 def probed(files: DataFrame) -> DataFrame:
     """path, width, height, orientation, taken, lat, lon, seconds of media files (path, content)."""
     names = [f.split()[0] for f in SCHEMA.split(", ")][1:]
@@ -298,9 +319,8 @@ def probed(files: DataFrame) -> DataFrame:
             found = [parsed(bytes(c)) if c is not None else {} for c in frame["content"]]
             for f, w, h in zip(found, frame["width"], frame["height"], strict=True):
                 for n, x in (("width", w), ("height", h)):
-                    x = f.get(n) if pd.isna(x) else int(x)
-                    f[n] = x if x is not None and x < 2**31 else None
-            out = pd.DataFrame({n: pd.Series([f.get(n) for f in found], dtype="object") for n in [*names, "place"]})
+                    f[n] = f.get(n) if pd.isna(x) else int(x)
+            out = pd.DataFrame({n: pd.Series([_fitting(n, f.get(n)) for f in found], dtype="object") for n in [*names, "place"]})
             yield out.assign(path=frame["path"].to_numpy())[["path", *names, "place"]]
 
     from shutterlake.functions.geo import iso6709
