@@ -48,13 +48,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import scratch_dir, text_or_empty
 from .op05_bpe import byte_signs
-from .textkit import batches
 
 END_ID = 2
 #: Pieces whose ids a task remembers (it forgets all when full), and their longest length in bytes.
@@ -62,7 +62,7 @@ REMEMBERED, PIECE_BYTES = 400_000, 64
 #: Pieces that the library encodes in one call, and signs that end a word.
 CALL, SIGNS = 4096, b".,;:!?%&*)"
 #: Bytes of text that a task encodes at once, and that a file is made of, about.
-ENCODED_BYTES, FILE_BYTES = 4 << 20, 32 << 20
+ENCODED_BYTES, FILE_BYTES = 2 << 20, 32 << 20
 #: Bytes of a slice of a file that is read by one task, slices that are shuffled together, and bytes of ids in a batch read.
 SLICE_BYTES, SHUFFLED_SLICES, BATCH_BYTES = 32 << 20, 8, 4 << 20
 
@@ -167,9 +167,14 @@ def encoded_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def work(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in found:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for a, b in batches(texts, ENCODED_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(encoder.encode(texts[a:b], end_id), pa.binary())], ["doc_id", "ids"])
+            texts = batch.column("text").cast(pa.binary())
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
+            a = 0
+            while a < len(texts):  # as many texts as hold ENCODED_BYTES, or one
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + ENCODED_BYTES, "right")))
+                ids = encoder.encode(texts.slice(a, b - a).to_pylist(), end_id)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                a = b
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(work, "doc_id long, ids binary")
 
