@@ -49,6 +49,10 @@ _CITIES = (
 )
 
 
+#: Driver tables that derived tables read.
+GIVEN = ("events", "embeddings", "documents", "customer", "supplier", "nation", "part", "orders", "labels")
+
+
 def _values(columns: str, rows: list[str]) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
 
@@ -110,6 +114,13 @@ _DERIVED = {
         "SELECT id % 40 AS img, id AS n, id * 37 * (id % 40 + 1) % 256 AS r, id * 91 % (id % 40 * 6 + 5) AS g, id * 53 % (250 - id % 40 * 6) AS b FROM ({media}) m0",
         "media",
     ),
+    "shores": (
+        "SELECT c_custkey AS region, 0 AS ring, n, CASE c_custkey % 3 WHEN 0 THEN CAST(2.4 AS DOUBLE) WHEN 1 THEN CAST(139.7 AS DOUBLE) ELSE CAST(c_custkey * 73 % 320 - 160 AS DOUBLE) END "
+        "+ CAST(c_custkey * 29 % 40 - 20 AS DOUBLE) / 100 + CAST(dx * (c_custkey % 4 + 1) AS DOUBLE) / 200 AS x, CASE c_custkey % 3 WHEN 0 THEN CAST(48.95 AS DOUBLE) WHEN 1 THEN CAST(35.75 AS DOUBLE) "
+        "ELSE CAST(c_custkey * 37 % 120 - 60 AS DOUBLE) END + CAST(c_custkey * 13 % 40 - 20 AS DOUBLE) / 100 + CAST(dy * (c_custkey % 4 + 1) AS DOUBLE) / 200 AS y "
+        "FROM {customer} c0 CROSS JOIN (VALUES (0, -3, 0), (1, -1, 2), (2, 2, 3), (3, 3, 0), (4, 1, -3), (5, -2, -2)) AS t(n, dx, dy)",
+        "customer",
+    ),
     "samples": ("SELECT event_id - (SELECT MIN(event_id) FROM {events}) AS idx, event_id * 7919 % 65536 - 32768 AS s FROM {events}", "events"),
 }
 
@@ -133,10 +144,11 @@ def with_tables(names: tuple[str, ...], sql: str) -> str:
         text = _INLINE.get(name) or (_DERIVED[name][0] if name in _DERIVED else None)
         if text is not None:
             text = text.replace("{media}", _MEDIA).replace("{epoch}", "CAST(FLOOR(EPOCH(ts)) AS BIGINT)")
-            for table in ("events", "embeddings", "documents"):
+            for table in GIVEN:
                 text = text.replace("{" + table + "}", table)
             parts.append(f"{name} AS ({text})")
     if not parts:
         return sql
-    head = "WITH " + ",\n".join(parts)
-    return head + (",\n" + sql.lstrip()[5:] if sql.lstrip().upper().startswith("WITH ") else "\n" + sql)
+    own = next((w for w in ("WITH RECURSIVE ", "WITH ") if sql.lstrip().upper().startswith(w)), "")
+    head = (own or "WITH ") + ",\n".join(parts)
+    return head + (",\n" + sql.lstrip()[len(own) :] if own else "\n" + sql)

@@ -27,4 +27,4 @@ def query(*tables: str, sql: str | None = None) -> Callable:
     return register
 
 
-from . import analytics, changes, media_files, relational, scalars  # noqa: E402, F401
+from . import analytics, changes, media_files, regions, relational, scalars  # noqa: E402, F401
