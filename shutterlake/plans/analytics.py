@@ -11,7 +11,7 @@ from shutterlake.operators import aggregates as agg
 from shutterlake.operators import filters as flt
 from shutterlake.operators import joins, layout, vectors, windows
 from shutterlake.operators import search as find
-from shutterlake.streaming import ingest
+from shutterlake.streaming import ingest, timers
 
 from .fixtures import NOW
 from .registry import query
@@ -334,3 +334,19 @@ def f24_chunk_counts(docs):
     return document_chunks(docs).groupBy("file_path").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+
+
+def messages_of(events: DataFrame) -> DataFrame:
+    """Requests and answers made of events: every event asks with a number of its own, and is answered up to three hours later."""
+    asked = events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("answers"), F.col("event_id").alias("generation"), F.col("event_id").alias("id"))
+    late = F.col("ts") + F.make_interval(secs=(F.col("id") * 7919 % 10800).cast("decimal(18,6)"))
+    return asked.unionByName(asked.withColumns({"ts": late, "answers": F.lit(True)}))
+
+
+@query(
+    "events",
+    sql="""WITH a AS (SELECT user_id AS key, ts + (event_id * 7919 % 10800) * INTERVAL 1 SECOND AS ts, event_id AS generation FROM events)
+    SELECT key, generation AS id, ts, generation FROM a WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = a.key AND e.ts <= a.ts AND e.event_id > a.generation)""",
+)
+def t7_latest_answers(events):
+    return timers.latest_answers_of(messages_of(events)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
