@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from shutterlake.functions import paths
 CREATED, MODIFIED, NAME, SIZE, VIEWED, TYPE, WIDTH, HEIGHT, DIMENSIONS, ORIENTATION = range(10)
 
 
+#: Rows of a range of an order.
+BLOCK_ROWS = 1_000_000
+
 Keys = list[tuple[Column, bool]]  # a column, and whether it ascends; null is the smallest value
 
 
@@ -43,34 +48,44 @@ def media_order(role: int = CREATED, ascending: bool = False) -> list[Column]:
     return order_of(media_keys(role, ascending))
 
 
-def placed(df: DataFrame, keys: Keys, blocks: int = 200) -> DataFrame:
-    """``df`` with its 1-based ``place`` in the order of ``keys``, which must be total; no window runs over the whole table.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share (``spark.checkpoint.dir``); a local master gets one of its own if it is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shutterlake-"))
+    return df.checkpoint()
+
+
+def blocked(df: DataFrame, keys: Keys, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with ``_block`` and ``_at``: the order of ``keys``, which must be total, is that of the blocks and of ``_at`` within.
 
-    The rows with the ``blocks`` smallest hashes of their keys cut the order into
-    blocks. A place is the size of the blocks before plus the place within the
-    block, so a window sorts about a ``blocks``-th of the rows. The cuts only
-    decide how rows are spread, never a place. An empty table stays empty.
+    Rows are dealt by ranges of their keys, whose bounds Spark samples, and
+    sorted within. A block is a partition, so blocks grow in number with the
+    table, and a row's number in its sorted partition costs no window. As ranges
+    are sampled anew in each job, the numbered rows are written once. An order of
+    one block is sorted in one task and written nowhere.
     """
     names = [f"_k{i}" for i in range(len(keys))]
     rows = df.withColumns({n: c for n, (c, _) in zip(names, keys, strict=True)})
-    # at most ``blocks`` rows, in one row
-    cuts = rows.select(*names).orderBy(F.xxhash64(*names), *names).limit(blocks).agg(F.collect_list(F.struct(*names)).alias("_cuts"))
-
-    def passed(cut: Column) -> Column:
-        """Whether a cut stands at a row or before it."""
-        out = F.lit(True)
-        for n, (_, up) in reversed(list(zip(names, keys, strict=True))):
-            a, b = F.struct(cut[n]), F.struct(F.col(n))  # structs order null first
-            out = F.when(a == b, out).otherwise(a < b if up else a > b)
-        return out
-
-    rows = rows.join(F.broadcast(cuts)).withColumn("_block", F.size(F.filter("_cuts", passed))).drop("_cuts")
+    order = order_of([(F.col(n), up) for n, (_, up) in zip(names, keys, strict=True)])
+    parts = max(1, -(-df.count() // block_rows))
+    dealt = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
+    # the partition's number stands above bit 33, the row's number in it below
+    numbered = dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).drop(*names)
+    numbered = numbered.withColumns({"_block": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    return checkpointed(numbered) if parts > 1 else numbered
+
+
+def placed(df: DataFrame, keys: Keys, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with its 1-based ``place`` in the order of ``keys``: the sizes of the blocks before plus the place within."""
+    rows = blocked(df, keys, block_rows)
     counts = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # at most ``blocks`` + 1 rows
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     starts = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_block").orderBy(*order_of([(F.col(n), up) for n, (_, up) in zip(names, keys, strict=True)]))
-    out = rows.join(F.broadcast(starts), "_block").withColumn("place", F.row_number().over(within) + F.col("_start"))
-    return out.drop("_block", "_start", *names)
+    return rows.join(starts, "_block").withColumn("place", F.col("_at") + F.col("_start") + 1).drop("_block", "_start", "_at")
 
 
 def list_order(field: str, ascending: bool = True, text: bool = False, pinned: str | None = None) -> list[Column]:

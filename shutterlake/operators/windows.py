@@ -13,15 +13,16 @@ from shutterlake.operators.filters import alive
 TRIP_KM, TRIP_GAP, TRIP_LEAST, TRIPS = 120.0, 259200, 4, 12
 
 
-def month_rows(media: DataFrame) -> DataFrame:
-    """id, month, position and column of media newest first: position counts within the month.
+def month_rows(media: DataFrame, block_rows: int = sorting.BLOCK_ROWS) -> DataFrame:
+    """id, month, position (and all columns) of media newest first: position counts within the month.
 
-    A month's media are consecutive in this order, so a window by month replaces
-    one over the whole table.
+    A month's media are consecutive in this order, so a position is the place in
+    the whole order less the month's start; no window holds a month.
     """
-    month = dates.key(F.col("creation_date"), "yyyy-MM")
-    newest = Window.partitionBy("month").orderBy(F.desc("creation_date"), F.desc("id"))
-    return media.withColumn("month", month).withColumn("position", F.row_number().over(newest) - 1)
+    rows = media.withColumn("month", dates.key(F.col("creation_date"), "yyyy-MM"))
+    rows = sorting.placed(rows, [(F.col("creation_date"), False), (F.col("id"), False)], block_rows)
+    starts = month_starts(media).select(F.col("month").alias("_month"), F.col("start").alias("_start"))
+    return rows.join(starts, F.col("month").eqNullSafe(F.col("_month"))).withColumn("position", F.col("place") - 1 - F.col("_start")).drop("place", "_month", "_start")
 
 
 def month_starts(media: DataFrame) -> DataFrame:
@@ -32,9 +33,9 @@ def month_starts(media: DataFrame) -> DataFrame:
 
 
 def flat_index(media: DataFrame) -> DataFrame:
-    """id and 0-based place of media newest first: place in the month plus the month's start."""
-    rows = month_rows(media).select("id", "month", "position")
-    return rows.join(month_starts(media).select("month", "start"), "month").select("id", (F.col("position") + F.col("start")).alias("flat_index"))
+    """id and 0-based place of media newest first."""
+    order = [(F.col("creation_date"), False), (F.col("id"), False)]
+    return sorting.placed(media.select("id", "creation_date"), order).select("id", (F.col("place") - 1).alias("flat_index"))
 
 
 def grid(media: DataFrame, columns: int) -> DataFrame:
@@ -56,8 +57,21 @@ def row_at(offsets: DataFrame, y: float) -> DataFrame:
     return offsets.filter(F.col("top") <= y).orderBy(F.desc("top"), "month").limit(1)
 
 
-def carried_forward(df: DataFrame, order: list[Column], column: str, by: str) -> Column:
-    return F.last(column, ignorenulls=True).over(Window.partitionBy(by).orderBy(*order))
+def carried_forward(rows: DataFrame, keys: sorting.Keys, column: str, by: str, name: str, block_rows: int = sorting.BLOCK_ROWS) -> DataFrame:
+    """``rows`` with ``name``: the last value of ``column`` so far in its group, in the order of ``keys``.
+
+    A group is looked at in blocks, and what a block ends with is carried over by
+    a window of a row for each block.
+    """
+    rows = sorting.blocked(rows, [(F.col(by), True), *keys], block_rows)
+    inside = Window.partitionBy("_block", by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last(column, ignorenulls=True).over(inside)
+    ends = rows.filter(F.col(column).isNotNull()).groupBy("_block", by).agg(F.max_by(column, "_at").alias("_end"))
+    parts = rows.select("_block", by).distinct().join(ends, ["_block", by], "left")
+    before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    parts = parts.select(F.col("_block").alias("_b"), F.col(by).alias("_by"), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    out = rows.withColumn("_own", own).join(parts, (F.col("_block") == F.col("_b")) & F.col(by).eqNullSafe(F.col("_by")))
+    return out.withColumn(name, F.coalesce("_own", "_carried")).drop("_own", "_carried", "_b", "_by", "_block", "_at")
 
 
 def trips(media: DataFrame, least: int = TRIP_LEAST) -> DataFrame:
@@ -134,10 +148,15 @@ def alternating(mine: DataFrame, others: DataFrame, n: int) -> DataFrame:
     return both.withColumn("slot", slot).drop("_odd", "_c").orderBy("slot").limit(n)
 
 
-def clip_timeline(clips: DataFrame, by: str, fade: float = 0.6) -> DataFrame:
-    """Start of each clip (position, seconds) of a film: what went before, less a crossfade each."""
-    before = Window.partitionBy(by).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return clips.withColumn("start", F.coalesce(F.sum(F.col("seconds") - fade).over(before), F.lit(0.0)))
+def clip_timeline(clips: DataFrame, by: str, fade: float = 0.6, block_rows: int = sorting.BLOCK_ROWS) -> DataFrame:
+    """Start of each clip (position, seconds) of a film: what went before, less a crossfade each; long films are added in blocks."""
+    rows = sorting.blocked(clips, [(F.col(by), True), (F.col("position"), True)], block_rows)
+    inside = Window.partitionBy("_block", by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_block", by).agg(F.sum(F.col("seconds") - fade).alias("_sum"))
+    before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    sums = sums.select(F.col("_block").alias("_b"), F.col(by).alias("_by"), F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_start"))
+    out = rows.withColumn("_own", F.coalesce(F.sum(F.col("seconds") - fade).over(inside), F.lit(0.0))).join(sums, (F.col("_block") == F.col("_b")) & F.col(by).eqNullSafe(F.col("_by")))
+    return out.withColumn("start", F.col("_own") + F.col("_start")).drop("_own", "_start", "_b", "_by", "_block", "_at")
 
 
 def adaptive_top(scored: DataFrame, sigma: float = 1.6, least: int = 12, most: int = 240) -> DataFrame:

@@ -40,7 +40,7 @@ def w3_month_headers(media):
 @query("media", sql="SELECT id, LAST_VALUE(CASE WHEN id % 6 = 0 THEN file_path END IGNORE NULLS) OVER (PARTITION BY folder_path ORDER BY id) AS header FROM media")
 def w4_carried_forward(media):
     rows = media.withColumn("mark", F.when(F.col("id") % 6 == 0, F.col("file_path")))
-    return rows.select("id", windows.carried_forward(rows, [F.col("id").asc()], "mark", "folder_path").alias("header"))
+    return windows.carried_forward(rows, [(F.col("id"), True)], "mark", "folder_path", "header").select("id", "header")
 
 
 @query("media", sql=f"SELECT id, month, ((p - 1) // 5)::BIGINT AS row, ((p - 1) % 5)::INTEGER AS col FROM (SELECT id, STRFTIME({TS}, '%Y-%m') AS month, ROW_NUMBER() OVER (PARTITION BY STRFTIME({TS}, '%Y-%m') ORDER BY creation_date DESC, id DESC) AS p FROM media WHERE {ALIVE}) t")
@@ -180,7 +180,7 @@ def v10_o9_review_queue(faces, persons, media):
     return vectors.review_cards(faces, media, agg.people(faces, persons, media), 30)
 
 
-@query("answers", sql="WITH a AS (SELECT similarity::DOUBLE AS s, answer FROM answers), c AS (SELECT (s + LEAD(s) OVER (ORDER BY s)) / 2 AS cut FROM (SELECT DISTINCT s FROM a) d), e AS (SELECT cut, (SELECT COUNT(*) FROM a WHERE answer = 1 AND s < cut) + (SELECT COUNT(*) FROM a WHERE answer = 0 AND s >= cut) AS errors FROM c WHERE cut IS NOT NULL), b AS (SELECT * FROM e ORDER BY errors, ABS(cut - 0.38), cut LIMIT 1), w AS (SELECT LEAST(0.8::DOUBLE, COUNT(*) / 60.0::DOUBLE) AS w FROM a) SELECT cut, errors, CASE WHEN ABS(LEAST(0.6::DOUBLE, GREATEST(0.25::DOUBLE, 0.38::DOUBLE * (1 - w) + cut * w)) - 0.38::DOUBLE) >= 0.005 THEN LEAST(0.6::DOUBLE, GREATEST(0.25::DOUBLE, 0.38::DOUBLE * (1 - w) + cut * w)) ELSE 0.38::DOUBLE END AS threshold FROM b, w")
+@query("replies", sql="WITH a AS (SELECT similarity::DOUBLE AS s, answer FROM replies), c AS (SELECT (s + LEAD(s) OVER (ORDER BY s)) / 2 AS cut FROM (SELECT DISTINCT s FROM a) d), e AS (SELECT cut, (SELECT COUNT(*) FROM a WHERE answer = 1 AND s < cut) + (SELECT COUNT(*) FROM a WHERE answer = 0 AND s >= cut) AS errors FROM c WHERE cut IS NOT NULL), b AS (SELECT * FROM e ORDER BY errors, ABS(cut - 0.38), cut LIMIT 1), w AS (SELECT LEAST(0.8::DOUBLE, COUNT(*) / 60.0::DOUBLE) AS w FROM a) SELECT cut, errors, CASE WHEN ABS(LEAST(0.6::DOUBLE, GREATEST(0.25::DOUBLE, 0.38::DOUBLE * (1 - w) + cut * w)) - 0.38::DOUBLE) >= 0.005 THEN LEAST(0.6::DOUBLE, GREATEST(0.25::DOUBLE, 0.38::DOUBLE * (1 - w) + cut * w)) ELSE 0.38::DOUBLE END AS threshold FROM b, w")
 def v8_calibration(answers):
     return vectors.calibrated_threshold(answers.select(F.col("similarity").cast("double").alias("similarity"), "answer"), 0.38)
 
@@ -230,6 +230,20 @@ def g1_g2_g8_j22_places(media, cities):
     return joins.places_of(media, cities).select("id", "city", "country")
 
 
+SUGGESTED = """s AS (SELECT DISTINCT latitude AS lat, longitude AS lon FROM media WHERE {alive} AND latitude IS NOT NULL), {near},
+    here AS (SELECT DISTINCT city, country FROM media m JOIN g ON g.lat = latitude AND g.lon = longitude AND nth = 1 WHERE {alive}),
+    c AS (SELECT 0 AS prio, 'person' AS kind, TRIM(name) AS label FROM persons WHERE hidden = 0 AND name IS NOT NULL UNION SELECT 1, 'place', city FROM here UNION SELECT 2, 'country', country FROM here
+      UNION SELECT 3, 'album', STRING_SPLIT(folder_path, '/')[-1] FROM media UNION SELECT 4, 'colour', UNNEST({colours}) UNION SELECT 5, 'month', UNNEST({months}) UNION SELECT 6, 'year', STRFTIME({ts}, '%Y') FROM media WHERE creation_date > 0),
+    w AS (SELECT * FROM c WHERE LEN(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(label), '[\\s,/_-]+'), lambda x: STARTS_WITH(x, 'b'))) > 0),
+    d AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY LOWER(label) ORDER BY prio, kind, label) AS r FROM w)
+    SELECT kind, label, prio FROM d WHERE r = 1 ORDER BY prio, label LIMIT 8"""
+
+
+@query("media", "persons", "cities", sql="WITH " + SUGGESTED.format(alive=ALIVE, near=NEAR.format(km=60), ts=TS, colours=list(find.COLOURS), months=[m.capitalize() for m in find.MONTHS]))
+def l9_suggest(media, persons, cities):
+    return find.suggest("b", persons, joins.places_of(media, cities), media)
+
+
 @query("media", "cities", sql=f"WITH {SPOTS}, {NEAR.format(km=60)} SELECT city || ', ' || country AS place, COUNT(*) AS n, MIN(m.id) AS cover FROM media m JOIN g ON g.lat = latitude AND g.lon = longitude WHERE {ALIVE} AND nth = 1 GROUP BY 1".replace("ALIVE", ALIVE))
 def a15_places_rollup(media, cities):
     rows = joins.places_of(media, cities)

@@ -60,13 +60,13 @@ def d8_d9_d29_flags(media):
     return dml.update_where(out, F.col("id") == 5, last_viewed=F.lit(NOW)).select("id", "is_favorite", "is_hidden", "last_viewed")
 
 
-@query("albums", sql="SELECT path_prefix, CASE WHEN path_prefix = '/lib/a2' THEN 1 ELSE is_pinned END AS is_pinned FROM albums UNION ALL SELECT '/lib/a9', 1")
+@query("rolls", sql="SELECT path_prefix, CASE WHEN path_prefix = '/lib/a2' THEN 1 ELSE is_pinned END AS is_pinned FROM rolls UNION ALL SELECT '/new/a9', 1")
 def d10_d11_album_upsert(albums):
-    changes = albums.sparkSession.sql("SELECT * FROM (VALUES ('/lib/a2', 1), ('/lib/a9', 1)) AS t(path_prefix, is_pinned)")
+    changes = albums.sparkSession.sql("SELECT * FROM (VALUES ('/lib/a2', 1), ('/new/a9', 1)) AS t(path_prefix, is_pinned)")
     return dml.album_upsert(albums, changes).select("path_prefix", "is_pinned")
 
 
-@query("album_rows", sql="SELECT id, path_prefix, name FROM album_rows WHERE id IN (SELECT MAX(id) FROM album_rows WHERE path_prefix IS NOT NULL GROUP BY path_prefix)")
+@query("roll_rows", sql="SELECT id, path_prefix, name FROM roll_rows WHERE id IN (SELECT MAX(id) FROM roll_rows WHERE path_prefix IS NOT NULL GROUP BY path_prefix)")
 def d14_newest_albums(rows):
     return dml.newest_album_rows(rows)
 
@@ -78,9 +78,9 @@ def d15_insert_or_replace(analysis):
     return dml.last_write_wins(old.union(new), ["media_id"], "written").select("media_id", "color_bucket")
 
 
-@query("directories", sql="SELECT path FROM directories UNION SELECT '/more'")
+@query("roots", sql="SELECT path FROM roots UNION SELECT '/more'")
 def d16_insert_or_ignore(directories):
-    new = directories.sparkSession.sql("SELECT * FROM (VALUES ('/lib'), ('/more')) AS t(path)")
+    new = directories.sparkSession.sql("SELECT * FROM (VALUES ('/lib/a1'), ('/more')) AS t(path)")
     return dml.insert_or_ignore(directories.select("path"), new, "path")
 
 
@@ -142,6 +142,6 @@ def d27_tidy(persons, faces):
     return dml.tidy_persons(persons, faces).select("id")
 
 
-@query("memories", sql=f"SELECT id FROM memories WHERE custom = 1 OR expires_at > {NOW}")
+@query("recollections", sql=f"SELECT id FROM recollections WHERE custom = 1 OR expires_at > {NOW}")
 def t5_live_memories(memories):
     return live_memories(memories, NOW).select("id")

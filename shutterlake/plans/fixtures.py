@@ -121,6 +121,52 @@ _DERIVED = {
         "FROM {customer} c0 CROSS JOIN (VALUES (0, -3, 0), (1, -1, 2), (2, 2, 3), (3, 3, 0), (4, 1, -3), (5, -2, -2)) AS t(n, dx, dy)",
         "customer",
     ),
+    "towns": (
+        "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN CONCAT('New Yo', CAST(c_custkey % 97 AS STRING)) WHEN 1 THEN CONCAT('Boville_', CAST(c_custkey AS STRING)) "
+        "WHEN 2 THEN CONCAT('Land', CAST(c_nationkey AS STRING)) ELSE CONCAT('San Yolo/', c_mktsegment) END AS name, CONCAT('Land', CAST(c_nationkey AS STRING)) AS country, "
+        "CAST(c_custkey * 37 % 18000 - 9000 AS DOUBLE) / 100 AS lat, CAST(c_custkey * 73 % 36000 - 18000 AS DOUBLE) / 100 AS lon, c_custkey * 7919 % 9000000 AS population FROM {customer}",
+        "customer",
+    ),
+    "rolls": (
+        "SELECT CONCAT(CASE c_custkey % 5 WHEN 0 THEN '__virtual__' ELSE '/lib/' END, 'a', CAST(c_custkey AS STRING)) AS path_prefix, c_name AS name, "
+        "CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CONCAT('Album ', CAST(c_custkey AS STRING)) END AS custom_name, CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS is_pinned FROM {customer}",
+        "customer",
+    ),
+    "roll_rows": (
+        "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CONCAT('/lib/a', CAST(o_custkey AS STRING)) END AS path_prefix, o_orderpriority AS name FROM {orders}",
+        "orders",
+    ),
+    "recollections": (
+        "SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS STRING) AS date, CASE o_orderkey % 4 WHEN 0 THEN 'Trip' WHEN 1 THEN 'Party' WHEN 2 THEN 'spring' ELSE CONCAT('July', CAST(o_custkey AS STRING)) END AS title, "
+        "CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS custom, 1705752000 + (o_orderkey % 200 - 100) * 86400 AS expires_at FROM {orders}",
+        "orders",
+    ),
+    "preferences": (
+        "SELECT CONCAT(CASE c_custkey % 3 WHEN 0 THEN 'config_' WHEN 1 THEN 'sort_pref_' ELSE 'threshold_' END, CAST(c_custkey AS STRING)) AS key, CASE c_custkey % 3 "
+        "WHEN 0 THEN CONCAT(CHR(123), '\"theme\": \"dark', CAST(c_custkey AS STRING), '\", \"columns\": ', CAST(c_custkey % 9 AS STRING), CHR(125)) "
+        "WHEN 1 THEN CASE c_custkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN '3' ELSE CONCAT(CAST(c_custkey % 10 AS STRING), ',', CAST(c_custkey % 2 AS STRING)) END "
+        "ELSE CONCAT('0.', CAST(c_custkey % 90 + 10 AS STRING)) END AS value FROM {customer}",
+        "customer",
+    ),
+    "roots": (
+        "SELECT CONCAT('/lib/a', CAST(c_custkey AS STRING)) AS path, c_custkey % 50 AS item_count, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS is_active FROM {customer}",
+        "customer",
+    ),
+    "patterns": ("SELECT CONCAT('/p', CAST(s_suppkey AS STRING)) AS pattern FROM {supplier}", "supplier"),
+    "replies": (
+        "SELECT CAST(vec_id * 37 % 500 AS DOUBLE) / 1000 + CAST(0.1 AS DOUBLE) AS similarity, CASE WHEN vec_id * 37 % 500 + vec_id * 11 % 200 > 380 THEN 1 ELSE 0 END AS answer FROM {embeddings}",
+        "embeddings",
+    ),
+    "said": (
+        "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN CONCAT('no place ', CAST(c_custkey AS STRING)) WHEN 1 THEN CONCAT(CAST(c_custkey % 90 AS STRING), '.5+24.9') WHEN 2 THEN CONCAT('+1.2.', CAST(c_custkey AS STRING), '+4') "
+        "WHEN 3 THEN CONCAT('-', CAST(c_custkey % 90 AS STRING), '.25-', CAST(c_custkey % 180 AS STRING), '.75+026.400/') ELSE CONCAT('+', LPAD(CAST(c_custkey % 90 AS STRING), 2, '0'), '.', LPAD(CAST(c_custkey * 7 % 10000 AS STRING), 4, '0'), '+', LPAD(CAST(c_custkey % 180 AS STRING), 3, '0'), '.5/') END AS place FROM {customer}",
+        "customer",
+    ),
+    "releases": (
+        "SELECT CASE c_custkey % 6 WHEN 0 THEN CONCAT('nope', CAST(c_custkey AS STRING)) WHEN 1 THEN CONCAT('v', CAST(c_custkey % 3 AS STRING), '.', CAST(c_custkey % 11 AS STRING), '.', CAST(c_custkey AS STRING), '-beta') "
+        "ELSE CONCAT(CASE WHEN c_custkey % 2 = 0 THEN 'v' ELSE '' END, CAST(c_custkey % 3 AS STRING), '.', CAST(c_custkey % 11 AS STRING), '.', CAST(c_custkey AS STRING)) END AS version FROM {customer}",
+        "customer",
+    ),
     "samples": ("SELECT event_id - (SELECT MIN(event_id) FROM {events}) AS idx, event_id * 7919 % 65536 - 32768 AS s FROM {events}", "events"),
 }
 

@@ -63,9 +63,9 @@ def s17_document_chunks(docs):
     return files.document_chunks(docs)
 
 
-@query("settings_kv", sql="SELECT value ->> '$.theme' AS theme, COALESCE(value ->> '$.columns', '4') AS columns, COALESCE(value ->> '$.gap', '6') AS gap FROM settings_kv WHERE key = 'config'")
+@query("preferences", sql="SELECT value ->> '$.theme' AS theme, COALESCE(value ->> '$.columns', '4') AS columns, COALESCE(value ->> '$.gap', '6') AS gap FROM preferences WHERE key = 'config_123'")
 def s21_json_settings(settings):
-    return files.json_settings(settings, "config", {"theme": "light", "columns": "4", "gap": "6"})
+    return files.json_settings(settings, "config_123", {"theme": "light", "columns": "4", "gap": "6"})
 
 
 @query("samples", sql="SELECT bucket, MAX(ABS(s)) AS peak, MAX(ABS(s)) / GREATEST(MAX(MAX(ABS(s))) OVER (), 1e-6::DOUBLE) AS level FROM (SELECT s, ((idx + 1) * 100 - 1) // (SELECT COUNT(*) FROM samples) AS bucket FROM samples) t GROUP BY bucket")
@@ -266,37 +266,33 @@ def p23_c21_visible_memories(memories, media):
 # ---- catalogue ----------------------------------------------------------------------------------
 
 
-@query("directories", sql="SELECT path, is_active FROM directories WHERE is_active = 1")
+@query("roots", sql="SELECT path, is_active FROM roots WHERE is_active = 1")
 def c1_active_directories(directories):
     return directories.filter("is_active = 1").select("path", "is_active")
 
 
-@query("exclusions", sql="SELECT pattern FROM exclusions UNION SELECT '/new'")
+@query("patterns", sql="SELECT pattern FROM patterns UNION SELECT '/new'")
 def c2_exclusions(exclusions):
     from shutterlake.operators.dml import insert_or_ignore
 
-    new = exclusions.sparkSession.sql("SELECT TRIM(p) AS pattern FROM (VALUES (' /new '), ('/a1')) AS t(p)")
+    new = exclusions.sparkSession.sql("SELECT TRIM(p) AS pattern FROM (VALUES (' /new '), ('/p1')) AS t(p)")
     return insert_or_ignore(exclusions, new, "pattern")
 
 
-@query("settings_kv", sql="SELECT 'albums' AS view, 3 AS role, 1 AS ascending UNION ALL SELECT 'timeline', 0, 0 UNION ALL SELECT 'absent', 0, 0")
+@query("preferences", sql="SELECT SUBSTR(key, 11) AS view, CASE WHEN v THEN value[1]::INTEGER ELSE 0 END AS role, CASE WHEN v THEN value[3]::INTEGER ELSE 0 END AS ascending FROM (SELECT *, REGEXP_MATCHES(value, '^\\d,\\d$') AS v FROM preferences WHERE STARTS_WITH(key, 'sort_pref_')) t")
 def c3_sort_preferences(settings):
-    out = None
-    for view in ("albums", "timeline", "absent"):
-        own = files.sort_preference(settings, view).select(F.lit(view).alias("view"), "role", "ascending")
-        out = own if out is None else out.union(own)
-    return out
+    return files.sort_preferences(settings)
 
 
-@query("settings_kv", sql="SELECT 'people_threshold' AS key, '0.42' AS value UNION ALL SELECT 'absent', '0.38'")
+@query("preferences", sql="SELECT key, value FROM preferences WHERE key = 'threshold_11' UNION ALL SELECT 'absent', '0.38'")
 def c4_settings(settings):
-    one = files.setting(settings, "people_threshold", F.lit("0.38")).select(F.lit("people_threshold").alias("key"), "value")
+    one = files.setting(settings, "threshold_11", F.lit("0.38")).select(F.lit("threshold_11").alias("key"), "value")
     return one.union(files.setting(settings, "absent", F.lit("0.38")).select(F.lit("absent").alias("key"), "value"))
 
 
-@query("settings_kv", sql="SELECT key, SHA256(value) = SHA256('30') AS matches FROM settings_kv")
+@query("preferences", sql="SELECT key, SHA256(value) = SHA256('0.30') AS matches FROM preferences")
 def c5_password(settings):
-    return settings.select("key", (F.sha2("value", 256) == F.sha2(F.lit("30"), 256)).alias("matches"))
+    return settings.select("key", (F.sha2("value", 256) == F.sha2(F.lit("0.30"), 256)).alias("matches"))
 
 
 @query("media", sql="SELECT file_path FROM media WHERE is_trashed = 0")
@@ -654,7 +650,7 @@ def o7_hash_sample(media):
     return ids(media.filter(flt.alive()).orderBy(F.desc("is_favorite"), (F.col("id") * F.lit(2654435761)) % 1000, "id").limit(4))
 
 
-@query("cities", sql="SELECT id, name FROM cities ORDER BY CASE WHEN population > 5000000 THEN 1 WHEN population > 500000 THEN 3 ELSE 5 END, population DESC, id LIMIT 24")
+@query("towns", sql="SELECT id, name FROM towns ORDER BY CASE WHEN population > 5000000 THEN 1 WHEN population > 500000 THEN 3 ELSE 5 END, population DESC, id LIMIT 24")
 def o10_label_order(cities):
     zoom = F.when(F.col("population") > 5000000, 1).when(F.col("population") > 500000, 3).otherwise(5)
     return cities.orderBy(zoom, F.desc("population"), "id").limit(24).select("id", "name")
@@ -666,16 +662,18 @@ def u2_difference(media):
     return media.select("file_path").join(present, "file_path", "left_anti")
 
 
-@query("cities", sql="SELECT name FROM cities UNION SELECT country FROM cities")
+@query("towns", sql="SELECT name FROM towns UNION SELECT country FROM towns")
 def u3_distinct_union(cities):
     return cities.select("name").union(cities.select("country")).distinct()
 
 
-@query("media", sql="SELECT '9,4,7,1,2' AS merged")
-def u5_ordered_merge(media):
-    chosen, out = F.array(*[F.lit(i) for i in (9, 4, 8, 7)]), F.array(*[F.lit(i) for i in (1, 2, 4, 7, 9)])
+@query("customer", sql="SELECT c_custkey, CONCAT(c_custkey % 5, ',', c_custkey % 3 + 20, ',30') AS merged FROM customer")
+def u5_ordered_merge(customer):
+    """What was chosen and is still there, in its order, then what is new."""
+    k = F.col("c_custkey")
+    chosen, out = F.array(k % 5, k % 7 + 10, k % 3 + 20), F.array(k % 3 + 20, F.lit(30).cast("long"), k % 5)
     merged = F.array_union(F.array_intersect(chosen, out), out)
-    return media.sparkSession.range(1).select(F.array_join(F.transform(merged, lambda x: x.cast("string")), ",").alias("merged"))
+    return customer.select("c_custkey", F.array_join(F.transform(merged, lambda x: x.cast("string")), ",").alias("merged"))
 
 
 @query("media", "memories", sql="SELECT file_path FROM media WHERE folder_path = '/lib/a1' AND file_path NOT IN (SELECT UNNEST(STRING_SPLIT(sources, '|')) FROM memories)")
@@ -707,11 +705,6 @@ def l7_album_chips(media):
     return find.album_chips(media, "a12")
 
 
-@query("media", "persons", "cities", sql="SELECT 'colour' AS kind, 'blue' AS label, 4 AS prio UNION ALL SELECT 'colour', 'black', 4 UNION ALL SELECT 'colour', 'brown', 4 UNION ALL SELECT 'person', 'Bob', 0")
-def l9_suggest(media, persons, cities):
-    return find.suggest("b", persons, joins.places_of(media, cities), media)
-
-
 @query("media", sql=f"SELECT id, {LABELS} AS label FROM media")
 def f5_type_label(media):
     return media.select("id", type_label(F.col("mime_type")).alias("label"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import dates, geo, paths, text
 from shutterlake.functions import media as m
+from shutterlake.operators import sorting
 
 from .registry import query
 from .relational import BASE, EXT, TS
@@ -17,12 +18,12 @@ def f1_f2_f3_path_parts(media):
     return media.select("id", paths.extension(p).alias("ext"), paths.base_name(p).alias("name"), paths.dir_name(p).alias("dir"))
 
 
-@query("albums", sql="SELECT path_prefix, CASE WHEN LENGTH(custom_name) > 0 THEN custom_name WHEN STARTS_WITH(path_prefix, '__virtual__') THEN SUBSTR(path_prefix, 12) ELSE STRING_SPLIT(path_prefix, '/')[-1] END AS name FROM albums")
+@query("rolls", sql="SELECT path_prefix, CASE WHEN LENGTH(custom_name) > 0 THEN custom_name WHEN STARTS_WITH(path_prefix, '__virtual__') THEN SUBSTR(path_prefix, 12) ELSE STRING_SPLIT(path_prefix, '/')[-1] END AS name FROM rolls")
 def f4_leaf_names(albums):
     return albums.select("path_prefix", paths.leaf_name(F.col("path_prefix"), F.col("custom_name")).alias("name"))
 
 
-@query("albums", sql="SELECT name, '__virtual__' || REGEXP_REPLACE(TRIM(REGEXP_REPLACE(name || '  x/y ', '\\s+', ' ', 'g')), '[ /]', '_', 'g') AS prefix FROM albums")
+@query("rolls", sql="SELECT name, '__virtual__' || REGEXP_REPLACE(TRIM(REGEXP_REPLACE(name || '  x/y ', '\\s+', ' ', 'g')), '[ /]', '_', 'g') AS prefix FROM rolls")
 def d12_virtual_prefix(albums):
     return albums.select("name", paths.virtual_prefix(F.concat("name", F.lit("  x/y "))).alias("prefix"))
 
@@ -58,23 +59,27 @@ def f10_civil_time(media):
     return media.select("id", dates.civil(F.col("creation_date")).alias("c")).select("id", "c.*")
 
 
-EXIF = "CASE id % 5 WHEN 0 THEN '0000:00:00 00:00:00' WHEN 1 THEN STRFTIME({t}, '%Y:%m:%d %H:%M:%S') WHEN 2 THEN STRFTIME({t}, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN '2023:13:18 10:00:00' ELSE 'garbage' END"
-
-
-@query("media", sql="SELECT id, CASE WHEN id % 5 IN (1, 2) THEN creation_date END AS seconds FROM media")
+@query("media", sql="SELECT id, CASE WHEN id % 7 IN (0, 1) THEN creation_date END AS seconds FROM media")
 def f11_exif_dates(media):
-    t = F.col("creation_date")
-    said = F.when(F.col("id") % 5 == 0, "0000:00:00 00:00:00").when(F.col("id") % 5 == 1, dates.key(t, "yyyy:MM:dd HH:mm:ss")).when(F.col("id") % 5 == 2, dates.key(t, "yyyy-MM-dd HH:mm:ss"))
-    return media.select("id", dates.exif_seconds(said.when(F.col("id") % 5 == 3, "2023:13:18 10:00:00").otherwise("garbage")).alias("seconds"))
-
-
-ISO = "(VALUES (1, '+60.1699+024.9384+026.400/'), (2, '-22.9519-043.2105/'), (3, 'no place'), (4, '+7.25-3.5'), (5, '60.1+24.9'), (6, '+1.2.3+4')) AS t(id, place)"
-
-
-@query("cities", sql=f"SELECT id, TRY_CAST(NULLIF(REGEXP_EXTRACT(place, '^([+-][0-9.]+)([+-][0-9.]+)', 1), '') AS DOUBLE) AS lat, TRY_CAST(NULLIF(REGEXP_EXTRACT(place, '^([+-][0-9.]+)([+-][0-9.]+)', 2), '') AS DOUBLE) AS lon FROM {ISO}")
-def f12_iso6709(cities):
-    rows = cities.sparkSession.sql(f"SELECT * FROM {ISO}")
-    return rows.select("id", geo.iso6709(F.col("place")).alias("p")).select("id", "p.lat", "p.lon")
+    """Dates with colons and with hyphens; null for months after 12, day 0, hour 24, letters, and what is cut off."""
+    t, i = F.col("creation_date"), F.col("id")
+    right = dates.key(t, "yyyy:MM:dd HH:mm:ss")
+    wrong = [
+        F.concat(F.lit("2020:"), (i % 87 + 13).cast("string"), F.lit(":07 11:12:13")),
+        F.regexp_replace(right, r"^(\d+:\d+):\d+", "$1:00"),
+        F.regexp_replace(right, r" \d+", " 24"),
+        F.regexp_replace(right, r"^\d", "Q"),
+        F.substring(right, 1, 12),
+    ]
+    said = F.when(i % 7 == 0, right).when(i % 7 == 1, dates.key(t, "yyyy-MM-dd HH:mm:ss"))
+    for n, text_of in enumerate(wrong, 2):
+        said = said.when(i % 7 == n, text_of)
+    return media.select("id", dates.exif_seconds(said).alias("seconds"))
+
+
+@query("said", sql="SELECT id, TRY_CAST(NULLIF(REGEXP_EXTRACT(place, '^([+-][0-9.]+)([+-][0-9.]+)', 1), '') AS DOUBLE) AS lat, TRY_CAST(NULLIF(REGEXP_EXTRACT(place, '^([+-][0-9.]+)([+-][0-9.]+)', 2), '') AS DOUBLE) AS lon FROM said")
+def f12_iso6709(said):
+    return said.select("id", geo.iso6709(F.col("place")).alias("p")).select("id", "p.lat", "p.lon")
 
 
 @query("media", sql="SELECT id, FLOOR(latitude * 100 + 0.5) / 100.0::DOUBLE AS lat FROM media WHERE latitude IS NOT NULL")
@@ -129,15 +134,9 @@ def f26_aspect_ratio(media):
     return media.select("id", m.aspect_ratio(F.col("width"), F.col("height"), F.col("id")).alias("ratio"))
 
 
-VERSIONS = "(VALUES ('v1.2.3'), ('1.10.0'), ('1.2.3-beta'), ('nope'), ('0.9.12'), ('1.10.0-rc.1')) AS t(version)"
-
-
-@query("cities", sql=f"SELECT version, ROW_NUMBER() OVER (ORDER BY REGEXP_MATCHES(version, p), TRY_CAST(REGEXP_EXTRACT(version, p, 1) AS BIGINT) NULLS FIRST, TRY_CAST(REGEXP_EXTRACT(version, p, 2) AS BIGINT) NULLS FIRST, TRY_CAST(REGEXP_EXTRACT(version, p, 3) AS BIGINT) NULLS FIRST, REGEXP_EXTRACT(version, p, 4) = '', version)::INTEGER AS place FROM {VERSIONS}, (SELECT '^v?(\\d+)\\.(\\d+)\\.(\\d+)(-[0-9A-Za-z.-]+)?$' AS p) q")
-def f27_versions(cities):
-    from pyspark.sql import Window
-
-    rows = cities.sparkSession.sql(f"SELECT * FROM {VERSIONS}")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(text.version_key(F.col("version")), "version")))
+@query("releases", sql="SELECT version, ROW_NUMBER() OVER (ORDER BY REGEXP_MATCHES(version, p), TRY_CAST(REGEXP_EXTRACT(version, p, 1) AS BIGINT) NULLS FIRST, TRY_CAST(REGEXP_EXTRACT(version, p, 2) AS BIGINT) NULLS FIRST, TRY_CAST(REGEXP_EXTRACT(version, p, 3) AS BIGINT) NULLS FIRST, REGEXP_EXTRACT(version, p, 4) = '', version) AS place FROM releases, (SELECT '^v?(\\d+)\\.(\\d+)\\.(\\d+)(-[0-9A-Za-z.-]+)?$' AS p) q")
+def f27_versions(releases):
+    return sorting.placed(releases, [(text.version_key(F.col("version")), True), (F.col("version"), True)])
 
 
 @query("media", sql="SELECT id, 'file://' || REPLACE(REPLACE(URL_ENCODE(file_path || ' ü&+'), '%2F', '/'), '%3A', ':') AS url, file_path || ' ü&+' AS back FROM media")
@@ -157,23 +156,23 @@ def f30_number_lists(faces):
     return by.select("person_id", text.csv_of(F.transform("all", lambda x: x["score"]), 20).alias("csv"))
 
 
-@query("memories", sql="SELECT id, LOWER(TRIM(REGEXP_REPLACE('  ' || title || '   Day ', '\\s+', ' ', 'g'))) AS plain FROM memories")
+@query("recollections", sql="SELECT id, LOWER(TRIM(REGEXP_REPLACE('  ' || title || '   Day ', '\\s+', ' ', 'g'))) AS plain FROM recollections")
 def f31_simplified(memories):
     return memories.select("id", F.lower(paths.simplified(F.concat(F.lit("  "), "title", F.lit("   Day ")))).alias("plain"))
 
 
-@query("cities", sql="SELECT id, CASE WHEN LEN(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(name), '[\\s,/_-]+'), lambda w: STARTS_WITH(w, 'bo'))) > 0 THEN 1 ELSE 0 END AS one, CASE WHEN STARTS_WITH(LOWER(name), 'new yo') THEN 2 WHEN LEN(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(name), '[\\s,/_-]+'), lambda w: STARTS_WITH(w, 'yo'))) > 0 THEN 1 ELSE 0 END AS two FROM cities")
+@query("towns", sql="SELECT id, CASE WHEN LEN(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(name), '[\\s,/_-]+'), lambda w: STARTS_WITH(w, 'bo'))) > 0 THEN 1 ELSE 0 END AS one, CASE WHEN STARTS_WITH(LOWER(name), 'new yo') THEN 2 WHEN LEN(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(name), '[\\s,/_-]+'), lambda w: STARTS_WITH(w, 'yo'))) > 0 THEN 1 ELSE 0 END AS two FROM towns")
 def f32_prefix_match(cities):
     return cities.select("id", text.prefix_match(F.col("name"), "bo").alias("one"), text.prefix_match(F.col("name"), "New yo").alias("two"))
 
 
-@query("cities", sql="SELECT id, t AS place, STRING_SPLIT(t, ', ')[1] AS first, STRING_SPLIT(t, ', ')[-1] AS last FROM (SELECT id, CASE WHEN country = name THEN name ELSE name || ', ' || country END AS t FROM cities) x")
+@query("towns", sql="SELECT id, t AS place, STRING_SPLIT(t, ', ')[1] AS first, STRING_SPLIT(t, ', ')[-1] AS last FROM (SELECT id, CASE WHEN country = name THEN name ELSE name || ', ' || country END AS t FROM towns) x")
 def f33_f34_place_texts(cities):
     rows = cities.select("id", geo.place_text(F.col("name"), F.col("country")).alias("place"))
     return rows.select("id", "place", text.section(F.col("place"), 1).alias("first"), text.section(F.col("place"), -1).alias("last"))
 
 
-@query("cities", sql="SELECT id, PRINTF('%.2f', FLOOR(ABS(lat::DOUBLE) * 100 + 0.5) / 100) || '° ' || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END || ', ' || PRINTF('%.2f', FLOOR(ABS(lon::DOUBLE) * 100 + 0.5) / 100) || '° ' || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END AS label FROM cities")
+@query("towns", sql="SELECT id, PRINTF('%.2f', FLOOR(ABS(lat::DOUBLE) * 100 + 0.5) / 100) || '° ' || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END || ', ' || PRINTF('%.2f', FLOOR(ABS(lon::DOUBLE) * 100 + 0.5) / 100) || '° ' || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END AS label FROM towns")
 def f35_coordinate_labels(cities):
     return cities.select("id", geo.coordinate_label(F.col("lat").cast("double"), F.col("lon").cast("double")).alias("label"))
 
@@ -200,12 +199,12 @@ def f40_land(media):
     return media.select("id", geo.is_land(F.array(*[F.lit(t) for t in (100, 900, 1500, 2800, 3000)]), F.col("width")).alias("land"))
 
 
-@query("memories", sql="SELECT id, UPPER(SUBSTR(title, 1, 1)) || SUBSTR(title, 2) || ' Memory ' || date || '.mp4' AS file FROM memories")
+@query("recollections", sql="SELECT id, UPPER(SUBSTR(title, 1, 1)) || SUBSTR(title, 2) || ' Memory ' || date || '.mp4' AS file FROM recollections")
 def c22_c23_titles(memories):
     return memories.select("id", F.concat(F.initcap("title"), F.lit(" Memory "), "date", F.lit(".mp4")).alias("file"))
 
 
-@query("memories", sql="SELECT id, CASE WHEN title = 'Trip' THEN 'Voyage' WHEN title = 'Party' THEN 'Party!' ELSE title END AS shown FROM memories")
+@query("recollections", sql="SELECT id, CASE WHEN title = 'Trip' THEN 'Voyage' WHEN title = 'Party' THEN 'Party!' ELSE title END AS shown FROM recollections")
 def c25_translation(memories):
     french, english = (F.create_map(*[F.lit(x) for x in t]) for t in (("Trip", "Voyage"), ("Party", "Party!", "Trip", "Journey")))
     return memories.select("id", F.coalesce(F.try_element_at(french, F.col("title")), F.try_element_at(english, F.col("title")), "title").alias("shown"))

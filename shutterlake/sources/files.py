@@ -53,12 +53,19 @@ def setting(settings: DataFrame, key: str, default: Column) -> DataFrame:
     return settings.filter(F.col("key") == key).agg(F.coalesce(F.max("value"), default).alias("value"))
 
 
+def sort_preferences(settings: DataFrame) -> DataFrame:
+    """view, role, ascending of all views, stored as "role,order" under "sort_pref_" and the view; malformed gives 0, 0."""
+    part, prefix = F.split("value", ","), "sort_pref_"
+    role, order = (F.try_element_at(part, F.lit(i)).try_cast("int") for i in (1, 2))
+    valid = (F.size(part) == 2) & role.isNotNull() & order.isNotNull()
+    rows = settings.filter(F.col("key").startswith(prefix))
+    return rows.select(F.substr("key", F.lit(len(prefix) + 1)).alias("view"), *[F.when(valid, x).otherwise(0).alias(n) for x, n in ((role, "role"), (order, "ascending"))])
+
+
 def sort_preference(settings: DataFrame, view: str) -> DataFrame:
-    """role, ascending stored as "role,order"; malformed or absent gives 0, 0."""
-    part = F.split("value", ",")
-    row = setting(settings, f"sort_pref_{view}", F.lit(""))
-    valid = (F.size(part) == 2) & part[0].try_cast("int").isNotNull() & F.try_element_at(part, F.lit(2)).try_cast("int").isNotNull()
-    return row.select(*[F.when(valid, F.try_element_at(part, F.lit(i)).try_cast("int")).otherwise(0).alias(n) for i, n in ((1, "role"), (2, "ascending"))])
+    """One row: role, ascending of a view; absent gives 0, 0."""
+    own = sort_preferences(settings).filter(F.col("view") == view)
+    return own.agg(*[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in ("role", "ascending")])
 
 
 def json_settings(settings: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:

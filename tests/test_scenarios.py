@@ -413,7 +413,7 @@ def test_search_reads_the_names_of_all_people(spark):
 
 
 def test_places_of_a_whole_table(spark):
-    """Places equal a sort's for few and many cuts, with nulls, ties, mixed directions and one value that half of the rows hold."""
+    """Places equal a sort's for few and many blocks, with nulls, ties, mixed directions and one value that half of the rows hold."""
     r = np.random.default_rng(21)
     rows = [(i, None if i % 11 == 0 else 5 if i % 2 else int(r.integers(0, 40)), None if i % 7 == 0 else "abc"[i % 3] * (i % 4)) for i in range(1500)]
     df = spark.createDataFrame(rows, "id long, n int, s string")
@@ -424,8 +424,8 @@ def test_places_of_a_whole_table(spark):
 
         want = {x[0]: i for i, x in enumerate(sorted(rows, key=lambda x: (x[2] is not None, x[2] or "", *sizes(x))), 1)}
         keys = [(F.col("s"), True), (F.col("n"), up), (F.col("id"), not up)]
-        for blocks in (1, 3, 200):
-            assert {x["id"]: x["place"] for x in sorting.placed(df, keys, blocks).collect()} == want
+        for block_rows in (100_000, 600, 64):
+            assert {x["id"]: x["place"] for x in sorting.placed(df, keys, block_rows).collect()} == want
     assert sorting.placed(df.limit(0), [(F.col("id"), True)]).count() == 0
 
 
@@ -449,3 +449,21 @@ def test_chunks_of_whole_texts(spark):
 def test_long_lists_are_refused(spark):
     with pytest.raises(ValueError):
         small_list(spark.range(2000), "id")
+
+
+def test_values_and_times_carried_over_blocks(spark):
+    """Last marks and clip starts equal those of one pass over each group, however groups fall into blocks."""
+    r = np.random.default_rng(22)
+    rows = [(i, None if i % 13 == 0 else "ab"[int(r.integers(0, 40) == 0)], f"m{i}" if r.integers(0, 30) == 0 else None, float(r.integers(2, 9))) for i in range(900)]
+    df = spark.createDataFrame(rows, "position long, folder string, mark string, seconds double").repartition(5)
+    last, start, marks, starts = {}, {}, {}, {}
+    for i, folder, mark, seconds in rows:
+        last[folder] = mark or last.get(folder)
+        marks[i], starts[i] = last[folder], start.get(folder, 0.0)
+        start[folder] = starts[i] + seconds - 0.5
+    for block_rows in (10_000, 100, 37):
+        got = windows.carried_forward(df, [(F.col("position"), True)], "mark", "folder", "header", block_rows)
+        assert {x["position"]: x["header"] for x in got.collect()} == marks
+        got = windows.clip_timeline(df, "folder", 0.5, block_rows)
+        assert {x["position"]: x["start"] for x in got.collect()} == starts
+    assert windows.clip_timeline(df.limit(0), "folder").count() == 0
