@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-#: The tables of each open ``scratch_tables`` block, innermost last.
-_open: list[list[str]] = []
+#: The tables of each open ``scratch_tables`` block of this thread, innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_tables", default=())
 
 
 @contextmanager
@@ -47,13 +48,29 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
     What leaves the block must not read them: its plan may only hold tables
     made with ``keep``, which belong to the block around this one, if any.
     """
-    _open.append([])
+    own: list[str] = []
+    before = _open.set((*_open.get(), own))
     try:
         yield
     finally:
-        for path in _open.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _open.reset(before)
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tables_of(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{scratch_dir(spark)}/shutterlake/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application has made; what was computed from them must have been written."""
+    _delete(spark, tables_of(spark))
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -63,10 +80,11 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     given by ``monotonically_increasing_id`` stay what they were when written.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/shutterlake/{name}-{uuid.uuid4().hex}"
-    owner = len(_open) - (2 if keep else 1)
+    path = f"{tables_of(spark)}/{name}-{uuid.uuid4().hex}"
+    blocks = _open.get()
+    owner = len(blocks) - (2 if keep else 1)
     if owner >= 0:
-        _open[owner].append(path)
+        blocks[owner].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -89,7 +107,7 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(text_or_empty(text))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], total: int, how: str = "inner", counts: DataFrame | None = None, deal_by: list[str] | None = None) -> DataFrame:
     """Join a large ``left`` to a ``right`` with one row a key, splitting hot keys.
 
     Keys with more than ``total / HOT_SHARE`` rows in ``left`` (at most
@@ -97,15 +115,19 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: lis
     they hold such shares; the matching row of ``right`` is repeated for each
     salt. The salt is a hash of ``salt_on``, so a retried task deals alike.
     Keys must not be null. counts: the rows of each key as ``_n``, if known.
+    deal_by: short columns of both sides that the keys determine, e.g. a hash of
+    wide keys; hot ones are found, and broadcast, by these. They are dropped.
     """
+    deal = deal_by or keys
     most = max(HOT_FLOOR, total // HOT_SHARE)
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    counts = left.groupBy(*deal).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
     hot = counts.filter(F.col("_n") > most)
-    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_fan")))
+    hot = F.broadcast(hot.select(*deal, F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_fan")))
     salt = F.pmod(F.xxhash64(*salt_on), F.coalesce("_fan", F.lit(1))).cast("int")
-    dealt = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_fan")
-    spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))).drop("_fan")
-    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
+    dealt = left.join(hot, deal, "left").withColumn("_salt", salt).drop("_fan")
+    spread = right.join(hot, deal, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))).drop("_fan")
+    own = [c for c in deal if c not in keys]
+    return dealt.drop(*own).join(spread.drop(*own), [*keys, "_salt"], how).drop("_salt")
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

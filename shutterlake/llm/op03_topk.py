@@ -41,6 +41,8 @@ from .common import materialize
 SCALE = 256
 #: Rows of an index block, queries of a query block, queries that are added at once.
 BLOCK_ROWS, BLOCK_QUERIES, BATCH_QUERIES = 8192, 1024, 64
+#: Components of a block, and rows of a list of blocks that is broadcast.
+BLOCK_VALUES, LISTED = 1 << 20, 100_000
 #: Query blocks that meet an index block under one key; most partitions that such keys are dealt to.
 CHUNK, MOST_TASKS = 16, 20_000
 #: Bits that int64 arithmetic may use.
@@ -205,7 +207,7 @@ def _packed(most: int):
             for i, v in zip(frame["vec_id"], frame["v"], strict=True):
                 rows = waiting.setdefault(len(v), [])
                 rows.append((i, v))
-                if len(rows) == most:
+                if len(rows) >= most or len(rows) * len(v) >= BLOCK_VALUES:
                     yield out(waiting.pop(len(v)))
         yield from map(out, waiting.values())
 
@@ -241,6 +243,11 @@ def _searched(k: int):
     return work
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """A list of blocks, broadcast if it is short, so that vectors are not dealt by their length."""
+    return F.broadcast(ids) if ids.limit(LISTED + 1).count() <= LISTED else ids
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each of ``queries`` (vec_id, v) its k best of ``rows`` (vec_id, v)."""
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -252,8 +259,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = asked.select("dim", F.col("width").alias("query_width"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.pmod(F.xxhash64("nth"), F.lit(chunks)).alias("chunk"))
     # each index block once for each chunk, each query block once for each index block; the lists that say so hold ids alone
     tasks = max(1, min(n_index * chunks, MOST_TASKS))
-    one = index.join(asked.select("dim", "chunk").distinct(), "dim").repartition(tasks, "block", "chunk")
-    two = asked.join(index.select("dim", "block"), "dim").drop("dim").repartition(tasks, "block", "chunk")
+    one = index.join(_listed(asked.select("dim", "chunk").distinct()), "dim").repartition(tasks, "block", "chunk")
+    two = asked.join(_listed(index.select("dim", "block")), "dim").drop("dim").repartition(tasks, "block", "chunk")
     found = one.join(two, ["block", "chunk"]).mapInPandas(_searched(k), "query_id long, vec_id long, score string")
     wide = F.col("score").cast("decimal(38,0)")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(wide.desc(), "vec_id"))

@@ -255,12 +255,32 @@ def _added(chain: Chain, texts: list[bytes], base: list[list[tuple[int, int, int
     heads = np.flatnonzero(new)
     for a, b in zip(heads, np.append(heads[1:], len(hit)), strict=True):
         i, j = hit[a], hit[b - 1]
-        doc = w.doc[i]
-        if not any(x < end[j] and y > start[i] for x, _, y in base[doc]):
-            out[doc].append((int(start[i]), int(tags[i]) - 1, int(end[j])))
+        doc, kind = w.doc[i], int(tags[i]) - 1
+        for x, y in _numbers(w, i, j) if KINDS[kind] == "card" else [(i, j)]:
+            if not any(p < end[y] and q > start[x] for p, _, q in base[doc]):
+                out[doc].append((int(start[x]), kind, int(end[y])))
     return out
 
 
+def _numbers(w: Words, i: int, j: int) -> Iterator[tuple[int, int]]:
+    """Runs of words i..j that are card numbers, the longest first from the left: 13 to 19 digits that pass Luhn. Other words are none."""
+    digits = [re.sub(rb"[^0-9]", b"", w.data[w.start[k] : w.end[k]]).decode() for k in range(i, j + 1)]
+    a = 0
+    while a < len(digits):
+        found, said = None, ""
+        for b in range(a, len(digits)):
+            said += digits[b]
+            if len(said) > 19:
+                break
+            if digits[a] and digits[b] and len(said) >= 13 and _luhn(said):
+                found = b
+        if found is None:
+            a += 1
+        else:
+            yield i + a, i + found
+            a = found + 1
+
+
 def _scan_frames(chain: Chain) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def said(spans: list[tuple[int, int, int]]) -> str:
         return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import scratch_dir, text_or_empty
+from .common import tables_of, text_or_empty
 from .op05_bpe import byte_signs
 
 END_ID = 2
@@ -391,6 +391,6 @@ def read_records(spark: SparkSession, folder: str, seed: int | None = None, slic
 
 def written_and_read(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files that it was written to."""
-    folder = f"{scratch_dir(docs.sparkSession)}/shutterlake/token-records-{uuid.uuid4().hex}"
+    folder = f"{tables_of(docs.sparkSession)}/token-records-{uuid.uuid4().hex}"
     write_records(docs, vocabulary, folder)
     return read_records(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
