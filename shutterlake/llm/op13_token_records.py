@@ -33,6 +33,7 @@ manifest of no files; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -58,7 +59,7 @@ from .op05_bpe import byte_signs
 
 END_ID = 2
 #: Pieces whose ids a task remembers (it forgets all when full), and their longest length in bytes.
-REMEMBERED, PIECE_BYTES = 400_000, 64
+REMEMBERED, PIECE_BYTES = 500_000, 64
 #: Pieces that the library encodes in one call, and signs that end a word.
 CALL, SIGNS = 4096, b".,;:!?%&*)"
 #: Bytes of text that a task encodes at once, and that a file is made of, about.
@@ -102,14 +103,13 @@ class PieceEncoder:
         joined: list[tuple[bytes, bytes, bytes]] = []
         todo: set[bytes] = set()
 
-        def seen(x: bytes) -> None:
+        def seen(x: bytes, letters: str) -> None:
             if x in known:
                 return
             if x.isalpha():  # letters of ASCII, lower-case here
                 known[x] = _ids([t.id for t in by_model(x.decode("ascii"))])
                 return
-            if not x.isascii():
-                letters = unicodedata.normalize("NFC", x.decode("utf-8")).lower()
+            if letters:
                 if letters.isalpha() and max(letters) < "\u0250":  # Latin letters, as the library writes their bytes
                     known[x] = _ids([t.id for t in by_model(letters.encode("utf-8").decode("latin-1").translate(self.signs))])
                     return
@@ -119,15 +119,16 @@ class PieceEncoder:
             plain = p.isascii()
             low = p.lower() if plain else p  # letters that compose depend on case
             word = low.rstrip(SIGNS)
+            letters = "" if plain else unicodedata.normalize("NFC", word.decode("utf-8")).lower()
             if b"<|" in p:  # may be a special token
                 todo.add(p)
             elif len(word) == len(low):
-                seen(low)
+                seen(low, letters)
                 if low != p:
                     joined.append((p, low, b""))
-            elif word and (word[-1:].isalnum() or not plain and unicodedata.normalize("NFC", word.decode("utf-8")).lower()[-1].isalpha()):
-                seen(word)
-                seen(low[len(word) :])
+            elif word and (word[-1:].isalnum() or letters and letters[-1].isalpha()):
+                seen(word, letters)
+                seen(low[len(word) :], "")
                 joined.append((p, word, low[len(word) :]))
             else:
                 todo.add(p)
@@ -144,12 +145,16 @@ class PieceEncoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, pieces = self.known, [t.split() for t in texts]
-        new: set[bytes] = set()
-        for line in pieces:
-            new.update(set(line).difference(known))
+        found = [list(map(known.get, line)) for line in pieces]
+        holes = [[k for k, ids in enumerate(row) if ids is None] for row in found]
+        new = {line[k] for line, hole in zip(pieces, holes, strict=True) for k in hole}
         self._learn(new)
         end = _ids([end_id])
-        out = [b"".join([*map(known.__getitem__, line), end]) for line in pieces]
+        for line, row, hole in zip(pieces, found, holes, strict=True):
+            for k in hole:
+                row[k] = known[line[k]]
+            row.append(end)
+        out = [b"".join(row) for row in found]
         for p in [p for p in new if len(p) > PIECE_BYTES]:
             for x in (p, p.lower(), p.rstrip(SIGNS), p.lower().rstrip(SIGNS)):
                 known.pop(x, None)
@@ -166,6 +171,7 @@ def encoded_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def work(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
+        gc.disable()  # nothing here is cyclic, and the pieces that are remembered would be walked again and again
         for batch in found:
             texts = batch.column("text").cast(pa.binary())
             ends = np.cumsum(pc.binary_length(texts).to_numpy())
