@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shutterlake.operators import dml
+from shutterlake.operators import dml, moves
 from shutterlake.streaming.ingest import live_memories
 
 from .fixtures import NOW
@@ -71,6 +71,24 @@ def d14_newest_albums(rows):
     return dml.newest_album_rows(rows)
 
 
+@query(
+    "media",
+    sql=r"""WITH w AS (SELECT id, file_path, CASE WHEN id % 3 = 0 THEN '/lib/a0' ELSE '/lib/a' || (id % 5 + 1) END AS target, REGEXP_EXTRACT(file_path, '[^/]*$') AS name FROM media WHERE id % 4 <> 1),
+      r AS (SELECT *, REGEXP_EXTRACT(name, '^(.*)\.([^.]*)$', 1) AS base, REGEXP_EXTRACT(name, '[^.]*$') AS ext, target || '/' || name AS wanted FROM w WHERE target || '/' || name <> file_path),
+      k AS (SELECT *, wanted NOT IN (SELECT file_path FROM media) AND ROW_NUMBER() OVER (PARTITION BY wanted ORDER BY id) = 1 AS keeps FROM r),
+      n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY target, base, ext ORDER BY id) AS place, COUNT(*) OVER (PARTITION BY target, base, ext) AS movers FROM k WHERE NOT keeps),
+      used AS (SELECT file_path FROM media UNION SELECT wanted FROM k WHERE keeps),
+      tried AS (SELECT target, base, ext, UNNEST(RANGE(1, movers + (SELECT COUNT(*) FROM used u WHERE STARTS_WITH(u.file_path, target || '/' || base || '_')) + 1)) AS i FROM (SELECT DISTINCT target, base, ext, movers FROM n) g),
+      free AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY target, base, ext ORDER BY i) AS place FROM tried WHERE target || '/' || base || '_' || i || '.' || ext NOT IN (SELECT file_path FROM used)),
+      done AS (SELECT id, wanted AS new_path, target FROM k WHERE keeps UNION ALL SELECT id, target || '/' || base || '_' || i || '.' || ext, target FROM n JOIN free USING (target, base, ext, place))
+    SELECT m.id, COALESCE(new_path, m.file_path) AS file_path, COALESCE(target, m.folder_path) AS folder_path FROM media m LEFT JOIN done USING (id)""",
+)
+def d13_moved_media(media):
+    """Three quarters of the library moved to six folders, where names recur."""
+    target = F.when(F.col("id") % 3 == 0, "/lib/a0").otherwise(F.concat(F.lit("/lib/a"), (F.col("id") % 5 + 1).cast("string")))
+    return moves.moved(media, moves.renames(media, media.filter("id % 4 <> 1").select("id", target.alias("target")))).select("id", "file_path", "folder_path")
+
+
 @query("analysis", sql="SELECT media_id, CASE WHEN media_id % 2 = 0 THEN 99 ELSE color_bucket END AS color_bucket FROM analysis")
 def d15_insert_or_replace(analysis):
     old = analysis.select("media_id", F.lit(1).alias("written"), "color_bucket")
