@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shutterlake.operators import dml, moves
+from shutterlake.operators import dml, moves, revisions
 from shutterlake.streaming.ingest import live_memories
 
 from .fixtures import NOW
@@ -163,3 +163,40 @@ def d27_tidy(persons, faces):
 @query("recollections", sql=f"SELECT id FROM recollections WHERE custom = 1 OR expires_at > {NOW}")
 def t5_live_memories(memories):
     return live_memories(memories, NOW).select("id")
+
+
+STEPS = (
+    ("id % 10 = 0", "SELECT id, folder_path, file_path, file_size, creation_date, 1 AS is_trashed FROM s WHERE id % 10 = 0 UNION ALL SELECT * FROM s WHERE id % 10 <> 0"),
+    ("id % 35 = 2", "SELECT id, '/lib/a1' AS folder_path, file_path, file_size + 7 AS file_size, creation_date, is_trashed FROM s WHERE id % 35 = 2 UNION ALL SELECT * FROM s WHERE id % 35 <> 2"),
+    ("id % 900 < 50", "SELECT * FROM s WHERE id % 900 >= 50"),
+)
+
+
+def _rollup_sql(state: str) -> str:
+    return f"SELECT folder_path, COUNT(*) AS n, SUM(file_size)::BIGINT AS bytes, MIN(creation_date) AS first, MAX(creation_date) AS last, MAX(ROW(creation_date, file_path)) AS newest FROM {state} WHERE is_trashed = 0 GROUP BY 1"
+
+
+def _steps_sql() -> str:
+    """Each state in full, its rollup in full, and the last step at which a group's rollup differs from the one before."""
+    parts = ["s0 AS (SELECT id, folder_path, file_path, file_size, creation_date, is_trashed FROM media)", f"r0 AS (SELECT *, 0 AS revision FROM ({_rollup_sql('s0')}) x)"]
+    for i, (_, sql) in enumerate(STEPS, 1):
+        parts.append(f"s{i} AS ({sql.replace('FROM s ', f'FROM s{i - 1} ')})")
+        same = " AND ".join(f"x.{c} IS NOT DISTINCT FROM o.{c}" for c in ("n", "bytes", "first", "last", "newest"))
+        parts.append(f"r{i} AS (SELECT x.*, CASE WHEN {same} THEN o.revision ELSE {i} END AS revision FROM ({_rollup_sql(f's{i}')}) x LEFT JOIN r{i - 1} o USING (folder_path))")
+    return f"WITH {', '.join(parts)} SELECT folder_path, n, bytes, first, last, newest[2] AS cover, revision::BIGINT AS revision FROM r{len(STEPS)}"
+
+
+@query("media", sql=_steps_sql())
+def t9_revised_rollups(media):
+    """Album rollups after three batches: files trashed, files moved and grown, files deleted; each revises what it touches."""
+    state = media.select("id", "folder_path", "file_path", "file_size", "creation_date", "is_trashed")
+    rollup = revisions.rolled_up(state.filter("is_trashed = 0"), ["folder_path"])
+    for i, (where, _) in enumerate(STEPS, 1):
+        changes = state.filter(where).withColumn("deleted", F.lit(i == 3))
+        if i == 1:
+            changes = changes.withColumn("is_trashed", F.lit(1))
+        if i == 2:
+            changes = changes.withColumns({"folder_path": F.lit("/lib/a1"), "file_size": F.col("file_size") + 7})
+        old, new, state = revisions.changed_rows(state, changes)
+        rollup = revisions.revised(rollup, *[x.filter("is_trashed = 0") for x in (old, new, state)], ["folder_path"], i)
+    return rollup

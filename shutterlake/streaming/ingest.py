@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from shutterlake.operators.dml import upsert_media
+from shutterlake.operators.revisions import changed_rows, revised
 
 
 def arrivals(spark: SparkSession, folder: str, schema, batch_files: int = 512) -> DataFrame:
@@ -39,6 +40,25 @@ def pending_only(entries: DataFrame, done: Callable[[], DataFrame], handle: Call
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+def into_rollups(changes: DataFrame, read: Callable[[int], tuple[DataFrame, dict[str, DataFrame]]], write: Callable[[int, DataFrame, dict[str, DataFrame]], None], keys: dict[str, list[str]], rows: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
+    """Keep media and its rollups in step with a stream of changes (the columns of media, ``deleted``, ``changed_at``).
+
+    ``read(n)`` gives media and rollups as they were before batch ``n``, ``write(n,
+    media, rollups)`` stores them under that number; a batch that is replayed after
+    a failure reads and writes the same, so no delta counts twice. ``rows`` picks
+    the media that count and adds the keys. Of one id the last change of a batch
+    counts. The revision of batch ``n`` is ``n + 1``.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        media, rollups = read(number)
+        latest = df.groupBy("id").agg(F.max(F.struct("changed_at", *[c for c in df.columns if c not in ("id", "changed_at")])).alias("c")).select("id", "c.*")
+        old, new, now = changed_rows(media, latest)
+        write(number, now, {name: revised(rollups[name], rows(old), rows(new), rows(now), k, number + 1) for name, k in keys.items()})
+
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
 def drain(writer: DataStreamWriter) -> StreamingQuery:
     """Process what is there and stop."""
     query = writer.trigger(availableNow=True).start()
