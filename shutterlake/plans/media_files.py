@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.sources import headers, rewrite
+from shutterlake.operators.sorting import shared_folder
+from shutterlake.sources import headers, rewrite, world
 
 from .registry import query
 
@@ -97,3 +100,18 @@ def d28_stripped_files(media):
 @query("media", sql="SELECT id, CASE WHEN id % 6 >= 4 THEN latitude END AS latitude, CASE WHEN id % 6 >= 4 THEN longitude END AS longitude FROM media")
 def d28_places_forgotten(media):
     return rewrite.places_forgotten(media, rewrite.stripped(tagged_files(media), True)).select("id", "latitude", "longitude")
+
+
+@query(
+    "towns",
+    sql="""SELECT CASE WHEN id % 40 = 0 THEN 'ocean' ELSE 'city' END AS kind, name, CASE WHEN id % 40 <> 0 THEN country END AS country, ROUND(lat * 100000) * 1e-5::DOUBLE AS lat, ROUND(lon * 100000) * 1e-5::DOUBLE AS lon,
+      population::BIGINT AS population, (id % 200) / 16.0::DOUBLE AS min_zoom, id % 9 = 0 AS capital FROM towns""",
+)
+def d33_world_labels(towns):
+    """The towns written to a packed world file, and read back from it by sections."""
+    ocean = F.col("id") % 40 == 0
+    kind, country = F.when(ocean, "ocean").otherwise("city"), F.when(~ocean, F.col("country"))
+    rows = towns.select(kind.alias("kind"), "name", country.alias("country"), "lat", "lon", F.col("population").cast("long").alias("population"), (F.col("id") % 200 / 16).alias("min_zoom"), (F.col("id") % 9 == 0).alias("capital"))
+    path = f"{shared_folder(towns.sparkSession)}/world-{uuid.uuid4().hex}.kgeo"
+    world.write_world(rows, path)
+    return world.read_world(towns.sparkSession, path)

@@ -1,9 +1,12 @@
 """Packed world files and GeoJSON gazetteers."""
 
 import json
+import os
 import struct
 
-from shutterlake.sources import places
+import pytest
+
+from shutterlake.sources import places, world
 
 
 def number(n):
@@ -42,6 +45,30 @@ def test_world_files(spark):
     assert got["Pacífico"]["country"] is None and got["Pacífico"]["kind"] == "ocean" and got["Paris"]["min_zoom"] == 2.5
 
 
+def test_written_world_is_read_back(spark, tmp_path):
+    form = places.SCHEMA + ", iso string"
+    rows = [("city", f"Town {n} é", None if n % 7 == 0 else f"Land{n % 3}", n * 0.37 - 60, 100 - n * 1.87, n * 9973, n % 40 / 16, n % 5 == 0, ["FR", "AR", None][n % 3]) for n in range(150)]
+    odd = [("city", None, "X", 1.0, 1.0, 1, 1.0, False, "XX"), ("moon", "Sea", None, 1.0, 1.0, 1, 1.0, False, None), ("city", "Nowhere", None, None, 1.0, 1, 1.0, False, None), ("city", "NaN", None, float("nan"), 1.0, 1, 1.0, False, None)]
+    bare = [("ocean", "", None, -90.0, 180.0, None, None, None, None), ("state", "Far", "Land1", 0.0, -180.0, -5, 99.0, True, "toolong")]
+    path = str(tmp_path / "w.kgeo")
+    world.write_world(spark.createDataFrame(rows + odd + bare, form).repartition(3), path, 200)
+    assert os.listdir(tmp_path) == ["w.kgeo"]  # no part is left
+    want = {r[1]: (r[0], r[2], round(r[3], 5), round(r[4], 5), r[5], r[6], r[7]) for r in rows}
+    want |= {"": ("ocean", None, -90.0, 180.0, 0, 0.0, False), "Far": ("state", "Land1", 0.0, -180.0, 0, 255 / 16, True)}
+    for got in (world.read_world(spark, path), places.world(spark.read.format("binaryFile").load(path).select("path", "content"))):
+        assert {r["name"]: (r["kind"], r["country"], round(r["lat"], 5), round(r["lon"], 5), r["population"], r["min_zoom"], r["capital"]) for r in got.collect()} == want
+    assert world.read_world(spark, path).rdd.getNumPartitions() > 10  # a section is a task
+    world.write_world(spark.createDataFrame([], form), str(tmp_path / "none.kgeo"))
+    assert world.read_world(spark, str(tmp_path / "none.kgeo")).count() == 0
+    whole = (tmp_path / "w.kgeo").read_bytes()
+    (tmp_path / "cut.kgeo").write_bytes(whole[:-3])
+    with pytest.raises(Exception, match="ends early"):
+        world.read_world(spark, str(tmp_path / "cut.kgeo")).collect()
+    many = spark.range(1001).selectExpr("'city' kind", "'a' name", "string(id) country", "0d lat", "0d lon", "1L population", "1d min_zoom", "false capital")
+    with pytest.raises(ValueError, match="countries"):
+        world.write_world(many, str(tmp_path / "many.kgeo"))
+
+
 def test_geojson(spark, tmp_path):
     def feature(name, people):
         return {"type": "Feature", "geometry": {"type": "Point", "coordinates": [4.8, 45.7]}, "properties": {"name": name, "country": "France", "population": people}}
