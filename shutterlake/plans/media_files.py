@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.operators.sorting import shared_folder
-from shutterlake.sources import headers, rewrite, world
+from shutterlake.sources import fallbacks, headers, rewrite, wire, world
 
 from .registry import query
 
@@ -115,3 +115,78 @@ def d33_world_labels(towns):
     path = f"{shared_folder(towns.sparkSession)}/world-{uuid.uuid4().hex}.kgeo"
     world.write_world(rows, path)
     return world.read_world(towns.sparkSession, path)
+
+
+def _segment(mark: str, body: Column) -> list:
+    return [mark, number(F.length(body) / 2 + 2, 2, False), body]
+
+
+def described_files(media: DataFrame) -> DataFrame:
+    """path, content: for each row a JPEG with a full Exif block and a packet that differs, one with a packet of attributes, an unknown format with a packet of elements, a JPEG with an IPTC date, or one with its size alone."""
+    i = F.col("id")
+    w, h = i % 4000 + 1, i * 7 % 3000 + 1
+    day, minute = F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lpad((i % 60).cast("string"), 2, "0")
+    lat, lon = F.format_string("%d,%d.5%s", i % 80, i % 60, F.when(i % 2 == 0, "N").otherwise("S")), F.format_string("%d,%d,30%s", i % 170, i % 60, F.when(i % 4 < 2, "E").otherwise("W"))
+    date = F.concat(F.lit("2019-03-"), day, F.lit("T08:"), minute, F.lit(":09+02:00"))
+    head = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+    space = 'xmlns:exif="http://ns.adobe.com/exif/1.0/" xmlns:xmp="http://ns.adobe.com/xap/1.0/"'
+    tail = "</rdf:RDF></x:xmpmeta>"
+    attributes = F.concat(F.lit(f'{head}<rdf:Description {space} rdf:about="" exif:DateTimeOriginal="'), date, F.lit('" exif:GPSLatitude="'), lat, F.lit('" exif:GPSLongitude="'), lon, F.lit(f'"/>{tail}'))
+    elements = F.concat(F.lit(f"{head}<rdf:Description {space}><exif:PixelXDimension>"), w.cast("string"), F.lit("</exif:PixelXDimension><exif:PixelYDimension>"), h.cast("string"), F.lit(f"</exif:PixelYDimension></rdf:Description><rdf:Description {space}><xmp:CreateDate>"), date, F.lit(f"</xmp:CreateDate></rdf:Description>{tail}"))
+    packet = F.hex(F.concat(F.lit("http://ns.adobe.com/xap/1.0/"), F.decode(F.lit(b"\0"), "ISO-8859-1"), attributes))
+    record = F.concat(F.lit("1C02370008"), F.hex(F.concat(F.lit("201807"), day)), F.when(i % 2 == 0, F.concat(F.lit("1C023C000B"), F.hex(F.concat(F.lit("09"), minute, F.lit("30+0100"))))).otherwise(""))
+    iptc = F.concat(F.lit(b"Photoshop 3.0\0".hex() + b"8BIM".hex() + "0404" + "0000"), number(F.length(record) / 2, 4, False), record)
+    frame = ["FFC0001108", number(h, 2, False), number(w, 2, False), "00" * 10, "FFDA0002" + PIXELS + "FFD9"]
+    files = [
+        ["FFD8", "FFE100C0457869660000", exif_block(i, w, h), *_segment("FFE1", packet), *frame],
+        ["FFD8", *_segment("FFE1", packet), *frame],
+        ["1A45DFA3", PIXELS, F.hex(elements), PIXELS],
+        ["FFD8", *_segment("FFED", iptc), *frame],
+        ["FFD8", *frame],
+    ]
+    content = F.lit(None).cast("string")
+    for n, parts in enumerate(files):
+        content = F.when(i % 5 == n, _joined(parts)).otherwise(content)
+    return media.select(F.col("file_path").alias("path"), F.unhex(content).alias("content"))
+
+
+@query(
+    "media",
+    sql="""WITH f AS (SELECT file_path AS path, id, id % 5 AS k, LPAD((id % 28 + 1)::VARCHAR, 2, '0') AS d, LPAD((id % 60)::VARCHAR, 2, '0') AS m FROM media)
+    SELECT path, (id % 4000 + 1)::INTEGER AS width, (id * 7 % 3000 + 1)::INTEGER AS height,
+      CASE k WHEN 0 THEN '2021:05:' || d || ' 10:20:30' WHEN 3 THEN '2018:07:' || d || CASE WHEN id % 2 = 0 THEN ' 09:' || m || ':30' ELSE ' 00:00:00' END WHEN 4 THEN NULL ELSE '2019:03:' || d || ' 08:' || m || ':09' END AS taken,
+      CASE k WHEN 0 THEN id % 90 + (id % 60) / 60.0::DOUBLE + 2 / 3600.0::DOUBLE WHEN 1 THEN (id % 80 + (id % 60 + 0.5::DOUBLE) / 60) * CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END END AS lat,
+      CASE k WHEN 0 THEN id % 180 + (id % 30) / 60.0::DOUBLE + 2 / 3600.0::DOUBLE WHEN 1 THEN (id % 170 + (id % 60) / 60.0::DOUBLE + 30 / 3600.0::DOUBLE) * CASE WHEN id % 4 < 2 THEN 1 ELSE -1 END END AS lon,
+      CASE WHEN k = 2 THEN 'xmp' ELSE 'header' END AS size_by, CASE k WHEN 0 THEN 'header' WHEN 3 THEN 'iptc' WHEN 4 THEN NULL ELSE 'xmp' END AS taken_by, CASE k WHEN 0 THEN 'header' WHEN 1 THEN 'xmp' END AS place_by,
+      CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 3 END AS asked FROM f""",
+)
+def s14_probed_in_turn(media):
+    return fallbacks.probed_in_turn(described_files(media)).drop("orientation", "seconds")
+
+
+def varint_hex(n: Column) -> Column:
+    """Hex digits of a number that is not negative, in groups of seven bits."""
+    groups = F.ceil(F.length(F.bin(n)) / 7).cast("int")
+    digit = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.lpad(F.hex(F.call_function("shiftright", n, i * 7).bitwiseAND(127).bitwiseOR(F.when(i < groups - 1, 128).otherwise(0))), 2, "0"))
+    return F.array_join(digit, "")
+
+
+def messages(media: DataFrame) -> DataFrame:
+    """path, content: each row as a message of its id, a message of path and size, up to two numbers, and a date, whose last byte some lack."""
+    i, size, path = F.col("id").cast("long"), F.col("file_size").cast("long"), F.col("file_path")
+    inner = F.concat(F.lit("0A"), varint_hex(F.octet_length(path).cast("long")), F.hex(path), F.lit("10"), varint_hex(size))
+    again = F.when(i % 3 == 0, "").when(i % 3 == 1, "2800").otherwise("28002801")
+    whole = F.concat(F.lit("08"), varint_hex(i), F.lit("12"), varint_hex((F.length(inner) / 2).cast("long")), inner, again, F.lit("21"), number(F.col("creation_date").cast("long"), 8))
+    return media.select(path.alias("path"), F.unhex(F.when(i % 10 == 7, whole.substr(F.lit(1), F.length(whole) - 2)).otherwise(whole)).alias("content"))
+
+
+@query(
+    "media",
+    sql="""WITH m AS (SELECT *, LENGTH(file_path) AS n, CASE WHEN file_size < 128 THEN 1 WHEN file_size < 16384 THEN 2 ELSE 3 END AS v FROM media)
+    SELECT file_path AS path, '1' AS field, 0 AS wire, id AS number, NULL::INTEGER AS bytes, NULL AS text FROM m UNION ALL SELECT file_path, '2', 2, NULL, n + v + 3, NULL FROM m UNION ALL SELECT file_path, '2.1', 2, NULL, n, file_path FROM m
+    UNION ALL SELECT file_path, '2.2', 0, file_size, NULL, NULL FROM m UNION ALL SELECT file_path, '5', 0, UNNEST(RANGE(id % 3)), NULL, NULL FROM m
+    UNION ALL SELECT file_path, CASE WHEN id % 10 = 7 THEN '' ELSE '4' END, CASE WHEN id % 10 <> 7 THEN 1 END, CASE WHEN id % 10 <> 7 THEN creation_date END, NULL, NULL FROM m""",
+)
+def s20_wire_fields(media):
+    rows = wire.wire_fields(messages(media), {"2"})
+    return rows.select("path", "field", "wire", "number", F.octet_length("bytes").alias("bytes"), F.when(F.col("field") == "2.1", F.decode("bytes", "UTF-8")).alias("text"))
