@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.operators.sorting import placed
+from shutterlake.operators.sorting import checkpointed, placed
 
 GROUP = ("_target", "_base", "_ext")
 
@@ -53,6 +53,7 @@ def renames(media: DataFrame, moves: DataFrame, listing: DataFrame | None = None
     taken = there.select(F.col("file_path").alias("_wanted"), F.lit(True).alias("_there"))
     first = rows.groupBy("_wanted").agg(F.min("id").alias("_first")).join(taken, "_wanted", "left").select("_wanted", F.when(F.col("_there").isNull(), F.col("_first")).alias("_winner"))
     rows = rows.join(first, "_wanted").withColumn("_keeps", F.coalesce(F.col("id") == F.col("_winner"), F.lit(False)))
+    rows = checkpointed(rows.drop("_winner"))  # read six times from here on
     keep, number = rows.filter("_keeps"), rows.filter("not _keeps").select("id", "file_path", *GROUP)
 
     used = there.unionByName(keep.select(F.col("_wanted").alias("file_path")))
@@ -65,10 +66,10 @@ def renames(media: DataFrame, moves: DataFrame, listing: DataFrame | None = None
     both = number.select("id", "file_path", *GROUP, F.lit(0).alias("_kind"), F.col("id").cast("long").alias("_key"))
     none = [F.lit(None).cast(number.schema[c].dataType).alias(c) for c in ("id", "file_path")]
     both = both.unionByName(used.select(*none, *GROUP, F.lit(1).alias("_kind"), F.col("_n").alias("_key")))
-    ranked = _ranked(both, ["_kind", *GROUP], ["_key"], block_rows, "_rank")
+    ranked = _ranked(checkpointed(both), ["_kind", *GROUP], ["_key"], block_rows, "_rank")
     # the r-th mover comes after the taken numbers that have fewer than r free ones below
     merged = ranked.withColumn("_below", F.when(F.col("_kind") == 0, F.col("_rank")).otherwise(F.col("_key") - F.col("_rank")))
-    given = _ranked(merged, list(GROUP), ["_below", "_kind", "_key"], block_rows, "_number").filter("_kind = 0")
+    given = _ranked(checkpointed(merged), list(GROUP), ["_below", "_kind", "_key"], block_rows, "_number").filter("_kind = 0")
     dot = F.when(F.col("_ext") == "", "").otherwise(F.concat(F.lit("."), F.col("_ext")))
     given = given.select("id", "file_path", F.concat("_target", F.lit("/"), "_base", F.lit("_"), F.col("_number").cast("string"), dot).alias("new_path"), F.col("_target").alias("new_folder"))
     return given.unionByName(keep.select("id", "file_path", F.col("_wanted").alias("new_path"), F.col("_target").alias("new_folder")))
