@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shutterlake.operators import dml, moves, revisions
+from shutterlake.operators.sorting import checkpointed
 from shutterlake.streaming.ingest import live_memories
 
 from .fixtures import NOW
@@ -198,5 +199,6 @@ def t9_revised_rollups(media):
         if i == 2:
             changes = changes.withColumns({"folder_path": F.lit("/lib/a1"), "file_size": F.col("file_size") + 7})
         old, new, state = revisions.changed_rows(state, changes)
-        rollup = revisions.revised(rollup, *[x.filter("is_trashed = 0") for x in (old, new, state)], ["folder_path"], i)
+        state = checkpointed(state)  # a batch starts from tables, as a stream's does
+        rollup = checkpointed(revisions.revised(rollup, *[x.filter("is_trashed = 0") for x in (old, new, state)], ["folder_path"], i))
     return rollup
