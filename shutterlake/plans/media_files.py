@@ -45,6 +45,13 @@ def exif_block(i: Column, w: Column, h: Column) -> Column:
 PIXELS = "FFD8C0FE00112233445566778899AABB"  # bytes that look like markers
 
 
+def dealt(media: DataFrame) -> DataFrame:
+    """id, file_path dealt evenly over all cores: a row is short, and the file made of it is long to walk."""
+    tasks = 3 * media.sparkSession.sparkContext.defaultParallelism
+    rows = media.select("id", "file_path")
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks, "id")
+
+
 def tagged_files(media: DataFrame) -> DataFrame:
     """path, content: for each row a JPEG, PNG, WebP or TIFF file with a date and a place, or a JPEG that breaks off, or none."""
     i = F.col("id")
@@ -161,7 +168,7 @@ def described_files(media: DataFrame) -> DataFrame:
       CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 3 END AS asked FROM f""",
 )
 def s14_probed_in_turn(media):
-    return fallbacks.probed_in_turn(described_files(media)).drop("orientation", "seconds")
+    return fallbacks.probed_in_turn(described_files(dealt(media))).drop("orientation", "seconds")
 
 
 def varint_hex(n: Column) -> Column:

@@ -2,12 +2,13 @@
 
 Only what a reader leaves open is asked of the next one. All readers are
 expressions on one row, so a file's bytes are neither shuffled nor read again,
-and a file that is complete never has its packet looked for.
+and a file that is complete never has its packet looked for. What several fields
+are taken from (a packet's parsed tree, a property's text) is a column of its own:
+an expression that is repeated in a branch is computed as often as it stands there.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +17,9 @@ from shutterlake.sources import headers
 
 # Names of XMP properties by field, the better first.
 XMP = {"width": ("PixelXDimension", "ImageWidth"), "height": ("PixelYDimension", "ImageLength"), "taken": ("DateTimeOriginal", "CreateDate"), "lat": ("GPSLatitude",), "lon": ("GPSLongitude",)}
-READ = "width int, height int, orientation int, taken string, lat double, lon double, seconds double, place string"
 FIELDS = ("width", "height", "orientation", "taken", "lat", "lon", "seconds")
 
 
-def _parsed(content: pd.Series) -> pd.DataFrame:
-    names = [f.split()[0] for f in READ.split(", ")]
-    found = [headers.parsed(bytes(c)) if c is not None else {} for c in content]
-    return pd.DataFrame({n: pd.Series([headers._fitting(n, f.get(n)) for f in found], dtype="object") for n in names})
-
-
 def _packet(content: Column) -> Column:
     """The text of the first XMP packet; null if there is none."""
     text = F.decode(content, "ISO-8859-1")
@@ -35,17 +29,17 @@ def _packet(content: Column) -> Column:
     return F.when((start > 0) & (end > 0), rest.substr(F.lit(1), end + 11))
 
 
-def _xmp(content: Column) -> Column:
-    """Struct of FIELDS that XMP has, as text; a property is an attribute or an element of any description."""
+def _descriptions(content: Column) -> Column:
+    """The descriptions of the first XMP packet, an array of its properties as text."""
     names = [n for some in XMP.values() for n in some]
-    description = ", ".join(f"`_{n}` string, `{n}` string" for n in names)
-    root = F.from_xml(_packet(content), f"RDF struct<Description: array<struct<{description.replace(' string', ': string')}>>>", {"ignoreNamespace": "true"})
+    description = ", ".join(f"`_{n}`: string, `{n}`: string" for n in names)
+    return F.from_xml(_packet(content), f"RDF struct<Description: array<struct<{description}>>>", {"ignoreNamespace": "true"})["RDF"]["Description"]
 
-    def first(some: tuple[str, ...]) -> Column:
-        every = [F.filter(F.transform(root["RDF"]["Description"][c], lambda x: F.trim(x)), lambda x: x != "") for n in some for c in (f"_{n}", n)]
-        return F.coalesce(*[F.get(e, 0) for e in every])
 
-    return F.struct(*[first(some).alias(field) for field, some in XMP.items()])
+def _first(every: Column, some: tuple[str, ...]) -> Column:
+    """The first text of the properties ``some``; each is an attribute or an element of any description."""
+    found = [F.filter(F.transform(every[c], lambda x: F.trim(x)), lambda x: x != "") for n in some for c in (f"_{n}", n)]
+    return F.coalesce(*[F.get(e, 0) for e in found])
 
 
 def _degrees(text: Column, letters: str) -> Column:
@@ -58,10 +52,10 @@ def _degrees(text: Column, letters: str) -> Column:
 
 
 def _iso_date(text: Column) -> Column:
-    form = r"^(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d)(?::(\d\d))?"
-    p = [F.regexp_extract(text, form, i) for i in range(1, 7)]
-    second = F.when(p[5] == "", "00").otherwise(p[5])
-    return F.when(text.rlike(form), F.concat(p[0], F.lit(":"), p[1], F.lit(":"), p[2], F.lit(" "), p[3], F.lit(":"), p[4], F.lit(":"), second))
+    form = r"^\d{4}-\d\d-\d\dT\d\d:\d\d(?::(\d\d))?"
+    day = F.translate(F.substring(text, 1, 16), "-T", ": ")
+    second = F.regexp_extract(text, form, 1)
+    return F.when(text.rlike(form), F.concat(day, F.lit(":"), F.rpad(second, 2, "0")))
 
 
 def _iptc_date(content: Column) -> Column:
@@ -88,8 +82,8 @@ def probed_in_turn(files: DataFrame) -> DataFrame:
     """
     c = F.col("content")
     read = headers.fixed_sizes(files)
-    chained = F.when(F.col("kind").isin("jpeg", "tiff", "bmff", "png", "webp"), c)
-    read = read.withColumn("_h", F.pandas_udf(_parsed, READ)(chained))
+    chained = F.when(F.col("kind").isin(*headers.CHAINED), c)
+    read = read.withColumn("_h", headers.fields(chained))
     spot = iso6709(F.col("_h.place"))
     own = {n: F.col(f"_h.{n}") for n in FIELDS}
     own |= {n: F.coalesce(own[n], F.col(n)) for n in ("width", "height")} | {n: F.coalesce(own[n], spot[n]) for n in ("lat", "lon")}
@@ -98,12 +92,15 @@ def probed_in_turn(files: DataFrame) -> DataFrame:
     sized, dated, there = (F.col("_width") > 0) & (F.col("_height") > 0), F.col("_taken").isNotNull(), F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
     sized = F.coalesce(sized, F.lit(False))
     rows = rows.withColumn("_open", ~(sized & dated & there))
-    rows = rows.withColumn("_x", F.when(F.col("_open"), _xmp(c)))
-    x = {n: F.col(f"_x.{n}").try_cast("int") for n in ("width", "height")} | {"taken": _iso_date(F.col("_x.taken")), "lat": _degrees(F.col("_x.lat"), "NS"), "lon": _degrees(F.col("_x.lon"), "EW")}
+    rows = rows.withColumn("_every", F.when(F.col("_open"), _descriptions(c)))
+    rows = rows.withColumns({f"_x_{n}": _first(F.col("_every"), some) for n, some in XMP.items()})
+    x = {n: F.col(f"_x_{n}").try_cast("int") for n in ("width", "height")} | {"taken": _iso_date(F.col("_x_taken")), "lat": _degrees(F.col("_x_lat"), "NS"), "lon": _degrees(F.col("_x_lon"), "EW")}
+    rows = rows.withColumns({f"_x_{n}": e for n, e in x.items()})
+    x = {n: F.col(f"_x_{n}") for n in x}
     x_size, x_place = (x["width"] > 0) & (x["height"] > 0), x["lat"].isNotNull() & x["lon"].isNotNull()
     size_by = F.when(sized, "header").when(x_size, "xmp")
     place_by = F.when(there, "header").when(x_place, "xmp")
-    rows = rows.withColumns({"size_by": size_by, "place_by": place_by, "_dated": F.when(dated, "header").when(x["taken"].isNotNull(), "xmp"), "_x_taken": x["taken"]})
+    rows = rows.withColumns({"size_by": size_by, "place_by": place_by, "_dated": F.when(dated, "header").when(x["taken"].isNotNull(), "xmp")})
     rows = rows.withColumn("_i", F.when(F.col("_dated").isNull(), _iptc_date(c)))
 
     def chosen(n: str, by: str) -> Column:

@@ -1,6 +1,6 @@
 """Fields of media files from one reader after another."""
 
-from shutterlake.plans.media_files import described_files
+from shutterlake.plans.media_files import dealt, described_files
 from shutterlake.sources import fallbacks, headers
 
 HEAD = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="r" xmlns:exif="e">'
@@ -51,3 +51,11 @@ def test_odd_packets(spark):
         "blank": ("2020:01:02 03:04:05", "xmp"),
         "iptc": ("2020:01:02 00:00:00", "iptc"),
     }
+
+
+def test_a_packet_is_parsed_once_and_files_are_dealt_over_the_cores(spark):
+    media = spark.range(1, 200, numPartitions=1).selectExpr("id", "concat('/f/', id) file_path")
+    done = fallbacks.probed_in_turn(described_files(dealt(media)))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+    assert done.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+    assert done.count() == 199
