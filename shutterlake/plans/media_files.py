@@ -89,24 +89,18 @@ def tagged_files(media: DataFrame) -> DataFrame:
 )
 def d28_stripped_files(media):
     """Each file without all metadata, and without its place: what a probe finds before and after, and whether the pixels are the same bytes."""
-    found = tagged_files(media)
-    probe = ["path", "width", "height", "taken", F.col("lat").isNotNull().alias("there")]
-    before = headers.probed(found).select(*probe)
-    out = None
-    for mode in ("all", "place"):
-        done = rewrite.stripped(found, mode == "place")
-        after = headers.probed(done).select(*probe)
-        pixels = F.instr(F.hex("content"), PIXELS) > 0
-        rows = done.select("path", "outcome", F.octet_length("content").alias("bytes"), pixels.alias("pixels_equal")).join(after, "path", "left")
-        rows = rows.join(before.select("path", F.col("there").alias("was")), "path", "left")
-        rows = rows.select("path", F.lit(mode).alias("mode"), "outcome", "bytes", "width", "height", "taken", F.coalesce("was", F.lit(False)).alias("place_was_there"), F.coalesce("there", F.lit(False)).alias("place_is_there"), "pixels_equal")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    there = F.coalesce(F.col("lat").isNotNull() & F.col("kind").isNotNull(), F.lit(False))
+    before = headers.with_fields(tagged_files(dealt(media))).select("path", "content", there.alias("place_was_there"))
+    modes = before.withColumn("mode", F.explode(F.array(F.lit("all"), F.lit("place"))))
+    done = modes.withColumn("_done", rewrite.without_metadata(F.col("content"), F.col("mode") == "place"))
+    done = done.select("path", "mode", "place_was_there", F.col("_done.content").alias("content"), F.col("_done.outcome").alias("outcome"))
+    bytes_, pixels = F.octet_length("content").alias("bytes"), (F.instr(F.hex("content"), PIXELS) > 0).alias("pixels_equal")
+    return headers.with_fields(done).select("path", "mode", "outcome", bytes_, "width", "height", "taken", "place_was_there", there.alias("place_is_there"), pixels)
 
 
 @query("media", sql="SELECT id, CASE WHEN id % 6 >= 4 THEN latitude END AS latitude, CASE WHEN id % 6 >= 4 THEN longitude END AS longitude FROM media")
 def d28_places_forgotten(media):
-    return rewrite.places_forgotten(media, rewrite.stripped(tagged_files(media), True)).select("id", "latitude", "longitude")
+    return rewrite.places_forgotten(media, rewrite.stripped(tagged_files(dealt(media)), True)).select("id", "latitude", "longitude")
 
 
 @query(

@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 
+from shutterlake.plans.media_files import d28_stripped_files, tagged_files
 from shutterlake.sources import headers, rewrite
 
 FILES = "path string, content binary"
@@ -132,3 +133,16 @@ def test_only_the_place_goes():
         assert outcome == "changed" and b"Paris" not in said and b"GPS of it" in said
         assert headers.parsed(new) == {}
     assert rewrite.rewritten(b"GIF89a...", True) == (b"GIF89a...", "kept")
+
+
+def test_files_are_made_once_for_both_rewritings_and_all_probes(spark):
+    media = spark.range(1, 200, numPartitions=1).selectExpr("id", "concat('/f/', id) file_path")
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    once = plan(tagged_files(media)).count("unhex(")
+    for done in (d28_stripped_files(media), headers.probed(tagged_files(media))):
+        assert plan(done).count("unhex(") == once and "Join" not in plan(done) and "Union" not in plan(done)
+    done = d28_stripped_files(media)
+    assert done.count() == 2 * 199 and done.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
