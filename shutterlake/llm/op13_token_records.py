@@ -61,7 +61,7 @@ END_ID = 2
 #: Pieces whose ids a task remembers (it forgets all when full), and their longest length in bytes.
 REMEMBERED, PIECE_BYTES = 500_000, 64
 #: Pieces that the library encodes in one call, and signs that end a word.
-CALL, SIGNS = 4096, b".,;:!?%&*)"
+CALL, SIGNS = 4096, b".,;:!?%&*)#$"
 #: Bytes of text that a task encodes at once, and that a file is made of, about.
 ENCODED_BYTES, FILE_BYTES = 2 << 20, 32 << 20
 #: Bytes of a slice of a file that is read by one task, slices that are shuffled together, and bytes of ids in a batch read.
@@ -109,16 +109,33 @@ class PieceEncoder:
             if x.isalpha():  # letters of ASCII, lower-case here
                 known[x] = _ids([t.id for t in by_model(x.decode("ascii"))])
                 return
-            if letters:
-                if letters.isalpha() and max(letters) < "\u0250":  # Latin letters, as the library writes their bytes
-                    known[x] = _ids([t.id for t in by_model(letters.encode("utf-8").decode("latin-1").translate(self.signs))])
-                    return
+            if letters and letters.isalpha() and max(letters) < "\u0250":  # Latin letters, as the library writes their bytes
+                same = letters.encode("utf-8")  # of all words that differ in case
+                ids = known.get(same)
+                if ids is None:
+                    ids = _ids([t.id for t in by_model(same.decode("latin-1").translate(self.signs))])
+                    if len(same) <= PIECE_BYTES:
+                        known[same] = ids
+                known[x] = ids
+                return
             todo.add(x)
 
         for p in new:
             plain = p.isascii()
             low = p.lower() if plain else p  # letters that compose depend on case
             word = low.rstrip(SIGNS)
+            if plain and word.isalpha():  # most pieces: a word and no more, or signs that are known
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = _ids([t.id for t in by_model(word.decode("ascii"))])
+                if len(word) == len(p):
+                    if low != p:
+                        known[p] = ids
+                    continue
+                signs = known.get(low[len(word) :])
+                if signs is not None:
+                    known[p] = ids + signs
+                    continue
             letters = "" if plain else unicodedata.normalize("NFC", word.decode("utf-8")).lower()
             if b"<|" in p:  # may be a special token
                 todo.add(p)

@@ -268,3 +268,30 @@ def test_oracle_of_hard_negatives(spark):
     got = queries.op11_hard_negatives_mined(spark, SF).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
     assert got.filter(F.col("negative_score") > F.col("positive_score")).count() == 0
+
+
+def test_words_that_differ_in_case_or_signs_ask_the_model_once():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        """The library, with its model's calls counted and no whole encoding."""
+
+        def __init__(self, library):
+            self.whole, self.asked, self.model = library, [], self
+
+        def tokenize(self, word):
+            self.asked.append(word)
+            return self.whole.model.tokenize(word)
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += [t for t in texts if any(c.isalpha() for c in t)]
+            return self.whole.encode_batch_fast(texts, **options)
+
+    encoder, known = records.PieceEncoder(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary())
+    encoder.library = Counted(encoder.library)
+    far = "ü" * 40  # longer than what is remembered
+    texts = ["Übermut übermut ÜBERMUT übermut$$$ Übermut,###", "Only only, ONLY### only$$$ only", f"{far} {far.upper()} été ÉTÉ Kelvin kelvin"]
+    got = encoder.encode([t.encode() for t in texts], 2)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[*known.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len([w for w in encoder.library.asked if "bermut" in w]) == 1 and len([w for w in encoder.library.asked if "only" in w.lower()]) == 1
+    assert max(map(len, encoder.known)) <= records.PIECE_BYTES
